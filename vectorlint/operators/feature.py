@@ -8,6 +8,8 @@ no shuffle.  The only joins are the edge self-join of the validity checks
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,9 +67,6 @@ def edge_self_intersections(parts_df: DataFrame, same_ring_only: bool = False) -
     cell) with cells sized per part (about sqrt(edges) cells per side), each
     edge pair kept only in the cell of its boxes' overlap corner."""
     e = S.edges(parts_df.where("nedges >= 3"), keep=["minx", "miny", "maxx", "maxy", "nedges"])
-    nring = parts_df.select("fid", "part", F.posexplode("rings").alias("ring", "pts")).select(
-        "fid", "part", F.col("ring").cast("int").alias("ring"), F.expr("size(pts) - 1").alias("ring_edges"))
-    e = e.join(nring, ["fid", "part", "ring"])
     cs = "greatest(greatest(maxx - minx, maxy - miny) / greatest(ceil(sqrt(nedges)), 1), 1e-12)"
     e = e.withColumn("cs", F.expr(cs)).select(
         "fid", "part", "ring", "seq", "x1", "y1", "x2", "y2", "ring_edges", "cs",
@@ -298,7 +297,8 @@ def max_decimals(features: DataFrame) -> DataFrame:
     pts = G.all_points("geom")
     k = "sequence(0, 12)"
     need = (f"array_max(transform({pts}, q -> coalesce(array_min(filter({k}, d -> "
-            f"abs(q.x - round(q.x, d)) < 1e-9 AND abs(q.y - round(q.y, d)) < 1e-9)), 12)))")
+            f"abs(q.x * pow(10, d) - round(q.x * pow(10, d))) < 1e-9 * pow(10, d) AND "
+            f"abs(q.y * pow(10, d) - round(q.y * pow(10, d))) < 1e-9 * pow(10, d))), 12)))")
     return features.select("fid", F.expr(need).alias("max_decimals"))
 
 
@@ -381,9 +381,6 @@ def parts_self_overlap(parts_df: DataFrame, tol: float = 0.0) -> DataFrame:
 # -------------------------------------------------------- triangulation ----
 
 def _hull_area_udf():
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf(T.DoubleType())
     def hull_area(xs: pd.Series, ys: pd.Series) -> pd.Series:
         out = np.full(len(xs), np.nan)

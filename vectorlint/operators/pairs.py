@@ -27,13 +27,14 @@ AREA_EPS = 1e-9
 
 # -------------------------------------------------------- edge contacts ----
 
-def _side_edges(base: DataFrame, parts_df: DataFrame, side: str, eps: float) -> DataFrame:
-    p = parts_df.select(F.col("fid").alias(f"{side}_fid"), F.col("part").alias(f"{side}_part"), "rings")
-    j = base.join(p, [f"{side}_fid", f"{side}_part"])
-    seg = ("flatten(transform(rings, (r, j) -> CASE WHEN size(r) < 2 THEN array() ELSE "
-           "transform(sequence(0, size(r) - 2), i -> named_struct('ring', j, 'seq', i, "
-           "'x1', r[i].x - ox, 'y1', r[i].y - oy, 'x2', r[i + 1].x - ox, 'y2', r[i + 1].y - oy)) END))")
-    e = j.select(*K, "ix0", "iy0", "ix1", "iy1", "cs", F.explode(F.expr(seg)).alias("e")).select(
+_SEGS = ("flatten(transform({r}, (r, j) -> CASE WHEN size(r) < 2 THEN array() ELSE "
+         "transform(sequence(0, size(r) - 2), i -> named_struct('ring', j, 'seq', i, "
+         "'x1', r[i].x - ox, 'y1', r[i].y - oy, 'x2', r[i + 1].x - ox, 'y2', r[i + 1].y - oy)) END))")
+
+
+def _side_edges(base: DataFrame, side: str, eps: float) -> DataFrame:
+    e = base.select(*K, "ix0", "iy0", "ix1", "iy1", "cs",
+                    F.explode(F.expr(_SEGS.format(r=f"{side}_rings"))).alias("e")).select(
         *K, "ix0", "iy0", "ix1", "iy1", "cs", "e.*")
     e = e.select("*",
                  F.expr(f"greatest(least(x1, x2) - {eps!r}D, ix0)").alias("cx0"),
@@ -47,9 +48,8 @@ def _side_edges(base: DataFrame, parts_df: DataFrame, side: str, eps: float) ->
 def edge_pairs(pairs: DataFrame, parts_df: DataFrame, eps: float = 0.0) -> DataFrame:
     """Edge pairs (one edge of each side of a candidate pair) whose boxes,
     grown by ``eps``, meet inside the pair's common box.  Coordinates are
-    shifted to the pair origin.  Columns: pair keys, ``a_ring, a_seq, ax1..
-    ay2, b_ring, b_seq, bx1..by2``."""
-    n = parts_df.select(F.col("fid").alias("_f"), F.col("part").alias("_p"), "nedges")
+    shifted to the pair origin.  Columns: pair keys, ``aring, aseq, ax1..
+    ay2, bring, bseq, bx1..by2`` and the orientation columns."""
     base = pairs.select(
         *K,
         F.least("a_minx", "b_minx").alias("ox"), F.least("a_miny", "b_miny").alias("oy"),
@@ -57,39 +57,44 @@ def edge_pairs(pairs: DataFrame, parts_df: DataFrame, eps: float = 0.0) -> DataF
         (F.greatest("a_miny", "b_miny") - F.least("a_miny", "b_miny") - eps).alias("iy0"),
         (F.least("a_maxx", "b_maxx") - F.least("a_minx", "b_minx") + eps).alias("ix1"),
         (F.least("a_maxy", "b_maxy") - F.least("a_miny", "b_miny") + eps).alias("iy1"))
-    base = (base.join(n.withColumnRenamed("nedges", "na"), (F.col("a_fid") == F.col("_f")) & (F.col("a_part") == F.col("_p"))).drop("_f", "_p")
-                .join(n.withColumnRenamed("nedges", "nb"), (F.col("b_fid") == F.col("_f")) & (F.col("b_part") == F.col("_p"))).drop("_f", "_p")
-                .withColumn("cs", F.expr("greatest(greatest(ix1 - ix0, iy1 - iy0) / least(greatest(ceil(sqrt(na + nb)), 1), 64), 1e-9)"))
-                .drop("na", "nb"))
+    base = S.with_rings(base, parts_df).withColumn(
+        "cs", F.expr("greatest(greatest(ix1 - ix0, iy1 - iy0) / least(greatest(ceil(sqrt(na + nb)), 1), 64), 1e-9)"))
     cols = ["ring", "seq", "x1", "y1", "x2", "y2", "cx0", "cy0", "cx1", "cy1"]
-    a = _side_edges(base, parts_df, "a", eps).select(*K, "gx", "gy", "ix0", "iy0", "cs",
-                                                     *[F.col(c).alias(f"a{c}") for c in cols])
-    b = _side_edges(base, parts_df, "b", eps).select(*K, "gx", "gy", *[F.col(c).alias(f"b{c}") for c in cols])
+    a = _side_edges(base, "a", eps).select(*K, "gx", "gy", "ix0", "iy0", "cs",
+                                           *[F.col(c).alias(f"a{c}") for c in cols])
+    b = _side_edges(base, "b", eps).select(*K, "gx", "gy", *[F.col(c).alias(f"b{c}") for c in cols])
     j = a.join(b, [*K, "gx", "gy"]).where(
         "acx0 <= bcx1 AND bcx0 <= acx1 AND acy0 <= bcy1 AND bcy0 <= acy1 AND "
         "gx = CAST(floor((greatest(acx0, bcx0) - ix0) / cs) AS BIGINT) AND "
         "gy = CAST(floor((greatest(acy0, bcy0) - iy0) / cs) AS BIGINT)")
-    return j.select(*K, "aring", "aseq", "ax1", "ay1", "ax2", "ay2", "bring", "bseq", "bx1", "by1", "bx2", "by2")
+    j = j.select(*K, "aring", "aseq", "ax1", "ay1", "ax2", "ay2", "bring", "bseq", "bx1", "by1", "bx2", "by2")
+    return with_orientation(j)
 
 
 def _orient(px1, py1, px2, py2, qx, qy) -> str:
     return f"(({px2} - {px1}) * ({qy} - {py1}) - ({py2} - {py1}) * ({qx} - {px1}))"
 
 
-D1 = _orient("ax1", "ay1", "ax2", "ay2", "bx1", "by1")
-D2 = _orient("ax1", "ay1", "ax2", "ay2", "bx2", "by2")
-D3 = _orient("bx1", "by1", "bx2", "by2", "ax1", "ay1")
-D4 = _orient("bx1", "by1", "bx2", "by2", "ax2", "ay2")
+def with_orientation(j: DataFrame) -> DataFrame:
+    """Adds d1..d4 (orientation of each end point against the other
+    segment) and the collinear-overlap length ``sh``, as staged columns."""
+    j = (j.withColumn("d1", F.expr(_orient("ax1", "ay1", "ax2", "ay2", "bx1", "by1")))
+          .withColumn("d2", F.expr(_orient("ax1", "ay1", "ax2", "ay2", "bx2", "by2")))
+          .withColumn("d3", F.expr(_orient("bx1", "by1", "bx2", "by2", "ax1", "ay1")))
+          .withColumn("d4", F.expr(_orient("bx1", "by1", "bx2", "by2", "ax2", "ay2")))
+          .withColumn("la", F.expr("hypot(ax2 - ax1, ay2 - ay1)")))
+    t = lambda x, y: f"((({x}) - ax1) * (ax2 - ax1) + (({y}) - ay1) * (ay2 - ay1)) / la"
+    j = (j.withColumn("t1", F.expr(f"CASE WHEN la > 0 THEN {t('bx1', 'by1')} END"))
+          .withColumn("t2", F.expr(f"CASE WHEN la > 0 THEN {t('bx2', 'by2')} END")))
+    return j.withColumn("sh", F.expr(
+        "CASE WHEN d1 = 0 AND d2 = 0 AND la > 0 THEN greatest(0D, least(greatest(t1, t2), la) - greatest(least(t1, t2), 0D)) ELSE 0D END"))
+
+
 BOX = ("least(ax1, ax2) <= greatest(bx1, bx2) AND least(bx1, bx2) <= greatest(ax1, ax2) AND "
        "least(ay1, ay2) <= greatest(by1, by2) AND least(by1, by2) <= greatest(ay1, ay2)")
-MEET = f"({BOX} AND sign({D1}) * sign({D2}) <= 0 AND sign({D3}) * sign({D4}) <= 0)"
-CROSS = f"(sign({D1}) * sign({D2}) < 0 AND sign({D3}) * sign({D4}) < 0)"
-# collinear overlap length, measured along a
-_LEN_A = "hypot(ax2 - ax1, ay2 - ay1)"
-_T = lambda x, y: f"((({x}) - ax1) * (ax2 - ax1) + (({y}) - ay1) * (ay2 - ay1)) / {_LEN_A}"
-SHARED = (f"CASE WHEN {D1} = 0 AND {D2} = 0 AND {_LEN_A} > 0 THEN greatest(0D, "
-          f"least(greatest({_T('bx1', 'by1')}, {_T('bx2', 'by2')}), {_LEN_A}) - "
-          f"greatest(least({_T('bx1', 'by1')}, {_T('bx2', 'by2')}), 0D)) ELSE 0D END")
+MEET = f"({BOX} AND sign(d1) * sign(d2) <= 0 AND sign(d3) * sign(d4) <= 0)"
+CROSS = "(sign(d1) * sign(d2) < 0 AND sign(d3) * sign(d4) < 0)"
+SHARED = "sh"
 
 
 def _pt_seg(px, py, x1, y1, x2, y2) -> str:
@@ -116,13 +121,19 @@ def pair_contacts(pairs: DataFrame, parts_df: DataFrame) -> DataFrame:
         F.sum(F.expr(SHARED)).alias("shared_len"))
 
 
-def relate(parts_df: DataFrame, pairs: DataFrame | None = None, cell: float | None = None) -> DataFrame:
+def relate(parts_df: DataFrame, pairs: DataFrame | None = None, cell: float | None = None,
+           contacts: bool = True) -> DataFrame:
     """Candidate part pairs with ``area`` (shared area), ``meets`` (boundaries
-    meet), ``shared_len``; the basis of every overlap / touch rule."""
+    meet), ``shared_len``; the basis of every overlap / touch rule.  With
+    ``contacts=False`` only the area kernel runs (meets/shared_len False/0)."""
     pairs = pairs if pairs is not None else S.candidate_pairs(parts_df, cell=cell)
     ar = S.intersection_area(pairs, parts_df)
-    ct = pair_contacts(pairs, parts_df)
-    out = pairs.select(*K).join(ar, K, "left").join(ct, K, "left")
+    out = pairs.select(*K).join(ar, K, "left")
+    if contacts:
+        out = out.join(pair_contacts(pairs, parts_df), K, "left")
+    else:
+        out = out.select("*", F.lit(None).cast("boolean").alias("meets"), F.lit(None).cast("boolean").alias("crosses"),
+                         F.lit(None).cast("double").alias("shared_len"))
     return out.select(*K, F.coalesce("area", F.lit(0.0)).alias("area"),
                       F.coalesce("meets", F.lit(False)).alias("meets"),
                       F.coalesce("crosses", F.lit(False)).alias("crosses"),
@@ -172,7 +183,7 @@ def bbox_candidates(parts_df: DataFrame, cell: float | None = None) -> DataFrame
 def overlap_suburb(parts_df: DataFrame, rel: DataFrame | None = None, name_col: str = "suburb") -> DataFrame:
     """P1 Overlap: part pairs sharing area > 0; a row for each side, with the
     names swapped on the mirror row (attrs suburb / other_suburb)."""
-    rel = rel if rel is not None else relate(parts_df)
+    rel = rel if rel is not None else relate(parts_df, contacts=False)
     ov = rel.where(_positive())
     names = parts_df.select("fid", "part", F.col(name_col).cast("string").alias("nm"))
     both = _mirror(ov.select(*K, "area"))
@@ -186,7 +197,7 @@ def overlap_suburb(parts_df: DataFrame, rel: DataFrame | None = None, name_col:
 def overlap_block(parts_df: DataFrame, rel: DataFrame | None = None, min_area: float = 0.0) -> DataFrame:
     """P2 Overlap: overlap area > min_area; both rows; metric = overlap
     area, metric2 = overlap / own area."""
-    rel = rel if rel is not None else relate(parts_df)
+    rel = rel if rel is not None else relate(parts_df, contacts=False)
     ov = rel.where(f"area > greatest({min_area!r}D, {AREA_EPS})").select(*K, "area")
     both = _mirror(ov)
     pa = _part_areas(parts_df).select(F.col("fid").alias("a_fid"), F.col("part").alias("a_part"), "parea")
@@ -198,7 +209,7 @@ def overlap_block(parts_df: DataFrame, rel: DataFrame | None = None, min_area: f
 def overlap_floor(parts_df: DataFrame, rel: DataFrame | None = None, swap_ids: bool = False) -> DataFrame:
     """P3 GeometryOverlap: *feature* pairs sharing area > 0, both rows.  The
     mirror row keeps side 1's block id/use unless ``swap_ids``."""
-    rel = rel if rel is not None else relate(parts_df)
+    rel = rel if rel is not None else relate(parts_df, contacts=False)
     fr = feature_relations(rel).where(_positive())
     attrs = parts_df.select("fid", F.col("block_id").cast("string").alias("bid"),
                             F.col("space_use").alias("use")).dropDuplicates(["fid"])
@@ -219,7 +230,7 @@ def overlap_building(parts_df: DataFrame, rel: DataFrame | None = None, tol: flo
     """P4 OverlappingBuildings: one row per part that overlaps others by
     > tol: metric = number of partners, metric2 = summed overlap area,
     attrs.overlaps_with = sorted partner list "fid:part,..."."""
-    rel = rel if rel is not None else relate(parts_df)
+    rel = rel if rel is not None else relate(parts_df, contacts=False)
     ov = _mirror(rel.where(F.col("area") > tol).select(*K, "area"))
     g = ov.groupBy("a_fid", "a_part").agg(
         F.count("*").alias("n"), F.sum("area").alias("total"),
@@ -242,7 +253,7 @@ def intersects_pairs(parts_df: DataFrame, rel: DataFrame | None = None) -> DataF
 def interior_overlap_any(parts_df: DataFrame, rel: DataFrame | None = None) -> DataFrame:
     """Features whose interior meets another feature's (not a mere
     touch); once per feature."""
-    rel = rel if rel is not None else relate(parts_df)
+    rel = rel if rel is not None else relate(parts_df, contacts=False)
     fr = feature_relations(rel).where(_positive())
     ids = fr.select(F.col("a_fid").alias("fid")).unionByName(fr.select(F.col("b_fid").alias("fid"))).distinct()
     return violations(ids, "InteriorOverlap", message=F.lit("Intersects another feature beyond touching"))
@@ -304,7 +315,7 @@ def enclave(parts_df: DataFrame, rel: DataFrame | None = None, name_col: str = "
     """P10 Enclave: part a lies within part b (area(a and b) = area(a)) and
     the names differ (null-safe); ordered, so equal parts with different
     names flag both ways."""
-    rel = rel if rel is not None else relate(parts_df)
+    rel = rel if rel is not None else relate(parts_df, contacts=False)
     pa = _part_areas(parts_df).join(parts_df.select("fid", "part", F.col(name_col).cast("string").alias("nm")), ["fid", "part"])
     ov = _mirror(rel.where(_positive()).select(*K, "area"))
     j = (ov.join(pa.select(F.col("fid").alias("a_fid"), F.col("part").alias("a_part"), F.col("parea").alias("aa"), F.col("nm").alias("an")), ["a_fid", "a_part"])
@@ -330,7 +341,7 @@ def boundary_misalignment(parts_df: DataFrame, tolerance: float = 0.5, cell: flo
 def overlap_pairs_table(parts_df: DataFrame, rel: DataFrame | None = None) -> DataFrame:
     """Readable list of overlapping feature pairs (row1 < row2) with
     both sides' block id and use, de-duplicated and sorted."""
-    rel = rel if rel is not None else relate(parts_df)
+    rel = rel if rel is not None else relate(parts_df, contacts=False)
     fr = feature_relations(rel).where(_positive()).select(F.col("a_fid").alias("row1"), F.col("b_fid").alias("row2")).distinct()
     at = parts_df.select("fid", "block_id", "space_use").dropDuplicates(["fid"])
     out = (fr.join(at.select(F.col("fid").alias("row1"), F.col("block_id").alias("block1_id"), F.col("space_use").alias("block1_use")), "row1", "left")

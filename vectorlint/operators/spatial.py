@@ -78,24 +78,36 @@ def edges(parts_df: DataFrame, keep: list[str] | None = None, exterior_only: boo
         r = r.where("ring = 0")
     seg = ("CASE WHEN size(pts) < 2 THEN array() ELSE transform(sequence(0, size(pts) - 2), i -> "
            "named_struct('seq', i, 'x1', pts[i].x, 'y1', pts[i].y, 'x2', pts[i + 1].x, 'y2', pts[i + 1].y)) END")
-    e = r.select("fid", "part", *keep, "ring", F.explode(F.expr(seg)).alias("e"))
-    return e.select("fid", "part", *keep, F.col("ring").cast("int").alias("ring"), "e.seq", "e.x1", "e.y1", "e.x2", "e.y2")
+    e = r.select("fid", "part", *keep, "ring", F.expr("size(pts) - 1").alias("ring_edges"), F.explode(F.expr(seg)).alias("e"))
+    return e.select("fid", "part", *keep, F.col("ring").cast("int").alias("ring"), "ring_edges",
+                    "e.seq", "e.x1", "e.y1", "e.x2", "e.y2")
 
 
 # ------------------------------------------------------------ pair join ----
 
-def default_cell_size(parts_df: DataFrame) -> float:
-    """Twice the median box side (one small driver-side aggregate)."""
-    row = parts_df.select(
-        F.percentile_approx(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")), 0.5, 1000).alias("m"),
-        F.max(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))).alias("mx"),
-    ).first()
-    m = row["m"] if row is not None else None
+def grid_stats(parts_df: DataFrame) -> tuple[float, float]:
+    """(cell size, largest box side) from one aggregate: the cell is twice
+    the median box side."""
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    row = parts_df.select(F.percentile_approx(side, 0.5, 1000).alias("m"), F.max(side).alias("mx")).first()
+    m, mx = (row["m"], row["mx"]) if row is not None else (None, None)
     if m is None:
-        return 1.0
+        return 1.0, 0.0
     if m > 0:
-        return 2.0 * float(m)
-    return float(row["mx"]) if row["mx"] else 1.0
+        return 2.0 * float(m), float(mx)
+    return (float(mx) if mx else 1.0), float(mx or 0.0)
+
+
+def default_cell_size(parts_df: DataFrame) -> float:
+    return grid_stats(parts_df)[0]
+
+
+def _max_level(max_side: float, cell: float, eps: float) -> int:
+    side = max_side + 2 * eps
+    lim = MAX_CELLS_PER_AXIS * cell
+    if side <= lim:
+        return 0
+    return int(math.ceil(math.log(side / lim, LEVEL_FACTOR) + 1e-12))
 
 
 def _with_level(df: DataFrame, cell: float, eps: float) -> DataFrame:
@@ -131,13 +143,14 @@ def candidate_pairs(left: DataFrame, right: DataFrame | None = None, cell: float
     self_join = right is None
     right = left if self_join else right
     carry = carry or []
-    if cell is None:
-        cell = default_cell_size(left if self_join else left.unionByName(right.select(*left.columns), allowMissingColumns=True))
     cols = ["fid", "part", "minx", "miny", "maxx", "maxy", *carry]
+    both = left.select(*cols) if self_join else left.select(*cols).unionByName(right.select(*cols))
+    c0, max_side = grid_stats(both)
+    cell = cell or c0
+    top = _max_level(max_side, cell, eps)
     L = _with_level(left.select(*cols), cell, eps)
     R = L if self_join else _with_level(right.select(*cols), cell, eps)
-    lv_l = sorted(r[0] for r in L.select("lvl").distinct().collect())
-    lv_r = lv_l if self_join else sorted(r[0] for r in R.select("lvl").distinct().collect())
+    lv_l = lv_r = list(range(top + 1))
     out = None
     for li in lv_l:
         for rj in lv_r:
@@ -180,23 +193,21 @@ def both_directions(pairs: DataFrame, cols: list[str]) -> DataFrame:
 # ------------------------------------------------- intersection area (4.3) --
 
 _SLAB_EDGES = """
-CASE WHEN size(rings) = 0 THEN array() ELSE flatten(transform(rings, (r, j) ->
-  CASE WHEN size(r) < 2 THEN array() ELSE
-  transform(sequence(0, size(r) - 2), i -> named_struct(
-    'x1', r[i].x - ox, 'y1', r[i].y - oy, 'x2', r[i + 1].x - ox, 'y2', r[i + 1].y - oy,
-    's', CASE WHEN r[i + 1].x < r[i].x THEN 1D ELSE -1D END
-         * CASE WHEN (j = 0) = ({ring_area} > 0) THEN 1D ELSE -1D END)) END)) END
+flatten(transform(
+  transform(rings, (r, j) -> named_struct('r', r, 'o', CASE WHEN (j = 0) = ({ring_area} > 0) THEN 1D ELSE -1D END)),
+  ro -> CASE WHEN size(ro.r) < 2 THEN array() ELSE
+  transform(sequence(0, size(ro.r) - 2), i -> named_struct(
+    'x1', ro.r[i].x - ox, 'y1', ro.r[i].y - oy, 'x2', ro.r[i + 1].x - ox, 'y2', ro.r[i + 1].y - oy,
+    's', CASE WHEN ro.r[i + 1].x < ro.r[i].x THEN ro.o ELSE -ro.o END)) END))
 """
 
 
-def _pair_edges(pairs: DataFrame, parts_df: DataFrame, side: str) -> DataFrame:
+def _pair_edges(base: DataFrame, side: str) -> DataFrame:
     """Edges of one side of each pair, shifted to the pair origin, clipped to
     the pair's common x-range, exploded over the slabs they cross."""
-    p = parts_df.select(F.col("fid").alias(f"{side}_fid"), F.col("part").alias(f"{side}_part"), "rings")
-    j = pairs.join(p, [f"{side}_fid", f"{side}_part"])
     ring_area = G.ring_signed_area("r")
-    e = j.select(*PAIR_KEYS, "ox", "oy", "ix0", "ix1", "nslab",
-                 F.explode(F.expr(_SLAB_EDGES.format(ring_area=ring_area))).alias("e"))
+    e = base.select(*PAIR_KEYS, "ox", "oy", "ix0", "ix1", "nslab",
+                    F.explode(F.expr(_SLAB_EDGES.format(ring_area=ring_area).replace("rings", f"{side}_rings"))).alias("e"))
     e = e.where("e.x1 <> e.x2").select(
         *PAIR_KEYS, "ix0", "ix1", "nslab", "e.*",
         F.expr("greatest(least(e.x1, e.x2), ix0)").alias("lo"),
@@ -206,12 +217,20 @@ def _pair_edges(pairs: DataFrame, parts_df: DataFrame, side: str) -> DataFrame:
         f"sequence(CAST(least(floor((lo - ix0) / {sw}), nslab - 1) AS INT), CAST(least(floor((hi - ix0) / {sw}), nslab - 1) AS INT))")))
 
 
+def with_rings(pairs: DataFrame, parts_df: DataFrame) -> DataFrame:
+    """Pairs joined once per side with that side's rings and edge count."""
+    pa = parts_df.select(F.col("fid").alias("a_fid"), F.col("part").alias("a_part"),
+                         F.col("rings").alias("a_rings"), F.col("nedges").alias("na"))
+    pb = parts_df.select(F.col("fid").alias("b_fid"), F.col("part").alias("b_part"),
+                         F.col("rings").alias("b_rings"), F.col("nedges").alias("nb"))
+    return pairs.join(pa, ["a_fid", "a_part"]).join(pb, ["b_fid", "b_part"])
+
+
 def intersection_area(pairs: DataFrame, parts_df: DataFrame) -> DataFrame:
     """``pairs`` (a_/b_ keys and boxes, as from ``candidate_pairs``) ->
     ``a_fid, a_part, b_fid, b_part, area`` for every pair whose boxes overlap
     with positive width and height (others have area 0 and are not listed).
     Rings must be valid (no self-crossing); orientation does not matter."""
-    n = parts_df.select(F.col("fid").alias("_f"), F.col("part").alias("_p"), "nedges")
     base = pairs.select(
         *PAIR_KEYS,
         F.least("a_minx", "b_minx").alias("ox"), F.least("a_miny", "b_miny").alias("oy"),
@@ -219,23 +238,35 @@ def intersection_area(pairs: DataFrame, parts_df: DataFrame) -> DataFrame:
         (F.least("a_maxx", "b_maxx") - F.least("a_minx", "b_minx")).alias("ix1"),
         F.greatest("a_miny", "b_miny").alias("iy0"), F.least("a_maxy", "b_maxy").alias("iy1"),
     ).where("ix1 > ix0 AND iy1 > iy0")
-    base = (base.join(n.withColumnRenamed("nedges", "na"), (F.col("a_fid") == F.col("_f")) & (F.col("a_part") == F.col("_p"))).drop("_f", "_p")
-                .join(n.withColumnRenamed("nedges", "nb"), (F.col("b_fid") == F.col("_f")) & (F.col("b_part") == F.col("_p"))).drop("_f", "_p")
-                .withColumn("nslab", F.expr(f"CAST(least(greatest(na + nb, 1), {MAX_SLABS}) AS INT)"))
-                .drop("na", "nb", "iy0", "iy1"))
-    ea = _pair_edges(base, parts_df, "a").select(
+    base = with_rings(base, parts_df).withColumn(
+        "nslab", F.expr(f"CAST(least(greatest(na + nb, 1), {MAX_SLABS}) AS INT)"))
+    ea = _pair_edges(base, "a").select(
         *PAIR_KEYS, "ix0", "slab", "nslab", "ix1",
         *[F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2", "s", "lo", "hi")])
-    eb = _pair_edges(base, parts_df, "b").select(
+    eb = _pair_edges(base, "b").select(
         *PAIR_KEYS, "slab", *[F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2", "s", "lo", "hi")])
     j = ea.join(eb, [*PAIR_KEYS, "slab"])
     sw = "((ix1 - ix0) / nslab)"
-    j = j.where(F.expr(f"greatest(alo, blo) < least(ahi, bhi) AND "
-                       f"slab = CAST(least(floor((greatest(alo, blo) - ix0) / {sw}), nslab - 1) AS INT)"))
-    contrib = _trapezoid("ax1", "ay1", "ax2", "ay2", "bx1", "by1", "bx2", "by2",
-                         "greatest(alo, blo)", "least(ahi, bhi)")
-    return (j.select(*PAIR_KEYS, (F.col("as") * F.col("bs") * F.expr(contrib)).alias("c"))
-             .groupBy(*PAIR_KEYS).agg(F.sum("c").alias("area")))
+    j = (j.withColumn("u", F.greatest("alo", "blo")).withColumn("v", F.least("ahi", "bhi"))
+          .where(F.expr(f"u < v AND slab = CAST(least(floor((u - ix0) / {sw}), nslab - 1) AS INT)")))
+    return (trapezoid_sum(j, "ax1", "ay1", "ax2", "ay2", "bx1", "by1", "bx2", "by2", "as", "bs")
+            .groupBy(*PAIR_KEYS).agg(F.sum("c").alias("area")))
+
+
+def trapezoid_sum(j: DataFrame, ax1, ay1, ax2, ay2, bx1, by1, bx2, by2, sa, sb) -> DataFrame:
+    """Adds ``c`` = sa * sb * integral over [u, v] of min(f_a, f_b), where
+    f_a, f_b are the lines through the two (non-vertical) segments.  Staged
+    projections keep each generated expression small."""
+    j = (j.withColumn("fau", F.expr(f"{ay1} + (u - {ax1}) * ({ay2} - {ay1}) / ({ax2} - {ax1})"))
+          .withColumn("fav", F.expr(f"{ay1} + (v - {ax1}) * ({ay2} - {ay1}) / ({ax2} - {ax1})"))
+          .withColumn("fbu", F.expr(f"{by1} + (u - {bx1}) * ({by2} - {by1}) / ({bx2} - {bx1})"))
+          .withColumn("fbv", F.expr(f"{by1} + (v - {bx1}) * ({by2} - {by1}) / ({bx2} - {bx1})"))
+          .withColumn("du", F.expr("fau - fbu")).withColumn("dv", F.expr("fav - fbv"))
+          .withColumn("w", F.expr("CASE WHEN du * dv < 0 THEN u + (v - u) * du / (du - dv) ELSE v END"))
+          .withColumn("fw", F.expr(f"{ay1} + (w - {ax1}) * ({ay2} - {ay1}) / ({ax2} - {ax1})")))
+    integral = ("CASE WHEN du * dv < 0 THEN (w - u) * (least(fau, fbu) + fw) / 2 + (v - w) * (fw + least(fav, fbv)) / 2 "
+                "ELSE (v - u) * (least(fau, fbu) + least(fav, fbv)) / 2 END")
+    return j.withColumn("c", F.col(sa) * F.col(sb) * F.expr(integral))
 
 
 def _trapezoid(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2, u, v) -> str:
