@@ -384,8 +384,9 @@ def nonmanifold_edge(parts_df: DataFrame, include_interiors: bool = False) -> Da
     hash aggregate with map-side partial counts, so a hot edge costs one
     counter per partition, not one task holding all its rows."""
     e = S.edges(parts_df.where("gtype IN ('Polygon', 'MultiPolygon')"), exterior_only=not include_interiors)
-    e = e.select("fid", "part", F.least(F.struct("x1", "y1"), F.struct("x2", "y2")).alias("p"),
-                 F.greatest(F.struct("x1", "y1"), F.struct("x2", "y2")).alias("q"))
+    p1 = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
+    p2 = F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    e = e.select("fid", "part", F.least(p1, p2).alias("p"), F.greatest(p1, p2).alias("q"))
     hot = e.groupBy("p", "q").agg(F.count("*").alias("n")).where("n > 2")
     bad = e.join(hot, ["p", "q"], "left_semi").select("fid", "part").distinct()
     return violations(bad, "NonManifoldEdge", part="part", message=F.lit("Edge shared by more than two polygons."))
@@ -461,8 +462,9 @@ def topological_gaps(parts_df: DataFrame) -> DataFrame:
         F.expr(f"CASE WHEN (ring = 0) = ({_ring_area('pts')} > 0) THEN 1 ELSE -1 END").alias("o"))
     e = e.join(ring_sign, ["fid", "part", "ring"])
     # orient every edge as it runs on a CCW exterior / CW hole
-    e = e.select(F.when(F.col("o") > 0, F.struct("x1", "y1")).otherwise(F.struct("x2", "y2")).alias("p"),
-                 F.when(F.col("o") > 0, F.struct("x2", "y2")).otherwise(F.struct("x1", "y1")).alias("q"))
+    p1 = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
+    p2 = F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    e = e.select(F.when(F.col("o") > 0, p1).otherwise(p2).alias("p"), F.when(F.col("o") > 0, p2).otherwise(p1).alias("q"))
     und = e.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), "p", "q")
     free = und.groupBy("u", "v").agg(F.count("*").alias("n"), F.first("p").alias("p"), F.first("q").alias("q")).where("n = 1")
     free = free.select(F.xxhash64("p.x", "p.y").alias("src"), F.xxhash64("q.x", "q.y").alias("dst"), "p", "q")

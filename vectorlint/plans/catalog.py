@@ -532,3 +532,7 @@ def q_compactness(spark, sf):
     b = _blocks(spark, sf).where("geom IS NOT NULL").select(
         "fid", F.expr(G.geom_area("geom")).alias("a"), F.expr(G.geom_length("geom")).alias("p"))
     return b.where("a <> 0").select("fid", F.round(F.expr("p * p / (4 * 3.1416 * a)"), R6).alias("compactness"))
+
+
+# the other query families register themselves on import
+from vectorlint.plans import catalog_suburb  # noqa: E402,F401

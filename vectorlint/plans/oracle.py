@@ -110,3 +110,51 @@ def seg_intersect_sql(a: str, b: str) -> str:
     box = (f"least({a}.x1, {a}.x2) <= greatest({b}.x1, {b}.x2) AND least({b}.x1, {b}.x2) <= greatest({a}.x1, {a}.x2) "
            f"AND least({a}.y1, {a}.y2) <= greatest({b}.y1, {b}.y2) AND least({b}.y1, {b}.y2) <= greatest({a}.y1, {a}.y2)")
     return f"({box} AND sign({d1}) * sign({d2}) <= 0 AND sign({d3}) * sign({d4}) <= 0)"
+
+
+def contacts_sql(e: str, cand: str, out: str = "ct") -> str:
+    """``{out}(a_fid, a_part, b_fid, b_part, shared_len)`` for candidate pairs
+    whose boundaries meet (some edge pair shares a point); shared_len sums
+    the collinear overlaps measured along a's edges."""
+    return f"""
+{out}_ep AS (
+  SELECT c.a_fid, c.a_part, c.b_fid, c.b_part,
+         ea.x1 AS ax1, ea.y1 AS ay1, ea.x2 AS ax2, ea.y2 AS ay2, eb.x1 AS bx1, eb.y1 AS by1, eb.x2 AS bx2, eb.y2 AS by2
+  FROM {cand} c
+  JOIN {e} ea ON ea.fid = c.a_fid AND ea.part = c.a_part
+  JOIN {e} eb ON eb.fid = c.b_fid AND eb.part = c.b_part
+  WHERE {seg_intersect_sql('ea', 'eb')}
+),
+{out}_d AS (
+  SELECT *, ((ax2 - ax1) * (by1 - ay1) - (ay2 - ay1) * (bx1 - ax1)) AS d1,
+            ((ax2 - ax1) * (by2 - ay1) - (ay2 - ay1) * (bx2 - ax1)) AS d2,
+            sqrt((ax2 - ax1) * (ax2 - ax1) + (ay2 - ay1) * (ay2 - ay1)) AS la
+  FROM {out}_ep
+),
+{out}_t AS (
+  SELECT *, CASE WHEN la > 0 THEN ((bx1 - ax1) * (ax2 - ax1) + (by1 - ay1) * (ay2 - ay1)) / la END AS t1,
+            CASE WHEN la > 0 THEN ((bx2 - ax1) * (ax2 - ax1) + (by2 - ay1) * (ay2 - ay1)) / la END AS t2
+  FROM {out}_d
+),
+{out} AS (
+  SELECT a_fid, a_part, b_fid, b_part,
+         sum(CASE WHEN d1 = 0 AND d2 = 0 AND la > 0 THEN greatest(0, least(greatest(t1, t2), la) - greatest(least(t1, t2), 0)) ELSE 0 END) AS shared_len
+  FROM {out}_t GROUP BY a_fid, a_part, b_fid, b_part
+)"""
+
+
+def pt_seg_sql(px, py, x1, y1, x2, y2) -> str:
+    l2 = f"(({x2} - {x1}) * ({x2} - {x1}) + ({y2} - {y1}) * ({y2} - {y1}))"
+    t = f"greatest(0.0, least(1.0, (({px} - {x1}) * ({x2} - {x1}) + ({py} - {y1}) * ({y2} - {y1})) / {l2}))"
+    return (f"CASE WHEN {l2} = 0 THEN sqrt(({px} - {x1}) * ({px} - {x1}) + ({py} - {y1}) * ({py} - {y1})) ELSE "
+            f"sqrt(({px} - ({x1} + {t} * ({x2} - {x1}))) * ({px} - ({x1} + {t} * ({x2} - {x1}))) + "
+            f"({py} - ({y1} + {t} * ({y2} - {y1}))) * ({py} - ({y1} + {t} * ({y2} - {y1})))) END")
+
+
+def seg_dist_sql(a: str, b: str) -> str:
+    """Distance between closed segments a and b."""
+    return (f"CASE WHEN {seg_intersect_sql(a, b)} THEN 0.0 ELSE least("
+            f"{pt_seg_sql(f'{a}.x1', f'{a}.y1', f'{b}.x1', f'{b}.y1', f'{b}.x2', f'{b}.y2')}, "
+            f"{pt_seg_sql(f'{a}.x2', f'{a}.y2', f'{b}.x1', f'{b}.y1', f'{b}.x2', f'{b}.y2')}, "
+            f"{pt_seg_sql(f'{b}.x1', f'{b}.y1', f'{a}.x1', f'{a}.y1', f'{a}.x2', f'{a}.y2')}, "
+            f"{pt_seg_sql(f'{b}.x2', f'{b}.y2', f'{a}.x1', f'{a}.y1', f'{a}.x2', f'{a}.y2')}) END")

@@ -163,7 +163,9 @@ def suburbs(spark: SparkSession, sf_dir: str, variant: str = "base") -> DataFram
 
     variant ``enclave`` adds a 4 x 4 square inside every cell with
     fid % 50 = 7 (fid 10^9 + fid, suburb 'E' || fid); variant ``copies``
-    adds a copy of the cell square for fid % 53 = 0 (fid 2 * 10^9 + fid)."""
+    adds a copy of the cell square for fid % 53 = 0 (fid 2 * 10^9 + fid);
+    variant ``shifted`` moves the square of every fid % 43 = 5 right by
+    0.25 (boundaries that nearly meet)."""
     part = _read(spark, sf_dir, "part").where("p_partkey % 37 <> 0")
     base = part.selectExpr(
         "p_partkey AS fid",
@@ -177,6 +179,8 @@ def suburbs(spark: SparkSession, sf_dir: str, variant: str = "base") -> DataFram
         "'-1', CAST(p_size % 9 AS STRING)) END AS legalstartdate",
     )
     cols = ["fid", "suburb", "postcode", "state", "legalstartdate", F.lit(SUBURB_SRID).alias("srid")]
+    if variant == "shifted":
+        base = base.withColumn("gx", F.expr("gx + CASE WHEN fid % 43 = 5 THEN 0.25D ELSE 0D END"))
     out = base.select(*cols, F.expr(_square("gx", "gy", "16D")).alias("geom"))
     if variant == "enclave":
         extra = base.where("fid % 50 = 7").select(
@@ -202,6 +206,7 @@ def suburbs_sql(variant: str = "base") -> str:
     elif variant == "copies":
         extra_feat = ("UNION ALL SELECT 2000000000 + fid, suburb, postcode, state, legalstartdate, srid, "
                       "gx, gy, 16.0 FROM b2_base WHERE fid % 53 = 0")
+    shift = "CASE WHEN fid % 43 = 5 THEN 0.25 ELSE 0.0 END" if variant == "shifted" else "0.0"
     return f"""
 b2_base AS (
   SELECT p_partkey AS fid, CAST(p_partkey % 50 AS DOUBLE) * 16 AS gx, CAST(p_partkey // 50 AS DOUBLE) * 16 AS gy,
@@ -215,7 +220,7 @@ b2_base AS (
   FROM part WHERE p_partkey % 37 <> 0
 ),
 b2_sq AS (
-  SELECT fid, suburb, postcode, state, legalstartdate, srid, gx AS sx, gy AS sy, 16.0 AS s FROM b2_base
+  SELECT fid, suburb, postcode, state, legalstartdate, srid, gx + {shift} AS sx, gy AS sy, 16.0 AS s FROM b2_base
   {extra_feat}
 ),
 b2_feat AS (SELECT fid, suburb, postcode, state, legalstartdate, srid FROM b2_sq),
