@@ -40,9 +40,10 @@ def connected_candidates(roads: DataFrame, candidates: DataFrame, strict: bool =
     """Candidate fids that meet some *other* road: intersects (default),
     crosses-or-overlaps (``strict``), or within ``buffer_eps``."""
     pa = parts_all if parts_all is not None else S.parts(roads)
-    pc = S.parts(candidates)
-    pairs = S.candidate_pairs(pc, pa, eps=buffer_eps / 2 if buffer_eps else 0.0).where("a_fid <> b_fid")
-    ep = P.edge_pairs(pairs, pa.unionByName(pc).dropDuplicates(["fid", "part"]), eps=buffer_eps / 2 if buffer_eps else 0.0)
+    pc = pa.join(candidates.select("fid"), "fid", "left_semi")
+    half = buffer_eps / 2 if buffer_eps else 0.0
+    pairs = S.candidate_pairs(pc, pa, eps=half).where("a_fid <> b_fid")
+    ep = P.edge_pairs(pairs, pa, eps=half)
     if buffer_eps:
         hit = ep.where(F.expr(P.SEG_DIST) <= buffer_eps)
     elif strict:
