@@ -537,3 +537,4 @@ def q_compactness(spark, sf):
 # the other query families register themselves on import
 from vectorlint.plans import catalog_suburb  # noqa: E402,F401
 from vectorlint.plans import catalog_network  # noqa: E402,F401
+from vectorlint.plans import catalog_registry  # noqa: E402,F401
