@@ -539,3 +539,4 @@ from vectorlint.plans import catalog_suburb  # noqa: E402,F401
 from vectorlint.plans import catalog_network  # noqa: E402,F401
 from vectorlint.plans import catalog_registry  # noqa: E402,F401
 from vectorlint.plans import catalog_ingest  # noqa: E402,F401
+from vectorlint.plans import catalog_runners  # noqa: E402,F401
