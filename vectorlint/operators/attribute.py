@@ -212,11 +212,11 @@ def crs_audit(df: DataFrame, expected: int = 4283, col: str = "srid") -> DataFra
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram between the column's min and max (the
-    maximum falls in the last bin): ``bin, lo, hi, n``.  The bounds come
-    from one aggregate joined back on a constant key, not the driver."""
+    maximum falls in the last bin): ``bin, lo, hi, n``.  The bounds are one
+    aggregate used as a scalar subquery."""
     v = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    rng = v.agg(F.min("v").alias("lo_"), F.max("v").alias("hi_")).withColumn("_k", F.lit(1))
-    x = v.withColumn("_k", F.lit(1)).join(F.broadcast(rng), "_k")   # one-row side
+    rng = v.agg(F.struct(F.min("v").alias("lo_"), F.max("v").alias("hi_"))).scalar()
+    x = v.withColumn("lo_", rng["lo_"]).withColumn("hi_", rng["hi_"])
     b = F.expr(f"CASE WHEN hi_ = lo_ THEN 0 ELSE least(CAST(floor((v - lo_) / ((hi_ - lo_) / {bins})) AS INT), {bins - 1}) END")
     g = x.withColumn("bin", b).groupBy("bin", "lo_", "hi_").agg(F.count("*").alias("n"))
     return g.select("bin", F.expr(f"lo_ + bin * (hi_ - lo_) / {bins}").alias("lo"),

@@ -67,7 +67,7 @@ def edge_self_intersections(parts_df: DataFrame, same_ring_only: bool = False) -
     cell) with cells sized per part (about sqrt(edges) cells per side), each
     edge pair kept only in the cell of its boxes' overlap corner."""
     e = S.edges(parts_df.where("nedges >= 3"), keep=["minx", "miny", "maxx", "maxy", "nedges"])
-    cs = "greatest(greatest(maxx - minx, maxy - miny) / greatest(ceil(sqrt(nedges)), 1), 1e-12)"
+    cs = f"greatest(greatest(maxx - minx, maxy - miny) / greatest(ceil(sqrt(nedges / {S.EDGES_PER_SLAB})), 1), 1e-12)"
     e = e.withColumn("cs", F.expr(cs)).select(
         "fid", "part", "ring", "seq", "x1", "y1", "x2", "y2", "ring_edges", "cs",
         F.expr("least(x1, x2)").alias("ex0"), F.expr("least(y1, y2)").alias("ey0"),
@@ -343,13 +343,11 @@ def road_bbox_outlier(features: DataFrame, box=(112.0, 129.0, -36.0, -12.0), pad
 
 def within_bounding_polygon(features: DataFrame, boundary: DataFrame) -> DataFrame:
     """F22 WithinBoundingPolygon: feature centroid not strictly inside the
-    one boundary polygon (``boundary`` holds exactly one row with ``geom``;
-    a one-row frame is safe to broadcast)."""
+    one boundary polygon (``boundary``: one row with ``geom``)."""
     cx, cy = G.centroid_xy("geom")
     a = features.select("fid", F.expr(cx).alias("cx"), F.expr(cy).alias("cy"))
-    # exactly one boundary row, so the broadcast side has a fixed size
-    bnd = F.broadcast(boundary.select(F.lit(1).alias("_k"), F.col("geom").alias("bgeom")).limit(1))
-    j = a.withColumn("_k", F.lit(1)).join(bnd, "_k")
+    # the one boundary geometry as a scalar subquery
+    j = a.withColumn("bgeom", boundary.select("geom").limit(1).scalar())
     bad = j.where(F.expr(f"cx IS NULL OR NOT {G.point_in_polygon('bgeom', 'cx', 'cy')}"))
     return violations(bad, "WithinBoundingPolygon", message=F.lit("Feature centroid outside boundary"))
 

@@ -15,6 +15,7 @@ the part pairs by (a_fid, b_fid).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def edge_pairs(pairs: DataFrame, parts_df: DataFrame, eps: float = 0.0) -> DataF
         (F.least("a_maxx", "b_maxx") - F.least("a_minx", "b_minx") + eps).alias("ix1"),
         (F.least("a_maxy", "b_maxy") - F.least("a_miny", "b_miny") + eps).alias("iy1"))
     base = S.with_rings(base, parts_df).withColumn(
-        "cs", F.expr("greatest(greatest(ix1 - ix0, iy1 - iy0) / least(greatest(ceil(sqrt(na + nb)), 1), 64), 1e-9)"))
+        "cs", F.expr(f"greatest(greatest(ix1 - ix0, iy1 - iy0) / least(greatest(ceil(sqrt((na + nb) / {S.EDGES_PER_SLAB})), 1), 64), 1e-9)"))
     cols = ["ring", "seq", "x1", "y1", "x2", "y2", "cx0", "cy0", "cx1", "cy1"]
     a = _side_edges(base, "a", eps).select(*K, "gx", "gy", "ix0", "iy0", "cs",
                                            *[F.col(c).alias(f"a{c}") for c in cols])
@@ -126,7 +127,7 @@ def relate(parts_df: DataFrame, pairs: DataFrame | None = None, cell: float | No
     """Candidate part pairs with ``area`` (shared area), ``meets`` (boundaries
     meet), ``shared_len``; the basis of every overlap / touch rule.  With
     ``contacts=False`` only the area kernel runs (meets/shared_len False/0)."""
-    pairs = pairs if pairs is not None else S.candidate_pairs(parts_df, cell=cell)
+    pairs = pairs if pairs is not None else S.candidate_pairs(parts_df, cell=cell).persist(StorageLevel.MEMORY_AND_DISK)
     ar = S.intersection_area(pairs, parts_df)
     out = pairs.select(*K).join(ar, K, "left")
     if contacts:
@@ -404,10 +405,9 @@ def touch_edges(parts_df: DataFrame, rel: DataFrame | None = None) -> DataFrame:
 
 def adjacency_graph(features: DataFrame, edges_df: DataFrame) -> DataFrame:
     """One row ``n_nodes, n_edges, avg_degree`` (= 2E / N)."""
-    n = features.select(F.count("*").alias("n_nodes")).withColumn("_k", F.lit(1))
-    e = edges_df.select(F.count("*").alias("n_edges")).withColumn("_k", F.lit(1))
-    return n.join(e, "_k").select(   # two one-row aggregates joined on a constant key
-        "n_nodes", "n_edges", F.round(F.expr("2 * n_edges / nullif(n_nodes, 0)"), 6).alias("avg_degree"))
+    n = features.select(F.count("*").alias("n_nodes"))
+    e = n.withColumn("n_edges", edges_df.select(F.count("*")).scalar())
+    return e.select("n_nodes", "n_edges", F.round(F.expr("2 * n_edges / nullif(n_nodes, 0)"), 6).alias("avg_degree"))
 
 
 def connected_components(nodes: DataFrame, edges_df: DataFrame, checkpoint_every: int = 2,

@@ -18,10 +18,11 @@ Design for scale
 * Each pair is emitted once without a ``distinct``: a pair is kept only in
   the cell holding the lower-left corner of the two boxes' overlap.
 * Edge-pair work inside a pair is also an equi-join: both parts' edges are
-  clipped to the pair's common x-range and cut into K vertical slabs (K
-  grows with the edge count), joined on (pair, slab), and a pair of edges is
-  kept only in the slab where their x-overlap starts.  So no group emits all
-  of its edge pairs.
+  clipped to the pair's common x-range and cut into K vertical slabs (K =
+  edges / 16, up to 512), joined on (pair, slab), and a pair of edges is
+  kept only in the slab where their x-overlap starts.  Simple shapes use one
+  slab; a polygon with thousands of edges never meets all edges of its
+  partner, only those of its slab.
 * Hot cells (a third of all parts in one cell) are split by AQE's skew-join
   handling (enabled in ``session.get_spark``).
 """
@@ -38,6 +39,7 @@ from vectorlint.functions import geometry as G
 MAX_CELLS_PER_AXIS = 14
 LEVEL_FACTOR = 16
 MAX_SLABS = 512
+EDGES_PER_SLAB = 16     # about this many edges of a pair share one slab / cell
 
 PAIR_KEYS = ["a_fid", "a_part", "b_fid", "b_part"]
 
@@ -86,45 +88,31 @@ def edges(parts_df: DataFrame, keep: list[str] | None = None, exterior_only: boo
 # ------------------------------------------------------------ pair join ----
 
 def grid_stats(parts_df: DataFrame) -> tuple[float, float]:
-    """(cell size, largest box side) from one aggregate: the cell is twice
-    the median box side."""
-    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    row = parts_df.select(F.percentile_approx(side, 0.5, 1000).alias("m"), F.max(side).alias("mx")).first()
-    m, mx = (row["m"], row["mx"]) if row is not None else (None, None)
-    if m is None:
-        return 1.0, 0.0
-    if m > 0:
-        return 2.0 * float(m), float(mx)
-    return (float(mx) if mx else 1.0), float(mx or 0.0)
+    """(cell size, largest box side) on the driver - for callers that want
+    to fix the cell size; ``candidate_pairs`` itself computes it lazily."""
+    row = _stats(parts_df.select("minx", "miny", "maxx", "maxy"), None, 0.0).first()
+    return float(row["cell"]), float(row["mx"] or 0.0)
 
 
 def default_cell_size(parts_df: DataFrame) -> float:
     return grid_stats(parts_df)[0]
 
 
-def _max_level(max_side: float, cell: float, eps: float) -> int:
-    side = max_side + 2 * eps
-    lim = MAX_CELLS_PER_AXIS * cell
-    if side <= lim:
-        return 0
-    return int(math.ceil(math.log(side / lim, LEVEL_FACTOR) + 1e-12))
-
-
-def _with_level(df: DataFrame, cell: float, eps: float) -> DataFrame:
-    side = f"greatest(maxx - minx, maxy - miny) + {2 * eps!r}D"
-    lim = MAX_CELLS_PER_AXIS * cell
-    return df.withColumn(
-        "lvl", F.expr(f"CASE WHEN {side} <= {lim!r}D THEN 0 ELSE CAST(ceil(log({LEVEL_FACTOR}, ({side}) / {lim!r}D)) AS INT) END"))
-
-
-def _cells(df: DataFrame, size: float, eps: float) -> DataFrame:
-    c = f"{size!r}D"
-    return (df.withColumn("cx", F.explode(F.expr(f"sequence(CAST(floor((minx - {eps!r}D) / {c}) AS BIGINT), CAST(floor((maxx + {eps!r}D) / {c}) AS BIGINT))")))
-              .withColumn("cy", F.explode(F.expr(f"sequence(CAST(floor((miny - {eps!r}D) / {c}) AS BIGINT), CAST(floor((maxy + {eps!r}D) / {c}) AS BIGINT))"))))
+def _stats(boxes: DataFrame, cell: float | None, eps: float) -> DataFrame:
+    """One-row frame: ``cell`` (given, or twice the median box side),
+    ``mx`` (largest side) and ``maxlvl`` (coarsest grid level needed)."""
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    a = boxes.agg(F.percentile_approx(side, 0.5, 1000).alias("m"), F.max(side).alias("mx"))
+    c = (F.lit(float(cell)) if cell else
+         F.when(F.col("m") > 0, 2 * F.col("m")).when(F.col("mx") > 0, F.col("mx")).otherwise(F.lit(1.0)))
+    a = a.select(c.cast("double").alias("cell"), F.coalesce(F.col("mx"), F.lit(0.0)).alias("mx"))
+    return a.withColumn("maxlvl", _level_expr("mx", eps))
 
 
-def _prefixed(df: DataFrame, p: str, cols: list[str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"{p}_{c}") for c in cols], "cx", "cy")
+def _level_expr(side_col: str, eps: float) -> Column:
+    side = f"({side_col} + {2 * eps!r}D)"
+    lim = f"({MAX_CELLS_PER_AXIS} * cell)"
+    return F.expr(f"CASE WHEN {side} <= {lim} THEN 0 ELSE CAST(ceil(log({LEVEL_FACTOR}, {side} / {lim}) - 1e-12) AS INT) END")
 
 
 def _key_lt(a: str, b: str) -> Column:
@@ -132,55 +120,64 @@ def _key_lt(a: str, b: str) -> Column:
         (F.col(f"{a}_fid") == F.col(f"{b}_fid")) & (F.col(f"{a}_part") < F.col(f"{b}_part")))
 
 
+def _cells_at(df: DataFrame, lvl_col: str, eps: float) -> DataFrame:
+    """Explode each box over the cells of grid level ``lvl_col``."""
+    size = f"(cell * pow({LEVEL_FACTOR}, {lvl_col}))"
+    return (df.withColumn("gsize", F.expr(size))
+              .withColumn("cx", F.explode(F.expr(f"sequence(CAST(floor((minx - {eps!r}D) / gsize) AS BIGINT), CAST(floor((maxx + {eps!r}D) / gsize) AS BIGINT))")))
+              .withColumn("cy", F.explode(F.expr(f"sequence(CAST(floor((miny - {eps!r}D) / gsize) AS BIGINT), CAST(floor((maxy + {eps!r}D) / gsize) AS BIGINT))"))))
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame | None = None, cell: float | None = None,
                     eps: float = 0.0, carry: list[str] | None = None) -> DataFrame:
     """Pairs of parts whose boxes (grown by ``eps`` each side) intersect.
 
     Self-join (``right`` None): unordered pairs once, ``a`` < ``b`` by
-    (fid, part).  Two inputs: every (left, right) pair once.  Output columns
-    ``a_fid, a_part, a_minx.. a_maxy, b_...`` plus ``a_``/``b_`` copies of
-    ``carry`` columns."""
+    (fid, part).  Two inputs: every (left, right) pair once, ``a`` from
+    ``left``.  Output columns ``a_fid, a_part, a_minx.. a_maxy, b_...`` plus
+    ``a_``/``b_`` copies of ``carry`` columns.
+
+    One lazy plan: the cell size and the number of grid levels come from a
+    one-row aggregate used as a scalar subquery.  Each
+    part is a *build* row in the cells of its own level and a *probe* row in
+    the cells of its own and every coarser level; probe meets build on
+    (level, cx, cy), so a pair of a small and a huge part is found once, on
+    the huge part's grid, by a single equi-join."""
     self_join = right is None
-    right = left if self_join else right
     carry = carry or []
     cols = ["fid", "part", "minx", "miny", "maxx", "maxy", *carry]
-    both = left.select(*cols) if self_join else left.select(*cols).unionByName(right.select(*cols))
-    c0, max_side = grid_stats(both)
-    cell = cell or c0
-    top = _max_level(max_side, cell, eps)
-    L = _with_level(left.select(*cols), cell, eps)
-    R = L if self_join else _with_level(right.select(*cols), cell, eps)
-    lv_l = lv_r = list(range(top + 1))
-    out = None
-    for li in lv_l:
-        for rj in lv_r:
-            if self_join and li > rj:
-                continue
-            size = cell * (LEVEL_FACTOR ** max(li, rj))
-            a = _prefixed(_cells(L.where(F.col("lvl") == li), size, eps), "a", cols)
-            b = _prefixed(_cells(R.where(F.col("lvl") == rj), size, eps), "b", cols)
-            cond = [
-                a.cx == b.cx, a.cy == b.cy,
-                a.a_minx - eps <= b.b_maxx + eps, b.b_minx - eps <= a.a_maxx + eps,
-                a.a_miny - eps <= b.b_maxy + eps, b.b_miny - eps <= a.a_maxy + eps,
-                # reference cell: the one holding the overlap's lower-left corner
-                a.cx == F.floor((F.greatest(a.a_minx, b.b_minx) - eps) / size),
-                a.cy == F.floor((F.greatest(a.a_miny, b.b_miny) - eps) / size),
-            ]
-            j = a.join(b, cond, "inner").drop("cx", "cy")
-            if self_join:
-                if li == rj:
-                    j = j.where(_key_lt("a", "b"))
-                else:
-                    swap = ~_key_lt("a", "b")
-                    j = j.select(*[F.when(swap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}") for c in cols],
-                                 *[F.when(swap, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in cols])
-            out = j if out is None else out.unionByName(j)
-    if out is None:
-        empty = left.sparkSession.createDataFrame([], L.select(*[F.col(c).alias(f"a_{c}") for c in cols],
-                                                               *[F.col(c).alias(f"b_{c}") for c in cols]).schema)
-        return empty
-    return out
+    if self_join:
+        tagged = left.select(*cols, F.lit(0).alias("side"))
+    else:
+        tagged = left.select(*cols, F.lit(0).alias("side")).unionByName(right.select(*cols, F.lit(1).alias("side")))
+    # one-row statistics as a scalar subquery (computed once, used as a literal)
+    st = _stats(tagged.select("minx", "miny", "maxx", "maxy"), cell, eps).select(F.struct("cell", "maxlvl")).scalar()
+    x = (tagged.withColumn("cell", st["cell"]).withColumn("maxlvl", st["maxlvl"])
+               .withColumn("side_len", F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))))
+    x = x.withColumn("lvl", _level_expr("side_len", eps))
+    keep = [*cols, "side", "lvl", "cell"]
+    build = _cells_at(x.select(*keep), "lvl", eps).withColumnRenamed("lvl", "glvl")
+    probe = _cells_at(x.select(*keep, F.explode(F.expr("sequence(lvl, maxlvl)")).alias("glvl")), "glvl", eps)
+    a = probe.select(*[F.col(c).alias(f"a_{c}") for c in cols], F.col("side").alias("a_side"), F.col("lvl").alias("a_lvl"),
+                     "glvl", "gsize", "cx", "cy")
+    b = build.select(*[F.col(c).alias(f"b_{c}") for c in cols], F.col("side").alias("b_side"), F.col("glvl").alias("b_lvl"),
+                     F.col("glvl").alias("bg"), F.col("cx").alias("bcx"), F.col("cy").alias("bcy"))
+    cond = [a.glvl == b.bg, a.cx == b.bcx, a.cy == b.bcy,
+            a.a_minx - eps <= b.b_maxx + eps, b.b_minx - eps <= a.a_maxx + eps,
+            a.a_miny - eps <= b.b_maxy + eps, b.b_miny - eps <= a.a_maxy + eps]
+    j = a.join(b, cond).where(
+        # reference cell: the one holding the overlap's lower-left corner
+        (F.col("cx") == F.floor((F.greatest("a_minx", "b_minx") - eps) / F.col("gsize")))
+        & (F.col("cy") == F.floor((F.greatest("a_miny", "b_miny") - eps) / F.col("gsize"))))
+    if self_join:
+        j = j.where((F.col("a_lvl") < F.col("b_lvl")) | ((F.col("a_lvl") == F.col("b_lvl")) & _key_lt("a", "b")))
+        swap = ~_key_lt("a", "b")
+    else:
+        j = j.where((F.col("a_side") != F.col("b_side")) &
+                    ((F.col("a_lvl") < F.col("b_lvl")) | ((F.col("a_lvl") == F.col("b_lvl")) & (F.col("a_side") == 0))))
+        swap = F.col("a_side") == 1
+    return j.select(*[F.when(swap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}") for c in cols],
+                    *[F.when(swap, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in cols])
 
 
 def both_directions(pairs: DataFrame, cols: list[str]) -> DataFrame:
@@ -239,7 +236,7 @@ def intersection_area(pairs: DataFrame, parts_df: DataFrame) -> DataFrame:
         F.greatest("a_miny", "b_miny").alias("iy0"), F.least("a_maxy", "b_maxy").alias("iy1"),
     ).where("ix1 > ix0 AND iy1 > iy0")
     base = with_rings(base, parts_df).withColumn(
-        "nslab", F.expr(f"CAST(least(greatest(na + nb, 1), {MAX_SLABS}) AS INT)"))
+        "nslab", F.expr(f"CAST(least(greatest((na + nb) div {EDGES_PER_SLAB}, 1), {MAX_SLABS}) AS INT)"))
     ea = _pair_edges(base, "a").select(
         *PAIR_KEYS, "ix0", "slab", "nslab", "ix1",
         *[F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2", "s", "lo", "hi")])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,8 +75,10 @@ def _block_parts(spark, sf):
 
 
 def _valid_block_parts(spark, sf):
+    """Valid parts, persisted: every pair rule reads them several times
+    (grid statistics, both sides of the cell join, both sides' rings)."""
     from vectorlint.operators.feature import valid_parts
-    return valid_parts(_block_parts(spark, sf))
+    return valid_parts(_block_parts(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _vsql(select_from: str) -> str:

@@ -34,7 +34,8 @@ def _suburbs(spark, sf, variant="base"):
 
 
 def _suburb_parts(spark, sf, variant="base"):
-    return S.parts(_suburbs(spark, sf, variant), keep=["suburb", "postcode", "state", "srid"])
+    from pyspark import StorageLevel
+    return S.parts(_suburbs(spark, sf, variant), keep=["suburb", "postcode", "state", "srid"]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _floor(spark, sf):

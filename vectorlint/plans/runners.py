@@ -281,20 +281,18 @@ def latlon_fallback(v: DataFrame, features: DataFrame, preview=(-37.8136, 144.96
     """Violation lat/lon = its own (metric/metric2 when a rule put a
     point there is not assumed; columns ``lat``/``lon`` if present), else the
     feature centroid, else the dataset centroid (area-weighted mean of the
-    feature centroids, joined as a one-row frame), else the preview centre."""
+    feature centroids, a scalar subquery), else the preview centre."""
     cx, cy = G.centroid_xy("geom")
     fa = G.geom_area("geom")
     cent = features.select("fid", F.expr(cx).alias("fx"), F.expr(cy).alias("fy"), F.expr(fa).alias("fa"))
-    ds = (cent.where("fx IS NOT NULL").agg(
-        (F.sum(F.col("fx") * F.col("fa")) / F.sum("fa")).alias("dx"), (F.sum(F.col("fy") * F.col("fa")) / F.sum("fa")).alias("dy"))
-          .withColumn("_k", F.lit(1)))
-    base = v.withColumn("_k", F.lit(1))
+    ds = cent.where("fx IS NOT NULL").agg(F.struct(
+        (F.sum(F.col("fx") * F.col("fa")) / F.sum("fa")).alias("dx"), (F.sum(F.col("fy") * F.col("fa")) / F.sum("fa")).alias("dy"))).scalar()
     own_lat = F.col("lat") if "lat" in v.columns else F.lit(None).cast("double")
     own_lon = F.col("lon") if "lon" in v.columns else F.lit(None).cast("double")
-    j = base.join(cent.select("fid", "fx", "fy"), "fid", "left").join(F.broadcast(ds), "_k")   # one-row side
+    j = v.join(cent.select("fid", "fx", "fy"), "fid", "left").withColumn("dx", ds["dx"]).withColumn("dy", ds["dy"])
     return j.withColumn("lat_", F.coalesce(own_lat, F.col("fy"), F.col("dy"), F.lit(preview[0]))).withColumn(
         "lon_", F.coalesce(own_lon, F.col("fx"), F.col("dx"), F.lit(preview[1]))).drop(
-        "_k", "fx", "fy", "dx", "dy", *([c for c in ("lat", "lon") if c in v.columns])).withColumnRenamed(
+        "fx", "fy", "dx", "dy", *([c for c in ("lat", "lon") if c in v.columns])).withColumnRenamed(
         "lat_", "lat").withColumnRenamed("lon_", "lon")
 
 

@@ -49,3 +49,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def spread(df, key: str | None = None):
+    """Give per-row-heavy geometry work enough tasks: when an input arrives
+    in fewer partitions than the cluster has cores (a small file), hash it
+    out over ``defaultParallelism`` partitions.  A multi-file input at scale
+    already has more partitions than cores and is returned unchanged."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)

@@ -56,7 +56,8 @@ ROAD_SRID = 3107
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from vectorlint.session import spread
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # ------------------------------------------------------------ B1 blocks ----

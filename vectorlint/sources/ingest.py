@@ -218,14 +218,14 @@ def from_lonlat(df: DataFrame, lon: str, lat: str) -> DataFrame:
 def swap_if_latlon(df: DataFrame, text_col: str, geom: str = "geom") -> DataFrame:
     """Swap x and y of every geometry when more than half of the rows
     have |second number of the text| > 90.  The share is one aggregate
-    joined back on a constant key (no driver round trip)."""
+    used as a scalar subquery."""
     second = F.regexp_extract(F.col(text_col), r"-?\d+(?:\.\d+)?[^-\d.]+(-?\d+(?:\.\d+)?)", 1)
     flag = F.when(second != "", (F.abs(second.cast("double")) > 90).cast("int"))
-    share = df.select(flag.alias("f")).agg(F.avg("f").alias("_share")).withColumn("_k", F.lit(1))
-    j = df.withColumn("_k", F.lit(1)).join(F.broadcast(share), "_k")   # one-row side
+    share = df.select(flag.alias("f")).agg(F.avg("f")).scalar()
+    j = df.withColumn("_share", share)
     swapped = F.expr(f"named_struct('type', {geom}.type, 'coords', transform({geom}.coords, p -> transform(p, r -> "
                      f"transform(r, q -> named_struct('x', q.y, 'y', q.x)))))")
-    return j.withColumn(geom, F.when(F.col("_share") > 0.5, swapped).otherwise(F.col(geom))).drop("_k", "_share")
+    return j.withColumn(geom, F.when(F.col("_share") > 0.5, swapped).otherwise(F.col(geom))).drop("_share")
 
 
 def srid_from_text(text: Column, default: int | None = 4326) -> Column:
@@ -276,8 +276,8 @@ def read_gml(spark: SparkSession, path: str, row_tag: str, id_col: str | None =
     built-in XML source; CRS from ``srsName``."""
     df = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False).load(path)
     txt = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
-    pos = F.regexp_extract(txt, r'"posList":\s*"([^"]*)"', 1)
-    pos = F.when(pos == "", F.regexp_extract(txt, r'"posList":\{[^}]*"_VALUE":"([^"]*)"', 1)).otherwise(pos)
+    pos = F.regexp_extract(txt, r'"(?:\w+:)?posList":\s*"([^"]*)"', 1)
+    pos = F.when(pos == "", F.regexp_extract(txt, r'"(?:\w+:)?posList":\{[^}]*"_VALUE":"([^"]*)"', 1)).otherwise(pos)
     nums = F.split(F.trim(pos), r"\s+")
     pts = F.expr("transform(sequence(0, size(__n) div 2 - 1), i -> named_struct('x', CAST(__n[2 * i] AS DOUBLE), 'y', CAST(__n[2 * i + 1] AS DOUBLE)))")
     srs = F.regexp_extract(txt, r'"_srsName":"([^"]*)"', 1)
@@ -291,7 +291,7 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
     """KML Placemarks; ``coordinates`` text "x,y[,z] x,y[,z] ..."."""
     df = spark.read.format("xml").option("rowTag", "Placemark").option("inferSchema", False).load(path)
     txt = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
-    coords = F.regexp_extract(txt, r'"coordinates":"([^"]*)"', 1)
+    coords = F.regexp_extract(txt, r'"(?:\w+:)?coordinates":"([^"]*)"', 1)
     kind = F.when(txt.contains('"Polygon"'), "Polygon").when(txt.contains('"LineString"'), "LineString").otherwise("Point")
     pts = F.expr("transform(filter(split(trim(__c), '\\\\s+'), s -> s <> ''), s -> named_struct("
                  "'x', CAST(split(s, ',')[0] AS DOUBLE), 'y', CAST(split(s, ',')[1] AS DOUBLE)))")
@@ -346,17 +346,18 @@ def representative_lonlat(df: DataFrame) -> DataFrame:
 def point_file_fallback(df: DataFrame, text_cols: list[str]) -> DataFrame:
     """When every geometry is a point, try to re-derive geometry from
     a text column; keep the new geometry only if some row becomes a line or
-    polygon (decided by one aggregate joined back on a constant key)."""
+    polygon (decided by one aggregate used as a scalar subquery)."""
     if not text_cols:
         return df
     c = text_cols[0]
     alt = df.withColumn("__alt", F.coalesce(decode_geometry_text(F.col(c)), wkt_geometry(c)))
     dec = alt.agg(F.bool_and(F.col("geom.type").isin("Point", "MultiPoint")).alias("all_pts"),
-                  F.bool_or(~F.col("__alt.type").isin("Point", "MultiPoint")).alias("alt_better")).withColumn("_k", F.lit(1))
-    j = alt.withColumn("_k", F.lit(1)).join(F.broadcast(dec), "_k")   # one-row side
+                  F.bool_or(~F.col("__alt.type").isin("Point", "MultiPoint")).alias("alt_better"))
+    d = dec.select(F.struct("all_pts", "alt_better")).scalar()
+    j = alt.withColumn("all_pts", d["all_pts"]).withColumn("alt_better", d["alt_better"])
     use = F.coalesce(F.col("all_pts") & F.col("alt_better"), F.lit(False))
     gt = _geom_type()
-    return j.withColumn("geom", F.when(use, F.col("__alt").cast(gt)).otherwise(F.col("geom").cast(gt))).drop("_k", "__alt", "all_pts", "alt_better")
+    return j.withColumn("geom", F.when(use, F.col("__alt").cast(gt)).otherwise(F.col("geom").cast(gt))).drop("__alt", "all_pts", "alt_better")
 
 
 # ----------------------------------------------------------------- sinks ----
