@@ -8,6 +8,7 @@ rebuild, no order dependence between the phases.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def connected_candidates(roads: DataFrame, candidates: DataFrame, strict: bool =
                          buffer_eps: float = 0.0, parts_all: DataFrame | None = None) -> DataFrame:
     """Candidate fids that meet some *other* road: intersects (default),
     crosses-or-overlaps (``strict``), or within ``buffer_eps``."""
-    pa = parts_all if parts_all is not None else S.parts(roads)
+    pa = parts_all if parts_all is not None else S.parts(roads).persist(StorageLevel.MEMORY_AND_DISK)
     pc = pa.join(candidates.select("fid"), "fid", "left_semi")
     half = buffer_eps / 2 if buffer_eps else 0.0
     pairs = S.candidate_pairs(pc, pa, eps=half).where("a_fid <> b_fid")
@@ -57,7 +58,7 @@ def isolation(roads: DataFrame, strict: bool = False, buffer_eps: float = 0.0,
               start_col: str = "start_node_name", end_col: str = "end_node_name") -> DataFrame:
     """N2 IsolatedRoad + N3 EndpointButConnected (N4 ``strict``, N5
     ``buffer_eps``): N1 candidates split by whether they meet another road."""
-    cand = endpoint_candidates(roads, start_col, end_col)
+    cand = endpoint_candidates(roads, start_col, end_col).persist(StorageLevel.MEMORY_AND_DISK)   # read three times
     conn = connected_candidates(roads, cand, strict=strict, buffer_eps=buffer_eps)
     attrs = F.create_map(F.lit("start"), F.col(start_col), F.lit("end"), F.col(end_col))
     iso = violations(cand.join(conn, "fid", "left_anti"), "IsolatedRoad",

@@ -59,7 +59,8 @@ def edge_pairs(pairs: DataFrame, parts_df: DataFrame, eps: float = 0.0) -> DataF
         (F.least("a_maxx", "b_maxx") - F.least("a_minx", "b_minx") + eps).alias("ix1"),
         (F.least("a_maxy", "b_maxy") - F.least("a_miny", "b_miny") + eps).alias("iy1"))
     base = S.with_rings(base, parts_df).withColumn(
-        "cs", F.expr(f"greatest(greatest(ix1 - ix0, iy1 - iy0) / least(greatest(ceil(sqrt((na + nb) / {S.EDGES_PER_SLAB})), 1), 64), 1e-9)"))
+        "cs", F.expr(f"greatest(greatest(ix1 - ix0, iy1 - iy0) / least(greatest(ceil(sqrt((na + nb) / {S.EDGES_PER_SLAB})), 1), 64), 1e-9)")
+    )
     cols = ["ring", "seq", "x1", "y1", "x2", "y2", "cx0", "cy0", "cx1", "cy1"]
     a = _side_edges(base, "a", eps).select(*K, "gx", "gy", "ix0", "iy0", "cs",
                                            *[F.col(c).alias(f"a{c}") for c in cols])

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -223,11 +224,58 @@ def with_rings(pairs: DataFrame, parts_df: DataFrame) -> DataFrame:
     return pairs.join(pa, ["a_fid", "a_part"]).join(pb, ["b_fid", "b_part"])
 
 
+SMALL_PAIR = 1024   # na * nb at or below this: exact area computed in-row
+
+_EDGE_ARRAY = """
+filter(flatten(transform(
+  transform({rings}, (r, j) -> named_struct('r', r, 'o', CASE WHEN (j = 0) = ({ring_area} > 0) THEN 1D ELSE -1D END)),
+  ro -> CASE WHEN size(ro.r) < 2 THEN array() ELSE
+  transform(sequence(0, size(ro.r) - 2), i -> named_struct(
+    'x1', ro.r[i].x - ox, 'y1', ro.r[i].y - oy, 'x2', ro.r[i + 1].x - ox, 'y2', ro.r[i + 1].y - oy,
+    's', CASE WHEN ro.r[i + 1].x < ro.r[i].x THEN ro.o ELSE -ro.o END)) END)), e -> e.x1 <> e.x2)
+"""
+
+# integral of min(f_a, f_b) over the common x-range of edges ea and eb, the
+# intermediate values bound with one-element transforms (lambda "let")
+_PAIR_TERM = """
+transform(array(named_struct('u', greatest(least(ea.x1, ea.x2), least(eb.x1, eb.x2)),
+                             'v', least(greatest(ea.x1, ea.x2), greatest(eb.x1, eb.x2)))), q ->
+  CASE WHEN q.u >= q.v THEN 0D ELSE
+  transform(array(named_struct(
+      'fau', ea.y1 + (q.u - ea.x1) * (ea.y2 - ea.y1) / (ea.x2 - ea.x1),
+      'fav', ea.y1 + (q.v - ea.x1) * (ea.y2 - ea.y1) / (ea.x2 - ea.x1),
+      'fbu', eb.y1 + (q.u - eb.x1) * (eb.y2 - eb.y1) / (eb.x2 - eb.x1),
+      'fbv', eb.y1 + (q.v - eb.x1) * (eb.y2 - eb.y1) / (eb.x2 - eb.x1))), f ->
+    transform(array(named_struct('du', f.fau - f.fbu, 'dv', f.fav - f.fbv)), d ->
+      CASE WHEN d.du * d.dv < 0 THEN
+        transform(array(q.u + (q.v - q.u) * d.du / (d.du - d.dv)), w ->
+          transform(array(ea.y1 + (w - ea.x1) * (ea.y2 - ea.y1) / (ea.x2 - ea.x1)), fw ->
+            (w - q.u) * (least(f.fau, f.fbu) + fw) / 2 + (q.v - w) * (fw + least(f.fav, f.fbv)) / 2)[0])[0]
+      ELSE (q.v - q.u) * (least(f.fau, f.fbu) + least(f.fav, f.fbv)) / 2 END)[0])[0] * ea.s * eb.s END)[0]
+"""
+
+
+def _in_row_area(base: DataFrame) -> DataFrame:
+    """Exact area for small pairs, one projection: the edges of both parts
+    (shifted to the pair origin) as arrays, summed over all edge pairs."""
+    ra = G.ring_signed_area("r")
+    ea = _EDGE_ARRAY.format(rings="a_rings", ring_area=ra)
+    eb = _EDGE_ARRAY.format(rings="b_rings", ring_area=ra)
+    x = base.select(*PAIR_KEYS, F.expr(ea).alias("ea_"), F.expr(eb).alias("eb_"))
+    total = ("aggregate(ea_, 0D, (acc, ea) -> acc + aggregate(eb_, 0D, (acc2, eb) -> acc2 + "
+             f"{_PAIR_TERM}))")
+    return x.select(*PAIR_KEYS, F.expr(total).alias("area"))
+
+
 def intersection_area(pairs: DataFrame, parts_df: DataFrame) -> DataFrame:
     """``pairs`` (a_/b_ keys and boxes, as from ``candidate_pairs``) ->
     ``a_fid, a_part, b_fid, b_part, area`` for every pair whose boxes overlap
     with positive width and height (others have area 0 and are not listed).
-    Rings must be valid (no self-crossing); orientation does not matter."""
+    Rings must be valid (no self-crossing); orientation does not matter.
+
+    Pairs with at most ``SMALL_PAIR`` edge pairs are summed in-row (bounded
+    work per row, no shuffle); larger pairs go through the slab join, so a
+    polygon with thousands of edges never meets all of its partner's edges."""
     base = pairs.select(
         *PAIR_KEYS,
         F.least("a_minx", "b_minx").alias("ox"), F.least("a_miny", "b_miny").alias("oy"),
@@ -235,19 +283,22 @@ def intersection_area(pairs: DataFrame, parts_df: DataFrame) -> DataFrame:
         (F.least("a_maxx", "b_maxx") - F.least("a_minx", "b_minx")).alias("ix1"),
         F.greatest("a_miny", "b_miny").alias("iy0"), F.least("a_maxy", "b_maxy").alias("iy1"),
     ).where("ix1 > ix0 AND iy1 > iy0")
-    base = with_rings(base, parts_df).withColumn(
+    base = with_rings(base, parts_df)
+    small = _in_row_area(base.where(f"na * nb <= {SMALL_PAIR}"))
+    big = base.where(f"na * nb > {SMALL_PAIR}").withColumn(
         "nslab", F.expr(f"CAST(least(greatest((na + nb) div {EDGES_PER_SLAB}, 1), {MAX_SLABS}) AS INT)"))
-    ea = _pair_edges(base, "a").select(
+    ea = _pair_edges(big, "a").select(
         *PAIR_KEYS, "ix0", "slab", "nslab", "ix1",
         *[F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2", "s", "lo", "hi")])
-    eb = _pair_edges(base, "b").select(
+    eb = _pair_edges(big, "b").select(
         *PAIR_KEYS, "slab", *[F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2", "s", "lo", "hi")])
     j = ea.join(eb, [*PAIR_KEYS, "slab"])
     sw = "((ix1 - ix0) / nslab)"
     j = (j.withColumn("u", F.greatest("alo", "blo")).withColumn("v", F.least("ahi", "bhi"))
           .where(F.expr(f"u < v AND slab = CAST(least(floor((u - ix0) / {sw}), nslab - 1) AS INT)")))
-    return (trapezoid_sum(j, "ax1", "ay1", "ax2", "ay2", "bx1", "by1", "bx2", "by2", "as", "bs")
-            .groupBy(*PAIR_KEYS).agg(F.sum("c").alias("area")))
+    large = (trapezoid_sum(j, "ax1", "ay1", "ax2", "ay2", "bx1", "by1", "bx2", "by2", "as", "bs")
+             .groupBy(*PAIR_KEYS).agg(F.sum("c").alias("area")))
+    return small.unionByName(large)
 
 
 def trapezoid_sum(j: DataFrame, ax1, ay1, ax2, ay2, bx1, by1, bx2, by2, sa, sb) -> DataFrame:

@@ -1,9 +1,11 @@
 """Runners (R1-R6) and report shaping.
 
-A runner builds its shared intermediates once - the part table, the valid
-parts and the pair relations (candidate join + area kernel + boundary
-contacts) - persists them, and returns one ``unionByName`` of lazily built
-violation frames in the fixed schema.  The caller triggers a single write
+A runner builds its shared intermediates once - the features, the part
+table, the valid parts and the pair relations (candidate join + area kernel
++ boundary contacts) - checkpoints them into ``spark.checkpoint.dir`` (so the
+eleven-odd checks start from short plans and survive executor loss), and
+returns one ``unionByName`` of lazily built violation frames in the fixed
+schema.  The caller triggers a single write
 or collect; nothing is iterated on the driver.
 """
 
@@ -26,23 +28,33 @@ from vectorlint.operators import network as N
 from vectorlint.operators import pairs as P
 from vectorlint.operators import spatial as S
 from vectorlint.operators.violations import violations
+from vectorlint.session import checkpoint_dir
 
 
 class Context:
-    """Shared, persisted intermediates of one validation run."""
+    """Shared, checkpointed intermediates of one validation run."""
 
     def __init__(self, features: DataFrame, keep: list[str] | None = None, work_srid: int | None = None,
                  persist: bool = True):
-        self.features = to_metric(features, work_srid) if work_srid else features
-        self.keep = [c for c in (keep or []) if c in features.columns]
+        f = to_metric(features, work_srid) if work_srid else features
         self._persist = persist
+        self.features = self._cut(f) if persist else f
+        self.keep = [c for c in (keep or []) if c in features.columns]
         self._cache: dict[str, DataFrame] = {}
 
+    def _cut(self, df: DataFrame) -> DataFrame:
+        """Materialise into ``spark.checkpoint.dir`` (shared storage on a
+        cluster): later plans start from a leaf instead of re-analysing the
+        whole geometry pipeline, and a lost executor costs a re-read, not a
+        recomputation."""
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+
     def _p(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._cache:
             df = build()
             if self._persist:
-                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+                df = self._cut(df)
             self._cache[name] = df
         return self._cache[name]
 
@@ -63,9 +75,7 @@ class Context:
         """Area-only relations (no boundary contacts) for overlap rules."""
         return self._p("rel_area", lambda: P.relate(self.valid_parts, contacts=False))
 
-    def unpersist(self) -> None:
-        for df in self._cache.values():
-            df.unpersist()
+    def release(self) -> None:
         self._cache.clear()
 
 

@@ -62,24 +62,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ------------------------------------------------------------ B1 blocks ----
 
-def _shape_expr() -> str:
-    """One literal map {shape code -> parts of rings of template points},
-    applied to (x0, y0, w, h) with nested ``transform``: small generated code."""
-    def arr(items):
-        return "array(" + ", ".join(items) + ")"
-
-    def tp(p):
-        a, b, c, d = (f"{float(v)!r}D" for v in p)
-        return f"named_struct('xc', {a}, 'xw', {b}, 'yc', {c}, 'yh', {d})"
-
-    keys = arr(str(k) for k in BLOCK_SHAPES)
-    vals = arr(arr(arr(arr(tp(p) for p in ring) for ring in part) for part in parts)
-               for parts in BLOCK_SHAPES.values())
-    tpl = f"element_at(map_from_arrays({keys}, {vals}), CAST(sk AS INT))"
-    coords = (f"transform({tpl}, pp -> transform(pp, rr -> transform(rr, q -> "
-              f"named_struct('x', x0 + q.xc + q.xw * w, 'y', y0 + q.yc + q.yh * h))))")
-    return (f"named_struct('type', CASE WHEN k IN (7, 15) THEN 'MultiPolygon' ELSE 'Polygon' END, "
-            f"'coords', {coords})")
+def _shape_table(spark: SparkSession) -> DataFrame:
+    """The templates as a 17-row table ``(sk, gtype, tpl)`` - a fixed-size
+    side for a broadcast hash join on the shape code, instead of a large
+    literal expression carried through every optimizer pass."""
+    rows = [(code, "MultiPolygon" if len(parts) > 1 else "Polygon",
+             [[[tuple(float(v) for v in pt) for pt in ring] for ring in part] for part in parts])
+            for code, parts in BLOCK_SHAPES.items()]
+    return spark.createDataFrame(
+        rows, "sk int, gtype string, tpl array<array<array<struct<xc:double,xw:double,yc:double,yh:double>>>>")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +92,13 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(CASE WHEN k IN (8, 9) THEN 13 ELSE 12 + (fid * 7) % 6 END AS DOUBLE) AS h",
         "CASE WHEN k = 14 AND fid % 32 = 14 THEN 16 ELSE k END AS sk",
     )
-    return base.select(
+    shaped = base.join(F.broadcast(_shape_table(spark)), "sk")     # 17 template rows
+    coords = ("transform(tpl, pp -> transform(pp, rr -> transform(rr, q -> "
+              "named_struct('x', x0 + q.xc + q.xw * w, 'y', y0 + q.yc + q.yh * h))))")
+    return shaped.select(
         "fid", "school_name", "p_type", "p_size", "p_brand",
         F.lit(BLOCK_SRID).alias("srid"),
-        F.expr(f"CASE WHEN fid % 64 = 0 THEN NULL ELSE {_shape_expr()} END").alias("geom"),
+        F.expr(f"CASE WHEN fid % 64 = 0 THEN NULL ELSE named_struct('type', gtype, 'coords', {coords}) END").alias("geom"),
     )
 
 
