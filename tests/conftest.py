@@ -18,6 +18,7 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
+         .config("spark.driver.memory", "8g")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="vectorlint-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")

@@ -44,6 +44,7 @@ def test_entry_runs(spark):
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     cols, rows = df.columns, [tuple(r) for r in df.collect()]
+    spark.catalog.clearCache()      # queries persist their shared intermediates
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return
