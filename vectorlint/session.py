@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -37,13 +39,17 @@ def get_spark(master: str | None = None, app: str = "vectorlint",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to shared storage; only when it is unset (local tests)
-    do we create a scratch folder of our own.
+    A cluster sets it to shared storage.  Only a local session may do without
+    (tests): it gets a scratch folder.  On a cluster a machine-local folder
+    would be invisible to the executors, so an unset folder raises there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder when the master is not local")
         d = tempfile.mkdtemp(prefix="vectorlint-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -51,6 +57,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: lineage ends there, so a lost executor costs nothing upstream."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vectorlint/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df, key: str | None = None):
     """Give per-row-heavy geometry work enough tasks: when an input arrives
     in fewer partitions than the cluster has cores (a small file), hash it
