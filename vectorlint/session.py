@@ -51,7 +51,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder when the master is not local")
         d = tempfile.mkdtemp(prefix="vectorlint-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
