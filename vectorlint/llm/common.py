@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +28,17 @@ def row_key(*cols: str) -> Column:
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else, whatever the locale or script."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def bit_table(df: DataFrame, hashed: str, bits: int):
+    """Broadcast table of 2^``bits`` flags, set at the leading bits of the
+    64-bit hashes in column ``hashed``.  Its size is fixed: Spark folds the
+    rows to at most 2^(bits-6) words before the driver sees them.  It is only
+    a filter in front of an exact join: more rows let more strangers through."""
+    lead = F.expr(f"shiftrightunsigned({hashed}, {64 - bits})")
+    folded = (df.select(F.shiftright(lead, 6).cast("int").alias("at"), (lead.bitwiseAND(F.lit(63))).cast("int").alias("bit"))
+              .groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word")).collect())
+    words = np.zeros(1 << bits - 6, np.int64)
+    for r in folded:
+        words[r[0]] = r[1]
+    return df.sparkSession.sparkContext.broadcast(np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool))
