@@ -106,7 +106,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame
     return both.where(f"100 * common >= {PERCENT} * (na + nb - common)").select("a", "b")
 
 
-def _block_links(key, table: pa.Table) -> pa.Table:
+def _block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Links that join components between the asking and the other nodes of a block."""
     ask = table.column("asks").to_numpy(zero_copy_only=False)
     label = table.column("label").to_numpy()
