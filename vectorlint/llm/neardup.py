@@ -176,6 +176,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     nodes = (signed.where("set_key IS NOT NULL").join(classes, (signed.set_key == classes.set_key) & signed.doc_id.eqNullSafe(classes.first_id))
              .select("node", "first_id", classes.set_key, "n_shingles", "signature"))
+    nodes = materialize(nodes, "nodes")
+    if not nodes.groupBy("node").count().where("count > 1").isEmpty():     # rows that repeat id and text
+        nodes = nodes.dropDuplicates(["node"])
     posted = materialize(_postings(nodes), "postings")
     lists = posted.groupBy("coordinate", "value").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     listed = materialize(posted.join(lists, ["coordinate", "value"]), "lists")
@@ -186,7 +189,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     # Full sets of the listed nodes only; a bit table keeps the others from being sent.
     wanted = nodes.join(listed.select("node").distinct(), "node", "left_semi").select("node", "set_key")
-    wanted = materialize(wanted.dropDuplicates(["node"]), "wanted")
+    wanted = materialize(wanted, "wanted")
     first = classes.join(wanted.select("set_key"), "set_key", "left_semi")
     table = bit_table(first.select(F.xxhash64("first_id").alias("h")), "h", 24)
 
@@ -205,7 +208,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     if not sets.groupBy("node").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["node"])
 
-    labels = components(_confirmed(pairs, nodes.dropDuplicates(["node"]), sets))
+    labels = components(_confirmed(pairs, nodes, sets))
     more = _finish(listed.where(f"n > {SHORT}").select("coordinate", "value", "node"), labels, sets)
     if more is not None:
         joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("final"))
