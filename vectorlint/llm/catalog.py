@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorlint.llm import bpe, decontaminate, fingerprint, langid, license, neardup, sharding, toxicity, urlfilter
+from vectorlint.llm import bpe, decontaminate, fingerprint, langid, license, lmscore, neardup, sharding, toxicity, urlfilter
 from vectorlint.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(documents(spark, sf_dir))
 
 
+@query("op6_lm_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_texts(documents(spark, sf_dir))
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
