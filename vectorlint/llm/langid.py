@@ -118,6 +118,9 @@ def _vectors(texts: list[str | None]) -> Iterator[np.ndarray | None]:
 
     def work():
         letters = np.unique(np.concatenate(run))
+        if not len(letters):
+            yield from [None] * len(run)
+            return
         keys = [_ngrams(np.searchsorted(letters, x), len(letters)) for x in run]
         used, where = np.unique(np.concatenate(keys), return_inverse=True) if len(letters) > MANY_LETTERS else _dense(np.concatenate(keys))
         bound, start = _bind(used, letters), 0
