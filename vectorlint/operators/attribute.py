@@ -35,10 +35,18 @@ def missing_value(df: DataFrame, col: str = "postcode", error_type: str = "Missi
     return violations(df.where(F.col(col).isNull()), error_type, message=F.lit(f"{col} is missing"))
 
 
+# Date formats that are accepted besides ISO.
+DATE_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d", "yyyyMMdd", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "M/d/yyyy",
+                "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss")
+
+
 def invalid_date(df: DataFrame, col: str = "legalstartdate", error_type: str = "InvalidLegalStartDate") -> DataFrame:
-    """A3: text that does not parse as a date/time (missing counts as bad).
+    """A3: text that no usual date format reads (missing counts as bad): ISO
+    date/time, day-first with / - or ., compact, and month names.
     ``try_to_timestamp`` so ANSI mode yields NULL instead of failing."""
-    bad = df.where(F.expr(f"try_to_timestamp(CAST({col} AS STRING)) IS NULL"))
+    text = f"trim(CAST({col} AS STRING))"
+    reads = ", ".join([f"try_to_timestamp({text})", *[f"try_to_timestamp({text}, '{f}')" for f in DATE_FORMATS]])
+    bad = df.where(F.expr(f"coalesce({reads}) IS NULL"))
     return violations(bad, error_type, message=F.lit(f"Cannot parse {col}"))
 
 

@@ -347,8 +347,8 @@ def within_bounding_polygon(features: DataFrame, boundary: DataFrame) -> DataFra
     one boundary polygon (``boundary``: one row with ``geom``)."""
     cx, cy = G.centroid_xy("geom")
     a = features.select("fid", F.expr(cx).alias("cx"), F.expr(cy).alias("cy"))
-    # the one boundary geometry as a scalar subquery
-    j = a.withColumn("bgeom", boundary.select("geom").limit(1).scalar())
+    # the one boundary geometry as a scalar subquery; Spark raises if there are several
+    j = a.withColumn("bgeom", boundary.select("geom").scalar())
     bad = j.where(F.expr(f"cx IS NULL OR NOT {G.point_in_polygon('bgeom', 'cx', 'cy')}"))
     return violations(bad, "WithinBoundingPolygon", message=F.lit("Feature centroid outside boundary"))
 
@@ -362,7 +362,7 @@ def outside_extent(parts_df: DataFrame, extent_parts: DataFrame) -> DataFrame:
     inside = ar.groupBy("a_fid", "a_part").agg(F.sum("area").alias("inside"))
     a = _geom_expr(parts_df, G.part_area("rings"), "area").join(
         inside, (F.col("fid") == F.col("a_fid")) & (F.col("part") == F.col("a_part")), "left")
-    bad = a.where("coalesce(inside, 0D) < area - 1e-9 * greatest(area, 1D)")
+    bad = a.where("coalesce(inside, 0D) < area - 1e-9 * area")
     return violations(bad, "OutsideExtent", part="part", message=F.lit("Feature outside provided extent"),
                       metric="area - coalesce(inside, 0D)")
 
@@ -372,7 +372,8 @@ def parts_self_overlap(parts_df: DataFrame, tol: float = 0.0) -> DataFrame:
     row per feature."""
     multi = parts_df.where("gtype = 'MultiPolygon'")
     pairs = S.candidate_pairs(multi).where("a_fid = b_fid")
-    ar = S.intersection_area(pairs, multi).where(F.col("area") > F.lit(tol) + 1e-9)
+    from vectorlint.operators.pairs import relate
+    ar = relate(multi, pairs, contacts=False).where((F.col("area") > F.lit(tol)) & (F.col("area") > 0))
     bad = ar.groupBy(F.col("a_fid").alias("fid")).agg(F.sum("area").alias("area"))
     return violations(bad, "PartsSelfOverlap", message=F.lit("MultiPolygon parts overlap"), metric="area")
 

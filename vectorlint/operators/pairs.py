@@ -23,7 +23,10 @@ from vectorlint.operators import spatial as S
 from vectorlint.operators.violations import violations
 
 K = S.PAIR_KEYS
-AREA_EPS = 1e-9
+#: A shared area counts if it exceeds this share of the smaller part's box: the
+#: kernels' rounding noise grows with the boxes (about 1e-17 of them per edge
+#: pair), so the same test holds in metres and in degrees.
+REL_EPS = 1e-12
 
 
 # -------------------------------------------------------- edge contacts ----
@@ -125,12 +128,14 @@ def pair_contacts(pairs: DataFrame, parts_df: DataFrame) -> DataFrame:
 
 def relate(parts_df: DataFrame, pairs: DataFrame | None = None, cell: float | None = None,
            contacts: bool = True) -> DataFrame:
-    """Candidate part pairs with ``area`` (shared area), ``meets`` (boundaries
-    meet), ``shared_len``; the basis of every overlap / touch rule.  With
+    """Candidate part pairs with ``area`` (shared area, 0 up to the rounding
+    noise of their boxes), ``meets`` (boundaries meet), ``shared_len``; the basis of every overlap / touch rule.  With
     ``contacts=False`` only the area kernel runs (meets/shared_len False/0)."""
     pairs = pairs if pairs is not None else S.candidate_pairs(parts_df, cell=cell).persist(StorageLevel.MEMORY_AND_DISK)
     ar = S.intersection_area(pairs, parts_df)
-    out = pairs.select(*K).join(ar, K, "left")
+    box = F.expr(" * ".join(["least((a_maxx - a_minx) * (a_maxy - a_miny), (b_maxx - b_minx) * (b_maxy - b_miny))", repr(REL_EPS) + "D"]))
+    out = pairs.select(*K, box.alias("noise")).join(ar, K, "left")
+    out = out.withColumn("area", F.expr("CASE WHEN area > noise THEN area END")).drop("noise")
     if contacts:
         out = out.join(pair_contacts(pairs, parts_df), K, "left")
     else:
@@ -148,7 +153,7 @@ def _part_areas(parts_df: DataFrame) -> DataFrame:
 
 
 def _positive(area_col: str = "area") -> str:
-    return f"{area_col} > {AREA_EPS}"
+    return f"{area_col} > 0"
 
 
 def feature_relations(rel: DataFrame) -> DataFrame:
@@ -200,7 +205,7 @@ def overlap_block(parts_df: DataFrame, rel: DataFrame | None = None, min_area: f
     """P2 Overlap: overlap area > min_area; both rows; metric = overlap
     area, metric2 = overlap / own area."""
     rel = rel if rel is not None else relate(parts_df, contacts=False)
-    ov = rel.where(f"area > greatest({min_area!r}D, {AREA_EPS})").select(*K, "area")
+    ov = rel.where(f"area > greatest({min_area!r}D, 0D)").select(*K, "area")
     both = _mirror(ov)
     pa = _part_areas(parts_df).select(F.col("fid").alias("a_fid"), F.col("part").alias("a_part"), "parea")
     both = both.join(pa, ["a_fid", "a_part"], "left")
@@ -322,20 +327,24 @@ def enclave(parts_df: DataFrame, rel: DataFrame | None = None, name_col: str = "
     ov = _mirror(rel.where(_positive()).select(*K, "area"))
     j = (ov.join(pa.select(F.col("fid").alias("a_fid"), F.col("part").alias("a_part"), F.col("parea").alias("aa"), F.col("nm").alias("an")), ["a_fid", "a_part"])
            .join(pa.select(F.col("fid").alias("b_fid"), F.col("part").alias("b_part"), F.col("nm").alias("bn")), ["b_fid", "b_part"]))
-    inside = j.where(f"abs(area - aa) <= {AREA_EPS} * greatest(aa, 1D) AND NOT (an <=> bn)")
+    inside = j.where("abs(area - aa) <= 1e-9 * aa AND NOT (an <=> bn)")
     return violations(inside, "Enclave", fid="a_fid", part="a_part", other_fid="b_fid", other_part="b_part",
                       message=F.lit("Polygon is fully inside a different suburb"), metric="area",
                       attrs=F.map_from_arrays(F.array(F.lit("inner_suburb"), F.lit("outer_suburb")), F.array("an", "bn")))
 
 
 def boundary_misalignment(parts_df: DataFrame, tolerance: float = 0.5, cell: float | None = None) -> DataFrame:
-    """P9 BoundaryMisalignment (re-aimed): neighbouring parts whose
-    boundaries come within ``tolerance`` of each other without meeting
-    (closest edge distance in (0, tolerance]); both rows, metric = distance."""
+    """P9 BoundaryMisalignment (re-aimed): neighbouring parts of which some
+    vertex lies off the other's boundary, yet within ``tolerance`` of it
+    (distance in (0, tolerance]); a contact elsewhere hides nothing.  Both
+    rows, metric = the smallest such distance."""
     pairs = S.candidate_pairs(parts_df, cell=cell, eps=tolerance / 2).where("a_fid <> b_fid")
     ep = edge_pairs(pairs, parts_df, eps=tolerance / 2)
-    d = ep.groupBy(*K).agg(F.min(F.expr(SEG_DIST)).alias("d"))
-    bad = d.where(f"d > 0 AND d <= {tolerance!r}D")
+    # Every vertex starts one edge of its closed ring; its distance is the least over the partner's near edges.
+    sides = F.expr(f"""array(named_struct('side', 'a', 'ring', aring, 'seq', aseq, 'd', {_pt_seg('ax1', 'ay1', 'bx1', 'by1', 'bx2', 'by2')}),
+                             named_struct('side', 'b', 'ring', bring, 'seq', bseq, 'd', {_pt_seg('bx1', 'by1', 'ax1', 'ay1', 'ax2', 'ay2')}))""")
+    v = ep.select(*K, F.explode(sides).alias("v")).groupBy(*K, "v.side", "v.ring", "v.seq").agg(F.min("v.d").alias("d"))
+    bad = v.where(f"d > 0 AND d <= {tolerance!r}D").groupBy(*K).agg(F.min("d").alias("d"))
     return violations(_mirror(bad), "BoundaryMisalignment", fid="a_fid", part="a_part", other_fid="b_fid",
                       other_part="b_part", message=F.lit("Suspicious shared boundary alignment"), metric="d")
 
@@ -411,33 +420,31 @@ def adjacency_graph(features: DataFrame, edges_df: DataFrame) -> DataFrame:
     return e.select("n_nodes", "n_edges", F.round(F.expr("2 * n_edges / nullif(n_nodes, 0)"), 6).alias("avg_degree"))
 
 
-def connected_components(nodes: DataFrame, edges_df: DataFrame, checkpoint_every: int = 2,
-                         max_iter: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges_df: DataFrame) -> DataFrame:
     """``fid, component`` (component = smallest fid in it).
 
     Min-label propagation with pointer jumping: each round every node takes
     the smallest label among itself and its neighbours, then jumps to its
     label's label, so label chains halve and a path of length d settles in
     about log2(d) rounds.  Every step is a join + group-by (hot labels are
-    split by AQE's skew join); lineage is cut with ``checkpoint()`` into
-    ``spark.checkpoint.dir``; the loop stops when no label changes."""
+    split by AQE's skew join); each round's labels are cut off with
+    ``checkpoint()`` into ``spark.checkpoint.dir``; the loop ends only when
+    no label changes."""
     from vectorlint.session import checkpoint_dir
     spark = nodes.sparkSession
     checkpoint_dir(spark)
     und = edges_df.select("src", "dst").unionByName(edges_df.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     und = und.where("src <> dst").distinct().checkpoint()
     labels = nodes.select("fid").distinct().select("fid", F.col("fid").alias("label")).checkpoint()
-    for it in range(max_iter):
+    changed = True
+    while changed:
         nb = und.join(labels.withColumnRenamed("fid", "dst"), "dst").groupBy("src").agg(F.min("label").alias("nl"))
         l1 = labels.join(nb.withColumnRenamed("src", "fid"), "fid", "left").select(
             "fid", F.least("label", F.coalesce("nl", "label")).alias("label"), F.col("label").alias("old"))
         jump = l1.select(F.col("fid").alias("label"), F.col("label").alias("l2"))
-        l2 = l1.join(jump, "label", "left").select("fid", F.least("label", F.coalesce("l2", "label")).alias("label"), "old")
-        l2 = l2.checkpoint() if it % checkpoint_every == checkpoint_every - 1 else l2.cache()
-        changed = l2.where("label <> old").limit(1).count()
+        l2 = l1.join(jump, "label", "left").select("fid", F.least("label", F.coalesce("l2", "label")).alias("label"), "old").checkpoint()
+        changed = not l2.where("label <> old").isEmpty()
         labels = l2.select("fid", "label")
-        if changed == 0:
-            break
     return labels.select("fid", F.col("label").alias("component"))
 
 
@@ -451,12 +458,13 @@ def component_summary(components: DataFrame) -> DataFrame:
 
 def topological_gaps(parts_df: DataFrame) -> DataFrame:
     """P18 TopologicalGaps (re-aimed): holes in a coverage.  Edges used by
-    exactly one part are free boundary; free edges are chained into rings
-    by connected components over their shared end points; a ring whose
-    signed area (in the direction of the owning polygons' CCW exteriors) is
-    negative bounds a gap, the positive one is the outer boundary.
-    One row per gap ring: metric = gap area, metric2 = number of edges.
-    Assumes neighbours share vertices (no T-junctions)."""
+    exactly one part are free boundary, directed with the polygon on their
+    left.  Each free edge is followed by the free edge that leaves its end
+    point nearest anticlockwise from the way back, so the uncovered area stays on
+    the right and rings that only meet in a point stay apart: one ring, one
+    face.  A ring of negative signed area bounds a gap.  One row per gap:
+    metric = area, metric2 = number of edges, attrs.component = "x,y" of its
+    smallest vertex.  Assumes neighbours share vertices (no T-junctions)."""
     e = S.edges(parts_df.where("gtype IN ('Polygon', 'MultiPolygon')"))
     ring_sign = parts_df.select("fid", "part", F.posexplode("rings").alias("ring", "pts")).select(
         "fid", "part", F.col("ring").cast("int").alias("ring"),
@@ -468,16 +476,26 @@ def topological_gaps(parts_df: DataFrame) -> DataFrame:
     e = e.select(F.when(F.col("o") > 0, p1).otherwise(p2).alias("p"), F.when(F.col("o") > 0, p2).otherwise(p1).alias("q"))
     und = e.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), "p", "q")
     free = und.groupBy("u", "v").agg(F.count("*").alias("n"), F.first("p").alias("p"), F.first("q").alias("q")).where("n = 1")
-    free = free.select(F.xxhash64("p.x", "p.y").alias("src"), F.xxhash64("q.x", "q.y").alias("dst"), "p", "q")
-    nodes = free.select(F.col("src").alias("fid")).unionByName(free.select(F.col("dst").alias("fid"))).distinct()
-    comp = connected_components(nodes, free.select("src", "dst"))
-    ring = free.join(comp.withColumnRenamed("fid", "src"), "src")
-    area = ring.groupBy("component").agg(
-        (F.sum(F.expr("p.x * q.y - q.x * p.y")) / 2).alias("sa"), F.count("*").alias("n_edges"))
+    free = free.select(F.struct(F.col("p.x").alias("x"), F.col("p.y").alias("y")).alias("p"), F.struct(F.col("q.x").alias("x"), F.col("q.y").alias("y")).alias("q"))
+    # The next edge of p->q among those leaving q: the least angle, turning anticlockwise, from q->p.
+    leaving = free.select(F.col("p").alias("at"), F.col("q").alias("to"), F.expr("atan2(q.y - p.y, q.x - p.x)").alias("out"))
+    turn = F.expr("pmod(out - atan2(p.y - q.y, p.x - q.x), 2 * pi())")
+    step = (free.join(leaving, free.q == leaving["at"]).withColumn("turn", F.when(turn <= 0, 2 * F.pi()).otherwise(turn))
+            .groupBy("p", "q").agg(F.min(F.struct("turn", "to")).alias("n")).select("p", "q", F.col("n.to").alias("to")))
+    from vectorlint.session import materialize
+    edges = materialize(step.withColumn("id", F.monotonically_increasing_id()), "free-edges")
+    after = edges.select(F.col("id").alias("dst"), F.col("p").alias("np"), F.col("q").alias("nq"))
+    links = edges.join(after, (edges.q == after["np"]) & (edges["to"] == after["nq"])).select(F.col("id").alias("src"), "dst")
+    comp = connected_components(edges.select(F.col("id").alias("fid")), links)
+    ring = edges.join(comp.withColumnRenamed("fid", "id"), "id")
+    low = ring.groupBy("component").agg(F.min("p").alias("o"))
+    # Coordinates are taken from the ring's smallest vertex, which keeps small gaps far from the origin exact.
+    area = ring.join(low, "component").groupBy("component", "o").agg(
+        (F.sum(F.expr("(p.x - o.x) * (q.y - o.y) - (q.x - o.x) * (p.y - o.y)")) / 2).alias("sa"), F.count("*").alias("n_edges"))
     gaps = area.where("sa < 0")
     return violations(gaps, "TopologicalGaps", fid=None, message=F.lit("Potential gaps between polygons"),
                       metric="-sa", metric2="n_edges",
-                      attrs=F.create_map(F.lit("component"), F.col("component").cast("string")))
+                      attrs=F.create_map(F.lit("component"), F.concat_ws(",", F.col("o.x").cast("string"), F.col("o.y").cast("string"))))
 
 
 def _ring_area(pts: str) -> str:

@@ -313,13 +313,18 @@ def q_enclave(spark, sf):
 
 _MIS = [FX.suburbs_sql("shifted"), O.edges_sql("b2_v", "b2_e"), O.part_boxes_sql("b2_v", "b2_bx"),
         O.box_pairs_sql("b2_bx", "b2_cand", eps=0.25, where="a.fid <> b.fid"), f"""
-dist AS (
-  SELECT c.a_fid, c.a_part, c.b_fid, c.b_part, min({O.seg_dist_sql('ea', 'eb')}) AS d
-  FROM b2_cand c JOIN b2_e ea ON ea.fid = c.a_fid AND ea.part = c.a_part JOIN b2_e eb ON eb.fid = c.b_fid AND eb.part = c.b_part
-  WHERE least(ea.x1, ea.x2) - 0.25 <= greatest(eb.x1, eb.x2) + 0.25 AND least(eb.x1, eb.x2) - 0.25 <= greatest(ea.x1, ea.x2) + 0.25
-    AND least(ea.y1, ea.y2) - 0.25 <= greatest(eb.y1, eb.y2) + 0.25 AND least(eb.y1, eb.y2) - 0.25 <= greatest(ea.y1, ea.y2) + 0.25
-  GROUP BY c.a_fid, c.a_part, c.b_fid, c.b_part
+sides AS (SELECT * FROM (SELECT a_fid, a_part, b_fid, b_part FROM b2_cand) UNION ALL SELECT b_fid AS a_fid, b_part AS a_part, a_fid AS b_fid, a_part AS b_part FROM b2_cand),
+near AS (
+  SELECT c.a_fid, c.a_part, c.b_fid, c.b_part, v.x1 AS px, v.y1 AS py, min(sqrt(
+    pow(v.x1 - e.x1 - least(1.0, greatest(0.0, ((v.x1 - e.x1) * (e.x2 - e.x1) + (v.y1 - e.y1) * (e.y2 - e.y1)) / (pow(e.x2 - e.x1, 2) + pow(e.y2 - e.y1, 2)))) * (e.x2 - e.x1), 2) +
+    pow(v.y1 - e.y1 - least(1.0, greatest(0.0, ((v.x1 - e.x1) * (e.x2 - e.x1) + (v.y1 - e.y1) * (e.y2 - e.y1)) / (pow(e.x2 - e.x1, 2) + pow(e.y2 - e.y1, 2)))) * (e.y2 - e.y1), 2))) AS d
+  FROM (SELECT a_fid, a_part, b_fid, b_part FROM sides) c JOIN b2_e v ON v.fid = c.a_fid AND v.part = c.a_part JOIN b2_e e ON e.fid = c.b_fid AND e.part = c.b_part
+  WHERE pow(e.x2 - e.x1, 2) + pow(e.y2 - e.y1, 2) > 0
+  GROUP BY ALL
 ),
+dist AS (SELECT least(a_fid, b_fid) AS a_fid, CASE WHEN a_fid < b_fid THEN a_part ELSE b_part END AS a_part,
+                greatest(a_fid, b_fid) AS b_fid, CASE WHEN a_fid < b_fid THEN b_part ELSE a_part END AS b_part, min(d) AS d
+         FROM near WHERE d > 0 AND d <= 0.5 GROUP BY ALL),
 hit AS (SELECT * FROM dist WHERE d > 0 AND d <= 0.5)"""]
 
 

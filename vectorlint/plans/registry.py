@@ -13,6 +13,7 @@ feature with a huge status history is not gathered into one task.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,34 +174,40 @@ class RegistryStore:
     def _fs(self, path: str):
         return self._Path(path).getFileSystem(self._conf)
 
-    def _latest(self, table: str) -> str | None:
+    def _folders(self, table: str, kind: str) -> list[str]:
+        """Complete folders ``<kind>=<time>-<name>`` of a table, oldest first."""
         base = f"{self.root}/{table}"
         fs = self._fs(base)
         if not fs.exists(self._Path(base)):
-            return None
-        vers = sorted(st.getPath().getName() for st in fs.listStatus(self._Path(base))
-                      if st.isDirectory() and st.getPath().getName().startswith("v="))
-        for v in reversed(vers):
-            if fs.exists(self._Path(f"{base}/{v}/_SUCCESS")):
-                return f"{base}/{v}"
-        return None
+            return []
+        names = sorted(st.getPath().getName() for st in fs.listStatus(self._Path(base)) if st.isDirectory())
+        return [n for n in names if n.startswith(f"{kind}=") and fs.exists(self._Path(f"{base}/{n}/_SUCCESS"))]
 
     def read(self, table: str) -> DataFrame | None:
-        snap = self._latest(table)
-        if snap is not None:
-            return self.spark.read.parquet(snap)
-        app = f"{self.root}/{table}/append"
-        if self._fs(app).exists(self._Path(app)):
-            return self.spark.read.parquet(app)
-        return None
+        """The newest snapshot and every append made after it."""
+        snaps = self._folders(table, "v")
+        since = snaps[-1].partition("=")[2] if snaps else ""
+        found = snaps[-1:] + [n for n in self._folders(table, "a") if n.partition("=")[2] > since]
+        frames = [self.spark.read.parquet(f"{self.root}/{table}/{n}") for n in found]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
     def write(self, table: str, df: DataFrame) -> str:
-        import time
-        ver = f"v={int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+        ver = f"v={self._now()}-{uuid.uuid4().hex[:8]}"
         df.write.mode("errorifexists").parquet(f"{self.root}/{table}/{ver}")
         return ver
 
-    def append(self, table: str, df: DataFrame) -> None:
-        """Q11: append rows, scalar columns only."""
+    def _now(self) -> str:
+        import time
+        return f"{int(time.time() * 1000):015d}"
+
+    def append(self, table: str, df: DataFrame, key: str | None = None) -> None:
+        """Q11: append rows, scalar columns only.  Rows appended under a
+        ``key`` replace those of an earlier try with the same key."""
         scalar = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("struct", "array", "map")]
-        df.select(*scalar).write.mode("append").parquet(f"{self.root}/{table}/append")
+        name = f"a={self._now()}-{key or uuid.uuid4().hex[:8]}"
+        if key is not None:
+            base = f"{self.root}/{table}"
+            fs = self._fs(base)
+            before = [st.getPath().getName() for st in fs.listStatus(self._Path(base))] if fs.exists(self._Path(base)) else []
+            name = next((n for n in before if n.startswith("a=") and n.partition("-")[2] == key), name)
+        df.select(*scalar).write.mode("overwrite").parquet(f"{self.root}/{table}/{name}")

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from vectorlint.functions import geometry as G
 from vectorlint.functions.projection import to_metric
+from vectorlint.model import SRID_GEOGRAPHIC
 from vectorlint.operators import attribute as A
 from vectorlint.operators import feature as FE
 from vectorlint.operators import network as N
@@ -32,13 +33,24 @@ from vectorlint.session import checkpoint_dir
 
 
 class Context:
-    """Shared, checkpointed intermediates of one validation run."""
+    """Shared, checkpointed intermediates of one validation run.
+
+    ``source`` is the input in its own CRS: rules about the CRS, coordinate
+    precision, bounding boxes in degrees and equality of geometries use it.
+    ``features`` is the metric frame (geographic rows projected to
+    ``work_srid``): area and length rules use it.  If no row is projected the
+    two are one."""
 
     def __init__(self, features: DataFrame, keep: list[str] | None = None, work_srid: int | None = None,
                  persist: bool = True):
-        f = to_metric(features, work_srid) if work_srid else features
         self._persist = persist
-        self.features = self._cut(f) if persist else f
+        self.source = self._cut(features) if persist else features
+        geographic = [k for k, v in SRID_GEOGRAPHIC.items() if v]
+        self.projected = bool(work_srid) and not self.source.where(F.col("srid").isNull() | F.col("srid").isin(geographic)).isEmpty()
+        self.features = self.source
+        if self.projected:
+            f = to_metric(self.source, work_srid)
+            self.features = self._cut(f) if persist else f
         self.keep = [c for c in (keep or []) if c in features.columns]
         self._cache: dict[str, DataFrame] = {}
 
@@ -62,6 +74,19 @@ class Context:
     def parts(self) -> DataFrame:
         return self._p("parts", lambda: S.parts(self.features, keep=["srid", *self.keep]))
 
+    @property
+    def source_parts(self) -> DataFrame:
+        """Parts in the source CRS."""
+        return self._p("source_parts", lambda: S.parts(self.source, keep=["srid", *self.keep])) if self.projected else self.parts
+
+    @property
+    def source_valid(self) -> DataFrame:
+        return self._p("source_valid", lambda: FE.valid_parts(self.source_parts)) if self.projected else self.valid_parts
+
+    @property
+    def source_rel_area(self) -> DataFrame:
+        return self._p("source_rel_area", lambda: P.relate(self.source_valid, contacts=False)) if self.projected else self.rel_area
+
     @property
     def valid_parts(self) -> DataFrame:
         return self._p("valid", lambda: FE.valid_parts(self.parts))
@@ -83,10 +108,6 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _retype(v: DataFrame, error_type: str) -> DataFrame:
-    return v.withColumn("error_type", F.lit(error_type))
-
-
 # ---------------------------------------------------------------- R1-R5 ----
 
 def run_suburb(ctx: Context, min_area_m2: float = 30, min_shared_len_m: float = 5,
@@ -95,7 +116,7 @@ def run_suburb(ctx: Context, min_area_m2: float = 30, min_shared_len_m: float =
     f, p, vp = ctx.features, ctx.parts, ctx.valid_parts
     frames = [
         FE.geometry_valid(f, p, error_type="InvalidGeometry"),
-        P.overlap_suburb(vp, ctx.rel_area),
+        P.overlap_suburb(ctx.source_valid, ctx.source_rel_area),
         FE.sliver_area(vp, min_area_m2),
         FE.area_non_positive(f),
         P.topological_gaps(vp),
@@ -104,9 +125,9 @@ def run_suburb(ctx: Context, min_area_m2: float = 30, min_shared_len_m: float =
         P.boundary_misalignment(vp, 0.5),
         P.short_shared_boundary(vp, ctx.rel, min_shared_len_m),
         P.enclave(vp, ctx.rel_area),
-        A.crs_not_projected(f),
+        A.crs_not_projected(ctx.source),
         FE.centroid_outside(vp),
-        P.duplicate_geometry(f, "DuplicateGeometry"),
+        P.duplicate_geometry(ctx.source, "DuplicateGeometry"),
     ]
     if all(c in f.columns for c in ("suburb", "postcode", "legalstartdate")):
         frames += [A.duplicate_name(f), A.missing_value(f), A.invalid_date(f)]
@@ -132,8 +153,8 @@ def run_building(ctx: Context, overlap_tol_m2: float = 0.05, holes_ratio_max: fl
         FE.geometry_not_empty(f),
         FE.geometry_valid(f, p, error_type="GeometryValid"),
         FE.polygons_only(f),
-        P.duplicate_geometry(f, "DuplicateGeometries"),
-        A.expected_crs(f, (4326, 7844)),
+        P.duplicate_geometry(ctx.source, "DuplicateGeometries"),
+        A.expected_crs(ctx.source, (4326, 7844)),
         P.overlap_building(vp, ctx.rel_area, overlap_tol_m2),
         FE.holes_area_ratio(f, holes_ratio_max),
         FE.holes_total_area(f, hole_total_area_max_m2),
@@ -154,9 +175,10 @@ def run_blocks(ctx: Context, min_len_m: float = 2.0, bbox=((140.0, -40.0), (150.
         FE.wrong_orientation(vp),
         P.nonmanifold_edge(vp),
         FE.acute_angle(vp, 5.0),
-        FE.excessive_precision(vp),
+        # Decimals say nothing about degrees, so geographic rows are left out.
+        FE.excessive_precision(ctx.source_valid.where(~F.coalesce(F.col("srid"), F.lit(4326)).isin([k for k, v in SRID_GEOGRAPHIC.items() if v]))),
         FE.triangulation_not_closed(vp, 0.1),
-        FE.outside_bbox(p, bbox),
+        FE.outside_bbox(ctx.source_parts, bbox),
     ])
 
 
@@ -178,12 +200,31 @@ RUNNERS = {"suburb": run_suburb, "building": run_building, "blocks": run_blocks,
 WORK_SRID = {"suburb": 3107, "building": 7855, "blocks": 3107, "floor": None}
 
 
-def validate(features: DataFrame, dataset_type: str, keep: list[str] | None = None, **params) -> DataFrame:
-    """One entry point: dataset type -> runner -> violations."""
+def validate(features: DataFrame, dataset_type: str, keep: list[str] | None = None, clean: bool = False, **params) -> DataFrame:
+    """One entry point: dataset type -> guard (S13) -> runner -> violations.
+
+    Raises ``ValueError`` if no row has a geometry type of the dataset.  With
+    ``clean`` null and empty geometries, repeated vertices and ring directions
+    are mended first (S15).  Rows in an unknown CRS, which metric rules can't
+    measure, and degrees out of range (S14) get violation rows of their own."""
+    from vectorlint.sources import ingest as I
+    if clean:
+        features = I.clean_geometry(features)
+    guard = I.dataset_guard(features, dataset_type).first()
+    if guard.types and not guard.ok:
+        raise ValueError(f"no {dataset_type} geometries among the types {guard.types}")
     if dataset_type == "road":
         return run_road(features, **params)
     ctx = Context(features, keep=keep, work_srid=WORK_SRID.get(dataset_type))
-    return RUNNERS[dataset_type](ctx, **params)
+    frames = [RUNNERS[dataset_type](ctx, **params)]
+    if ctx.projected:
+        geographic = ctx.source.where(F.coalesce(F.col("srid"), F.lit(4326)).isin([k for k, v in SRID_GEOGRAPHIC.items() if v]))
+        frames.append(violations(I.coord_range_check(geographic).where("NOT ok").withColumn("fid", F.lit(None).cast("bigint")), "CoordinateRange", fid=None,
+                                 message=F.lit("Coordinates are not longitudes and latitudes"), metric="lat_share", metric2="lon_share"))
+    if WORK_SRID.get(dataset_type):
+        frames.append(violations(ctx.source.where(F.col("srid").isNotNull() & ~F.col("srid").isin(list(SRID_GEOGRAPHIC))), "ReprojectionError",
+                                 message=F.lit("Unsupported coordinate system; not projected")))
+    return _union(frames)
 
 
 # ------------------------------------------------------------------- R6 ----

@@ -251,18 +251,20 @@ def read_csv(spark: SparkSession, path: str, id_col: str | None = None, srid: in
 
 
 def attach_geometry(df: DataFrame, srid: int = 4326) -> DataFrame:
-    """Pick the geometry source of a plain table.  The candidate
-    list is a one-row-per-column aggregate collected to the driver (tiny)."""
-    cands = [r["column"] for r in geometry_candidates(df).orderBy("how", "pos").collect()]
+    """Pick the geometry source of a plain table.  Numeric lon/lat
+    columns go before a geometry text column; texts whose second number says
+    latitude first are swapped (S8).  The candidate list is a
+    one-row-per-column aggregate collected to the driver (tiny)."""
     lon, lat = detect_lonlat(df.columns)
-    out = None
-    if cands:
-        c = cands[0]
-        out = df.withColumn("geom", F.coalesce(decode_geometry_text(F.col(c)), wkt_geometry(c)))
-    elif lon and lat:
+    if lon and lat:
         out = from_lonlat(df, lon, lat)
     else:
-        out = df.withColumn("geom", F.lit(None).cast(_geom_type()))
+        cands = [r["column"] for r in geometry_candidates(df).orderBy("how", "pos").collect()]
+        if cands:
+            c = cands[0]
+            out = swap_if_latlon(df.withColumn("geom", F.coalesce(decode_geometry_text(F.col(c)), wkt_geometry(c))), c)
+        else:
+            out = df.withColumn("geom", F.lit(None).cast(_geom_type()))
     return out.withColumn("srid", F.lit(srid)).where("geom IS NOT NULL")   # S11
 
 
