@@ -106,6 +106,20 @@ def q_road_bbox_outlier(spark, sf):
     return _cmp(road_bbox_outlier(_roads(spark, sf)))
 
 
+_TRIANGLE = ((100.3, -20.0), (1500.7, -10.0), (700.1, 60.9))
+_LEFT = " AND ".join(f"({bx - ax!r}) * ((y1 + y2) / 2 - ({ay!r})) - ({by - ay!r}) * ((x1 + x2) / 2 - ({ax!r})) > 0"
+                     for (ax, ay), (bx, by) in zip(_TRIANGLE, (*_TRIANGLE[1:], _TRIANGLE[0])))
+
+
+@register("within_bounding_polygon", with_(FX.roads_sql()) + f"SELECT {vsel(et='WithinBoundingPolygon')} FROM b3 WHERE NOT ({_LEFT})")
+def q_within_bounding_polygon(spark, sf):
+    """road centroids outside one boundary polygon (oracle: half planes)."""
+    from vectorlint.operators.feature import within_bounding_polygon
+    ring = ", ".join(f"named_struct('x', {x!r}D, 'y', {y!r}D)" for x, y in (*_TRIANGLE, _TRIANGLE[0]))
+    boundary = spark.range(1).select(F.expr(f"named_struct('type', 'Polygon', 'coords', array(array(array({ring}))))").alias("geom"))
+    return _cmp(within_bounding_polygon(_roads(spark, sf), boundary))
+
+
 @register("duplicate_road_geometry", with_(FX.roads_sql(), """
 grp AS (SELECT x1, y1, x2, y2, count(*) AS n FROM b3 GROUP BY x1, y1, x2, y2 HAVING count(*) > 1)""") +
           f"\nSELECT {vsel(fid='b.fid', et='DuplicateGeometry', m='g.n')} FROM b3 b JOIN grp g ON g.x1 = b.x1 AND g.y1 = b.y1 AND g.x2 = b.x2 AND g.y2 = b.y2")

@@ -168,3 +168,19 @@ def q_feature_hash(spark, sf):
     """Registry hash of each road violation."""
     v = N.endpoint_isolated(FX.roads(spark, sf))
     return v.select("fid", RG.feature_hash("road").alias("feature_hash"))
+
+
+@register("append_failed", with_(B6) + "\nSELECT run_id, rule_key, feature_hash, status_id FROM b6")
+def q_append_failed(spark, sf):
+    """Q11: runs 0-1 as a snapshot, run 2 appended, run 3 appended twice under
+    one key (a batch tried again): read back, every row is there once."""
+    import uuid
+
+    from vectorlint.session import checkpoint_dir
+    h = _hist(spark, sf).select("run_id", "rule_key", "feature_hash", "status_id")
+    store = RG.RegistryStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/vectorlint/registry-{uuid.uuid4().hex}")
+    store.write("violations", h.where("run_id <= 1"))
+    store.append("violations", h.where("run_id = 2"))
+    for _ in range(2):
+        store.append("violations", h.where("run_id >= 3"), key="run-3")
+    return store.read("violations")

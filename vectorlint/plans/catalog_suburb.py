@@ -430,3 +430,23 @@ SELECT 'TopologicalGaps' AS error_type, round(-sa, 6) AS metric, round(CAST(n AS
 def q_topological_gaps(spark, sf):
     """P18 (re-aimed): holes of the suburb coverage, one row per gap ring."""
     return _cmp(P.topological_gaps(_suburb_parts(spark, sf))).drop("fid", "part", "other_fid", "other_part")
+
+
+_EXTENT = """ext AS (SELECT min(minx) AS x0, min(miny) AS y0, floor((min(minx) + 2 * max(maxx)) / 3) + 0.5 AS x1, floor((min(miny) + 2 * max(maxy)) / 3) + 0.25 AS y1 FROM b2_bx),
+inb AS (SELECT p.fid, p.part, p.area, b.minx, b.miny, b.maxx, b.maxy, x0, y0, x1, y1 FROM b2_pa p JOIN b2_bx b ON b.fid = p.fid AND b.part = p.part, ext)"""
+
+
+@register("outside_extent", with_(*b2_ctes(), _EXTENT) + f"""
+SELECT {vsel(part='part', et='OutsideExtent', m='area - greatest(0, least(maxx, x1) - greatest(minx, x0)) * greatest(0, least(maxy, y1) - greatest(miny, y0))')}
+FROM inb WHERE maxx > x1 OR maxy > y1""")
+def q_outside_extent(spark, sf):
+    """suburb parts (boxes) not within an extent of two thirds of the coverage each way."""
+    from vectorlint.operators.feature import outside_extent
+    sp = _suburb_parts(spark, sf)
+    e = sp.agg(F.min("minx").alias("x0"), F.min("miny").alias("y0"), F.expr("floor((min(minx) + 2 * max(maxx)) / 3) + 0.5D").alias("x1"), F.expr("floor((min(miny) + 2 * max(maxy)) / 3) + 0.25D").alias("y1"))
+    corner = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
+    ring = ", ".join(corner(x, y) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0")))
+    extent = e.select(F.lit(-1).cast("bigint").alias("fid"), F.expr(f"named_struct('type', 'Polygon', 'coords', array(array(array({ring}))))").alias("geom"))
+    from vectorlint.operators import spatial as S
+    keys = ["fid", "part", "gtype", "rings", "minx", "miny", "maxx", "maxy", "nedges"]
+    return _cmp(outside_extent(sp.select(*keys), S.parts(extent).select(*keys)))
