@@ -12,8 +12,9 @@ logistic curve over their sum turns evidence into a probability.
 
 What is learned, and from what: the character model counts trigrams of all
 documents of the training fold; word weights and the curve come from at most
-``TRAIN_ROWS`` labelled training rows, chosen by a hash of their id, with each
-row's own label left out of the weights that it is fitted with.
+``TRAIN_ROWS`` labelled training rows, chosen by a hash of their id.  Copies and
+near copies among them share one vote, and the curve is fitted on evidence
+whose weights the other half of the texts gave.
 
 Defined results: null and empty texts have no evidence and get the base rate's
 score; without labels, or with one class only, the score is that class's
@@ -34,12 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorlint.llm.common import fold
+from vectorlint.llm.words import mix, shingles, word_hashes
 
 #: Labelled rows that the weights are fitted on, at most (about).
 TRAIN_ROWS = 12_000
-#: Words that may carry weight, and toxic training rows that a word must be in.
-MAX_WORDS = 5_000
+#: Candidate words, at most, and toxic training rows that one must be in.
+MAX_WORDS = 20_000
 MIN_TOXIC_ROWS = 3
+#: A word gets weight if so many toxic texts (copies count as one), and this
+#: share of all, have it, and if one standard deviation below its count it is
+#: still so many times likelier in toxic than in other texts.
+LEAST_TEXTS, LEAST_SHARE, LEAST_LIFT = 4, 0.012, 10
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 
@@ -209,15 +215,21 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x)))), found
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of y on x by Newton steps with a weak prior (slope 1, base rate)."""
-    w = np.array([1.0, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))])
+def _sketch(text: str | None) -> list[int]:
+    """Four min-hashes of a text's five-word shingles: near copies share most of them."""
+    s = shingles(word_hashes(text), 5) if text else np.zeros(0, np.uint64)
+    return [int(mix(s ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min() >> np.uint64(1)) if len(s) else 0 for k in range(1, 5)]
+
+
+def _curve(x: np.ndarray, y: np.ndarray, worth: np.ndarray) -> tuple[float, float]:
+    """Weighted logistic regression of y on x by Newton steps with a weak prior (slope 1, base rate)."""
+    w = np.array([1.0, math.log(((worth * y).sum() + 0.5) / ((worth * (1 - y)).sum() + 0.5))])
     prior, strength = w.copy(), np.array([1.0, 0.1])
     a = np.stack([x, np.ones_like(x)], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        grad = a.T @ (y - p) - strength * (w - prior)
-        hess = (a * (p * (1 - p))[:, None]).T @ a + np.diag(strength)
+        grad = a.T @ (worth * (y - p)) - strength * (w - prior)
+        hess = (a * (worth * p * (1 - p))[:, None]).T @ a + np.diag(strength)
         step = np.linalg.solve(hess, grad)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
@@ -253,27 +265,47 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
         return ToxicityModel(restorer, {}, 1.0, math.log((share + 1e-6) / (1 - share + 1e-6)))
     nt, nc = total.toxic, total.clean
     lift = (F.col("toxic") + 0.5) / (nt + 1.0) / ((F.col("clean") + 0.5) / (nc + 1.0))
-    # Words a handful of times likelier in toxic rows, the best supported first.
-    chosen = (counts.where(f"word <> '' AND toxic >= {MIN_TOXIC_ROWS}").where(lift >= 5)
+    # Candidates: words a few times likelier in toxic rows, the best supported first.
+    chosen = (counts.where(f"word <> '' AND toxic >= {MIN_TOXIC_ROWS}").where(lift >= 3)
               .orderBy((F.log(lift) * F.sqrt("toxic")).desc(), "word").limit(MAX_WORDS).collect())
-    table = {r.word: (r.toxic, r.clean) for r in chosen}
-    names = sorted(table)
+    names = sorted(r.word for r in chosen)
 
     def hits(batches):
         place = {w: i for i, w in enumerate(names)}
         for b in batches:
-            got = [[place[w] for w in restorer.words(t) & place.keys()] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(got, pa.list_(pa.int32()))], names=["toxic", "hits"])
-
-    data = sample.mapInArrow(hits, "toxic int, hits array<int>").collect()
-    t, c = np.array([table[w][0] for w in names], float), np.array([table[w][1] for w in names], float)
-
-    def weight(i, out_toxic=0, out_clean=0):
-        return np.log((t[i] - out_toxic + 0.5) / (nt - out_toxic + 1)) - np.log((c[i] - out_clean + 0.5) / (nc - out_clean + 1))
-
-    x = np.array([weight(np.array(r.hits, int), r.toxic, 1 - r.toxic).sum() if r.hits else 0.0 for r in data])
-    slope, base = _curve(x, np.array([r.toxic for r in data], float))
-    return ToxicityModel(restorer, dict(zip(names, weight(np.arange(len(names))).tolist(), strict=True)), slope, base)
+            texts = b.column("text").to_pylist()
+            got = [[place[w] for w in restorer.words(t) & place.keys()] for t in texts]
+            keys = [_sketch(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(got, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], names=["toxic", "hits", "keys"])
+
+    data = sample.mapInArrow(hits, "toxic int, hits array<int>, keys array<bigint>").collect()     # about ``rows`` rows at most
+    y = np.array([r.toxic for r in data], float)
+    keys = np.array([r.keys for r in data], np.int64)
+    # Copies and near copies of one text weigh together about as much as one text.
+    sizes = [np.unique(k, return_inverse=True, return_counts=True) for k in keys.T]
+    worth = 1 / np.max([n[i] for _, i, n in sizes], 0)
+    row = np.repeat(np.arange(len(data)), [len(r.hits) for r in data])
+    word = np.array([i for r in data for i in r.hits], np.int64)
+
+    def lexicon(use: np.ndarray) -> np.ndarray:
+        """Weight of each candidate by the rows in use; 0 if they don't bear it out."""
+        v = worth * use
+        all_t, all_c = (v * y).sum(), (v * (1 - y)).sum()
+        t, c = np.bincount(word, (v * y)[row], len(names)), np.bincount(word, (v * (1 - y))[row], len(names))
+        if not all_t or not all_c:
+            return np.zeros(len(names))
+        sure = (t >= max(LEAST_TEXTS, LEAST_SHARE * all_t)) & ((t - np.sqrt(t)) / all_t >= LEAST_LIFT * (c + 0.5) / all_c)
+        return np.where(sure, np.log((t + 0.5) / (all_t + 1)) - np.log((c + 0.5) / (all_c + 1)), 0)
+
+    # The curve is fitted on evidence from weights that the other half of the texts gave.
+    half = keys[:, 0] % 2 == 0
+    x = np.zeros(len(data))
+    for own in (half, ~half):
+        w = lexicon(~own)
+        x[own] = np.bincount(row, w[word], len(data))[own]
+    slope, base = _curve(x, y, worth)
+    final = lexicon(np.ones(len(data), bool))
+    return ToxicityModel(restorer, {w: float(v) for w, v in zip(names, final.tolist(), strict=True) if v}, slope, base)
 
 
 def score_column(text: Column, model: ToxicityModel) -> Column:
