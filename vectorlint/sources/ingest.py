@@ -273,34 +273,76 @@ def _geom_type():
     return GEOMETRY
 
 
-def read_gml(spark: SparkSession, path: str, row_tag: str, id_col: str | None = None) -> DataFrame:
-    """S3: GML features (``posList`` / ``pos`` / ``coordinates``) via the
-    built-in XML source; CRS from ``srsName``."""
-    df = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False).load(path)
-    txt = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
-    pos = F.regexp_extract(txt, r'"(?:\w+:)?posList":\s*"([^"]*)"', 1)
-    pos = F.when(pos == "", F.regexp_extract(txt, r'"(?:\w+:)?posList":\{[^}]*"_VALUE":"([^"]*)"', 1)).otherwise(pos)
-    nums = F.split(F.trim(pos), r"\s+")
-    pts = F.expr("transform(sequence(0, size(__n) div 2 - 1), i -> named_struct('x', CAST(__n[2 * i] AS DOUBLE), 'y', CAST(__n[2 * i + 1] AS DOUBLE)))")
-    srs = F.regexp_extract(txt, r'"_srsName":"([^"]*)"', 1)
-    out = df.withColumn("__n", nums).withColumn(
-        "geom", F.when(pos != "", F.struct(F.lit("Polygon").alias("type"), F.array(F.array(pts)).alias("coords"))))
-    out = out.withColumn("srid", srid_from_text(srs, 4326)).drop("__n")
-    return with_fid(out.where("geom IS NOT NULL"), id_col)
+# Element text patterns; a namespace prefix may stand before each name.
+def _inner(name: str) -> str:
+    return rf"(?s)<(?:\\w+:)?{name}(?:\\s[^>]*)?>(.*?)</(?:\\w+:)?{name}>"
+
+
+def _all(text: str, name: str) -> str:
+    return f"regexp_extract_all({text}, '{_inner(name)}', 1)"
+
+
+def _shapes(raw: str, polygon: str, line: str, point: str, outer: str, inner: str, coords: list[str], to_points: str) -> Column:
+    """Geometry of an element's raw XML: all polygons with all their rings,
+    else all lines, else all points.  ``to_points`` turns {t}, a coordinate
+    text, into points."""
+    texts = lambda x: "concat(" + ", ".join(_all(x, c) for c in coords) + ")"
+    points = lambda t: to_points.format(t=t)
+    rings = f"concat(transform({texts(f'array_join({_all('p', outer)}, chr(10))')}, t -> {points('t')}), transform({texts(f'array_join({_all('p', inner)}, chr(10))')}, t -> {points('t')}))"
+    bare = f"transform({texts('p')}, t -> {points('t')})"           # a polygon that is its one ring
+    polygons = f"transform({_all(raw, polygon)}, p -> CASE WHEN size({_all('p', outer)}) > 0 THEN {rings} ELSE {bare} END)"
+    flat = lambda name: f"transform(flatten(transform({_all(raw, name)}, p -> {texts('p')})), t -> array({points('t')}))"
+    kinds = []
+    for many, parts in ((("Polygon", "MultiPolygon"), polygons), (("LineString", "MultiLineString"), flat(line)), (("Point", "MultiPoint"), flat(point))):
+        kinds.append((f"size({parts}) > 0", f"named_struct('type', if(size({parts}) > 1, '{many[1]}', '{many[0]}'), 'coords', {parts})"))
+    return F.expr("CASE " + " ".join(f"WHEN {c} THEN {g}" for c, g in kinds) + " END")
+
+
+_KML_POINTS = ("transform(filter(split(trim({t}), '\\\\s+'), s -> s <> ''), s -> named_struct("
+               "'x', try_cast(split(s, ',')[0] AS DOUBLE), 'y', try_cast(get(split(s, ','), 1) AS DOUBLE)))")
+_GML_POINTS = ("transform(sequence(0, greatest(size(filter(split(trim(replace({t}, ',', ' ')), '\\\\s+'), s -> s <> '')) div 2 - 1, 0)), i -> named_struct("
+               "'x', try_cast(get(filter(split(trim(replace({t}, ',', ' ')), '\\\\s+'), s -> s <> ''), 2 * i) AS DOUBLE), "
+               "'y', try_cast(get(filter(split(trim(replace({t}, ',', ' ')), '\\\\s+'), s -> s <> ''), 2 * i + 1) AS DOUBLE)))")
+
+
+def _raw_rows(spark: SparkSession, path: str, row_tag: str, columns: list[str]) -> DataFrame:
+    """Rows of an XML file, cut at the row's end tag (so a large file is still
+    read in splits): ``columns``, the text of its simple elements, and
+    ``__raw``, its XML."""
+    name = row_tag.rpartition(":")[2]
+    raw = F.regexp_extract("value", rf"(?s)<(?:\w+:)?{name}(?:\s[^>]*)?>(.*)$", 1)
+    df = spark.read.option("lineSep", f"</{row_tag}>").text(path).select(raw.alias("__raw")).where("__raw <> ''")
+    text = lambda c: F.regexp_extract("__raw", rf"(?s)<(?:\w+:)?{c}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</(?:\w+:)?{c}>", 1)
+    plain = lambda c: F.replace(F.replace(F.replace(text(c), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    return df.select(*[F.nullif(plain(c), F.lit("")).alias(c) for c in columns], "__raw")
+
+
+def read_gml(spark: SparkSession, path: str, row_tag: str, id_col: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """S3: GML features: every polygon (or line, or point) of a row element
+    with all its rings (``posList`` / ``pos`` / ``coordinates``); CRS from
+    ``srsName``.  URN and URI names of EPSG:4326, 4283 and 7844 put latitude
+    first, so their pairs are swapped.  ``columns`` are the simple elements to
+    keep (by default the text fields that Spark's XML source infers)."""
+    if columns is None:
+        inferred = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False).option("ignoreNamespace", True).load(path).schema
+        columns = [f.name for f in inferred if f.dataType.typeName() == "string" and not f.name.startswith("_") and f.name.isidentifier()]
+    df = _raw_rows(spark, path, row_tag, columns)
+    srs = F.regexp_extract("__raw", 'srsName="([^"]*)"', 1)
+    # Old-style boundaries read like new ones.
+    raw = F.regexp_replace(F.regexp_replace("__raw", "outerBoundaryIs", "exterior"), "innerBoundaryIs", "interior")
+    df = df.withColumn("__raw", raw).withColumn("srid", srid_from_text(srs, 4326)).withColumn("__srs", srs).withColumn(
+        "geom", _shapes("__raw", "Polygon", "LineString", "Point", "exterior", "interior", ["posList", "pos", "coordinates"], _GML_POINTS))
+    turned = F.expr("named_struct('type', geom.type, 'coords', transform(geom.coords, p -> transform(p, r -> transform(r, q -> named_struct('x', q.y, 'y', q.x)))))")
+    latitude_first = F.col("srid").isin(4326, 4283, 7844) & F.col("__srs").rlike("^(urn:|http)")
+    return with_fid(df.withColumn("geom", F.when(latitude_first, turned).otherwise(F.col("geom"))).drop("__raw", "__srs").where("geom IS NOT NULL"), id_col)
 
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
-    """KML Placemarks; ``coordinates`` text "x,y[,z] x,y[,z] ..."."""
-    df = spark.read.format("xml").option("rowTag", "Placemark").option("inferSchema", False).load(path)
-    txt = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
-    coords = F.regexp_extract(txt, r'"(?:\w+:)?coordinates":"([^"]*)"', 1)
-    kind = F.when(txt.contains('"Polygon"'), "Polygon").when(txt.contains('"LineString"'), "LineString").otherwise("Point")
-    pts = F.expr("transform(filter(split(trim(__c), '\\\\s+'), s -> s <> ''), s -> named_struct("
-                 "'x', CAST(split(s, ',')[0] AS DOUBLE), 'y', CAST(split(s, ',')[1] AS DOUBLE)))")
-    out = df.withColumn("__c", coords).withColumn("geom", F.when(
-        coords != "", F.struct(kind.alias("type"), F.array(F.array(pts)).alias("coords")))).drop("__c")
-    keep = [c for c in df.columns if c in ("name", "description")]
-    return with_fid(out.select(*keep, "geom").withColumn("srid", F.lit(4326)).where("geom IS NOT NULL"))
+    """KML Placemarks with all parts and rings; ``coordinates`` text
+    "x,y[,z] x,y[,z] ..."."""
+    df = _raw_rows(spark, path, "Placemark", ["name", "description"])
+    geom = _shapes("__raw", "Polygon", "LineString", "Point", "outerBoundaryIs", "innerBoundaryIs", ["coordinates"], _KML_POINTS)
+    return with_fid(df.select("name", "description", geom.alias("geom")).withColumn("srid", F.lit(4326)).where("geom IS NOT NULL"))
 
 
 # ------------------------------------------------------------- cleaning ----
