@@ -52,13 +52,18 @@ def q_swap_latlon(spark, sf):
     return g.select("fid", F.expr(bd["minx"]).alias("minx"), F.expr(bd["miny"]).alias("miny"))
 
 
-@register("detect_lonlat", "SELECT 'Longitude' AS lon_col, 'LAT' AS lat_col")
+@register("detect_lonlat", "SELECT 'Longitude' AS lon_col, 'LAT' AS lat_col, CAST(count(*) AS BIGINT) AS n, round(min(140 + p_partkey / 1000.0), 6) AS west, "
+          "round(max(140 + p_partkey / 1000.0), 6) AS east, round(min(-38 + p_size / 100.0), 6) AS south, round(max(-38 + p_size / 100.0), 6) AS north FROM part")
 def q_detect_lonlat(spark, sf):
-    """Coordinate columns found by name (case-insensitive)."""
+    """Coordinate columns found by name (case-insensitive), and the extent of the points they give."""
     t = spark.read.parquet(f"{sf}/part.parquet").selectExpr(
         "p_partkey", "140 + p_partkey / 1000.0 AS Longitude", "-38 + p_size / 100.0 AS LAT", "p_name AS x_name")
     lon, lat = IN.detect_lonlat(t.columns)
-    return spark.createDataFrame([(lon, lat)], "lon_col string, lat_col string")
+    q = F.col("geom").getField("coords")[0][0][0]
+    g = IN.from_lonlat(t, lon, lat).where("geom IS NOT NULL")
+    return g.agg(F.count("*").alias("n"), F.round(F.min(q["x"]), R6).alias("west"), F.round(F.max(q["x"]), R6).alias("east"),
+                 F.round(F.min(q["y"]), R6).alias("south"), F.round(F.max(q["y"]), R6).alias("north")).select(
+        F.lit(lon).alias("lon_col"), F.lit(lat).alias("lat_col"), "*")
 
 
 @register("points_from_lonlat", "SELECT p_partkey AS fid, round(140 + p_partkey / 1000.0, 6) AS x, round(-38 + p_size / 100.0, 6) AS y FROM part")
@@ -68,7 +73,7 @@ def q_points_from_lonlat(spark, sf):
         "p_partkey AS fid", "140 + p_partkey / 1000.0 AS Longitude", "-38 + p_size / 100.0 AS LAT")
     lon, lat = IN.detect_lonlat(t.columns)
     g = IN.from_lonlat(t, lon, lat)
-    return g.select("fid", F.round("geom.coords"[0:0] or F.col("geom").getField("coords")[0][0][0]["x"], R6).alias("x"),
+    return g.select("fid", F.round(F.col("geom").getField("coords")[0][0][0]["x"], R6).alias("x"),
                     F.round(F.col("geom").getField("coords")[0][0][0]["y"], R6).alias("y"))
 
 
@@ -109,7 +114,8 @@ def q_point_file_fallback(spark, sf):
     return IN.point_file_fallback(t, ["shape_txt"]).select("fid", F.col("geom.type").alias("gtype"))
 
 
-@register("geom_type_guard", "SELECT true AS ok, 'MultiPolygon,Polygon' AS types")
+@register("geom_type_guard", with_(*B1_X) + """
+SELECT bool_or(gtype IN ('Polygon', 'MultiPolygon')) AS ok, string_agg(DISTINCT gtype, ',' ORDER BY gtype) AS types FROM b1_feat WHERE has_geom""")
 def q_geom_type_guard(spark, sf):
     """The building layer has polygons (types present listed)."""
     g = IN.dataset_guard(_blocks(spark, sf).where("geom IS NOT NULL"), "building")

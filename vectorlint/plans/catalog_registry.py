@@ -93,15 +93,15 @@ def q_latest_status(spark, sf):
 
 
 @register("reconcile_state", with_(B6, """
-prev AS (SELECT DISTINCT feature_hash FROM b6 WHERE run_id = 2 AND status = 'invalid'),
+prev AS (SELECT DISTINCT feature_hash FROM b6 WHERE run_id <= 2 AND status = 'invalid'),
 cur AS (SELECT DISTINCT feature_hash FROM b6 WHERE run_id = 3)""") + """
 SELECT coalesce(c.feature_hash, p.feature_hash) AS feature_hash,
        CASE WHEN c.feature_hash IS NOT NULL THEN 'invalid' ELSE 'resolved' END AS status
 FROM prev p FULL OUTER JOIN cur c ON c.feature_hash = p.feature_hash""")
 def q_reconcile_state(spark, sf):
-    """Q7: state open after run 2, reconciled with what run 3 found."""
+    """Q7: what runs 0 to 2 found invalid, reconciled with what run 3 found."""
     h = _hist(spark, sf)
-    state = (h.where("run_id = 2 AND status = 'invalid'").select("feature_hash").distinct()
+    state = (h.where("run_id <= 2 AND status = 'invalid'").select("feature_hash").distinct()
               .select(F.lit("events").alias("dataset_type"), "feature_hash", F.lit("invalid").alias("status"),
                       F.lit(None).cast("timestamp").alias("resolved_at")))
     cur = h.where("run_id = 3").select(F.lit("events").alias("dataset_type"), "feature_hash")
