@@ -120,9 +120,10 @@ def train(docs: DataFrame):
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 1))) < SAMPLE_DOCUMENTS) if n > SAMPLE_DOCUMENTS else docs
     other = paragraphs(some).where(~F.col("paragraph").rlike(r"(?i)licen[sc]e|copyright|SPDX")).select(F.lit(float(len(names) - 1)).alias("label"), "paragraph").orderBy(F.xxhash64("paragraph"), "paragraph").limit(SAMPLE_PARAGRAPHS)
     plain = spark.sql(f"SELECT {len(names) - 1}.0D AS label, explode({_literal(['A driver needs a license.', 'The general public asked for the terms.', 'Version 2 of the plan was released under pressure.', 'No rights are granted here.', 'all rights reserved'])}) AS paragraph")
-    # A notice's copies differ in their opening; every fourth row calibrates. Both classes of rows are about as heavy.
-    data = _features(notices.unionByName(other).unionByName(plain)).withColumn("part", F.pmod(F.xxhash64("paragraph"), F.lit(4))).cache()
-    fit = LogisticRegression(regParam=0.002, elasticNetParam=0.2, maxIter=60, family="multinomial").fit(data.where("part <> 0"))
+    # A notice's copies differ in their opening; every fourth row calibrates. A few thousand rows at most: one
+    # partition, so that a step of the fit is one small task.
+    data = _features(notices.unionByName(other).unionByName(plain)).withColumn("part", F.pmod(F.xxhash64("paragraph"), F.lit(4))).coalesce(1).cache()
+    fit = LogisticRegression(regParam=0.002, elasticNetParam=0.2, maxIter=40, family="multinomial").fit(data.where("part <> 0"))
     probability = F.array_max(vector_to_array("probability"))
     kept = fit.transform(data.where("part = 0")).where(F.col("prediction") < len(names) - 1).select(probability.alias("p"), (F.col("prediction") == F.col("label")).cast("int").alias("right"))
     believed = 0.5
