@@ -289,3 +289,17 @@ def test_pipeline_against_brute_force(spark, sf):
     own = bpe.ForcedBoundaryBPE()
     got = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == {i: hashlib.sha256(np.array(own.encode(t), "<u4").tobytes()).hexdigest() for i, t in left.items()}
+
+
+def test_lm_scores_learn_from_all_texts(spark, monkeypatch):
+    """However the rows lie, all training texts teach the head, once each."""
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice("the of and house river stone green walks over".split()) for _ in range(12))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(lmscore, "PART_IDS", 3000)
+    monkeypatch.setattr(lmscore, "MAX_PASSES", 1)
+    seen, parts = [], lmscore._parts
+    monkeypatch.setattr(lmscore, "_parts", lambda texts, n: seen.append((texts.count(), parts(texts, n).selectExpr("sum(size(texts))").first()[0])) or parts(texts, n))
+    one, many = ({x.doc_id: x.score for x in lmscore.score_texts(docs.repartition(n)).collect()} for n in (1, 7))
+    assert seen == [(n := sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(900)), n)] * 2
+    assert one == pytest.approx(many, rel=1e-9)
