@@ -303,3 +303,16 @@ def test_lm_scores_learn_from_all_texts(spark, monkeypatch):
     one, many = ({x.doc_id: x.score for x in lmscore.score_texts(docs.repartition(n)).collect()} for n in (1, 7))
     assert seen == [(n := sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(900)), n)] * 2
     assert one == pytest.approx(many, rel=1e-9)
+
+
+def test_toxicity_long_tail(spark):
+    """120 rude words, each in under 1% of the toxic texts."""
+    r = random.Random(9)
+    plain = [f"{a}{b}" for a in "ka lo mi ne pu ra".split() for b in "da fe gi ho ju".split()]
+    rude = [f"{a}{b}{c}" for a in "zax wob gru sny quo".split() for b in "ebb ilk urt osh".split() for c in "en um ox ay id ut".split()]
+    texts = [(1, w) for w in rude for _ in range(16)] + [(0, None)] * 5000
+    rows = [(i, " ".join([*(r.choice(plain) for _ in range(12)), *([w] if w else [])])) for i, (_, w) in enumerate(texts)]
+    got = toxicity.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, y) for i, (y, _) in enumerate(texts)], "doc_id bigint, toxic int")).collect()
+    held = [x for x in got if x.held_out]
+    assert sum(x.predicted for x in held if texts[x.doc_id][0]) >= 0.95 * sum(texts[x.doc_id][0] for x in held)
+    assert not any(x.predicted for x in held if not texts[x.doc_id][0])

@@ -42,10 +42,10 @@ TRAIN_ROWS = 12_000
 #: Candidate words, at most, and toxic training rows that one must be in.
 MAX_WORDS = 20_000
 MIN_TOXIC_ROWS = 3
-#: A word gets weight if so many toxic texts (copies count as one), and this
-#: share of all, have it, and if one standard deviation below its count it is
-#: still so many times likelier in toxic than in other texts.
-LEAST_TEXTS, LEAST_SHARE, LEAST_LIFT = 4, 0.012, 10
+#: A word gets weight if so many toxic texts (copies count as one) have it and
+#: if one standard deviation below its count it is still so many times likelier
+#: in toxic than in other texts.
+LEAST_TEXTS, LEAST_LIFT = 4, 10
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 
@@ -294,7 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
         t, c = np.bincount(word, (v * y)[row], len(names)), np.bincount(word, (v * (1 - y))[row], len(names))
         if not all_t or not all_c:
             return np.zeros(len(names))
-        sure = (t >= max(LEAST_TEXTS, LEAST_SHARE * all_t)) & ((t - np.sqrt(t)) / all_t >= LEAST_LIFT * (c + 0.5) / all_c)
+        sure = (t >= LEAST_TEXTS) & ((t - np.sqrt(t)) / all_t >= LEAST_LIFT * (c + 0.5) / all_c)
         return np.where(sure, np.log((t + 0.5) / (all_t + 1)) - np.log((c + 0.5) / (all_c + 1)), 0)
 
     # The curve is fitted on evidence from weights that the other half of the texts gave.
