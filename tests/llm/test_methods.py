@@ -316,3 +316,25 @@ def test_toxicity_long_tail(spark):
     held = [x for x in got if x.held_out]
     assert sum(x.predicted for x in held if texts[x.doc_id][0]) >= 0.95 * sum(texts[x.doc_id][0] for x in held)
     assert not any(x.predicted for x in held if not texts[x.doc_id][0])
+
+
+def test_restored_sentences():
+    """Spaced runs and tokens of several words, of any length."""
+    text = " ".join(["such a fool and you idiot you worthless pathetic loser are i think the other day was fine"] * 30)
+    c = np.concatenate([[0, 0], toxicity._text_codes(text), [0]])
+    counts = np.zeros(toxicity._N ** 3)
+    np.add.at(counts, (c[:-2] * toxicity._N + c[1:-1]) * toxicity._N + c[2:], 1)
+    r = toxicity.Restorer.of(counts.reshape(toxicity._N, toxicity._N, toxicity._N))
+    sentence = "you worthless pathetic loser and you idiot " * 5
+    for written, clean in [("such a f o o l", "fool"), ("y o u i d i o t", "you idiot"), ("y.0.u.1.d.i.o.t", "you idiot"), (" ".join(sentence.replace(" ", "")), sentence),
+                           (".".join(sentence.replace(" ", "")), sentence), ("  ".join(" ".join(w) for w in sentence.split()), sentence)]:
+        assert set(clean.split()) <= r.words(written), written
+        assert clean.strip() in r.text(written)
+
+
+def test_spaced_words_teach_no_gaps(spark):
+    plain = "such a fool and you idiot are i think the other day"
+    rows = spark.createDataFrame([(plain,), ("f o o l",), (None,)], "text string")
+    counts = toxicity.trigram_counts(rows)
+    gaps = toxicity.trigram_counts(rows.limit(1) if rows.first().text == plain else rows)
+    assert counts[0, :, 0].sum() - gaps[0, :, 0].sum() == 0

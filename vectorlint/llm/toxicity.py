@@ -4,7 +4,8 @@ A written word may be a clean word sent through a noisy channel that swaps
 letters for look-alikes (leetspeak), stretches letters and drives separators
 between them.  Suspicious stretches of a text become a character lattice: each
 written character may stand for itself, for the letters it imitates, for a
-repetition of the one before, or for nothing (a separator); a Viterbi search
+repetition of the one before, or for nothing (a separator); a separator may
+also be a gap between words, so that one stretch may hold several; a Viterbi search
 under a character trigram model picks the likeliest clean word.  All other
 words have a lattice of one path and stay as they are.  The restored words are
 then scored: words that mark toxic documents carry log-odds weights, and a
@@ -56,8 +57,6 @@ SEPARATORS = " .-_*~'/\\,:;#%&"
 #: Channel costs (natural log): an imitated letter, a dropped separator, a
 #: repetition dropped from a stretch of three or more, a lone sign dropped.
 _SWAP, _DROP, _REPEAT, _LONE = -0.7, -0.4, -0.3, -5.0
-#: Longer tokens are no words (addresses, digests); they stay as written.
-MAX_WORD = 40
 _ALPHABET = "\0abcdefghijklmnopqrstuvwxyzßàáâäçèéêëìíîïñòóôöùúûüœæ"
 _CODE = {c: i for i, c in enumerate(_ALPHABET)}
 _N = len(_ALPHABET) + 1                   # one more for any other letter
@@ -102,7 +101,15 @@ def trigram_counts(texts: DataFrame) -> np.ndarray:
             for t in b.column("text").to_pylist():
                 if t:
                     c = np.concatenate([[0, 0], _text_codes(t), [0]])
-                    np.add.at(total, (c[:-2] * _N + c[1:-1]) * _N + c[2:], 1)
+                    k = (c[:-2] * _N + c[1:-1]) * _N + c[2:]
+                    # Three or more single letters in a row are spaced words, which say nothing about gaps.
+                    lone = (c[:-2] == 0) & (c[1:-1] != 0) & (c[2:] == 0)
+                    three = np.flatnonzero(lone[:-4] & lone[2:-2] & lone[4:])
+                    if len(three):
+                        keep = np.ones(len(k), bool)
+                        keep[np.minimum(three[:, None] + np.arange(5), len(k) - 1)] = False
+                        k = k[keep]
+                    np.add.at(total, k, 1)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["k", "n"])
 
@@ -128,12 +135,12 @@ class Restorer:
         return cls(np.log(three).astype(np.float32).tolist())
 
     def word(self, written: str) -> str:
-        """The likeliest clean reading of a written stretch (lower case)."""
-        # A state is the last two letters; it keeps its best log-probability and reading.
-        states = {(0, 0): (0.0, "")}
+        """The likeliest clean reading of a written stretch (lower case): a word, or several parted by blanks."""
+        # A state is the last two letters (0: a gap); it keeps its best log-probability and reading (a chain of letters).
+        states = {(0, 0): (0.0, None)}
         last = None
         for i, c in enumerate(written):
-            options = []                 # (letter or "", channel cost)
+            options = []                 # (letter, blank or "", channel cost)
             run = written[max(0, i - 2):i + 3]
             stretched = c * 3 in run
             for x in c if c.isalpha() else LEET.get(c, ""):
@@ -143,18 +150,27 @@ class Restorer:
                     options.append(("", cost + _REPEAT))
             if not c.isalpha():
                 options.append(("", _DROP if c in SEPARATORS or c * 2 in run else _LONE))
+            if c in SEPARATORS:
+                options.append((" ", 0.0))
             after: dict = {}
             for (a, b), (p, read) in states.items():
                 for x, cost in options:
+                    if x == " " and not b:
+                        continue         # one gap is enough
                     if x:
-                        k = _CODE.get(x, _N - 1)
-                        new, q, r = (b, k), p + cost + self.logp[a][b][k], read + x
+                        k = 0 if x == " " else _CODE.get(x, _N - 1)
+                        new, q, r = (b, k), p + cost + self.logp[a][b][k], (read, x)
                     else:
                         new, q, r = (a, b), p + cost, read
-                    if new not in after or (q, r) > after[new]:
+                    if new not in after or q > after[new][0]:
                         after[new] = (q, r)
             states, last = after, (c if c.isalpha() else LEET.get(c, "")[:1] or last)
-        return max((p + self.logp[a][b][0], r) for (a, b), (p, r) in states.items())[1]
+        _, read = max(((p + (self.logp[a][b][0] if b else 0.0), r) for (a, b), (p, r) in states.items()), key=lambda s: s[0])
+        letters = []
+        while read:
+            read, x = read
+            letters.append(x)
+        return "".join(reversed(letters)).strip()
 
     def token(self, token: str) -> tuple[str, ...]:
         """Words of a blank-delimited lower-case token: as written, then restored."""
@@ -170,15 +186,15 @@ class Restorer:
         if core.isalpha() and not _STRETCHED(core):
             return (core,)
         written = _WORDS(token)
-        if not written or len(core) > MAX_WORD:
-            return tuple(written)
+        if not written:
+            return ()
         if _APART(core):
-            return (*written, self.word(core))
+            return (*written, *self.word(core).split())
         return (*written, *[self.word(m) for m in _MIXED(core) if any(c.isalpha() for c in m) and (not m.isalpha() or _STRETCHED(m))])
 
     def text(self, text: str) -> str:
         """A text, lower-cased, with every suspicious token restored."""
-        low = _SPACED.sub(lambda m: self.word(m.group()) if len(m.group()) <= 3 * MAX_WORD else m.group(), text.lower())
+        low = _SPACED.sub(lambda m: self.word(m.group()), text.lower())
 
         def clean(m):
             written, read = _WORDS(m.group()), self.token(m.group())
@@ -197,8 +213,7 @@ class Restorer:
             found.update(memo.get(t) or self.token(t))
         if sum(len(t) == 1 for t in distinct) > 1:
             for m in _SPACED.finditer(low):
-                if len(m.group()) <= 3 * MAX_WORD:
-                    found.add(self.word(m.group()))
+                found.update(self.word(m.group()).split())
         return found
 
 
