@@ -338,3 +338,16 @@ def test_spaced_words_teach_no_gaps(spark):
     counts = toxicity.trigram_counts(rows)
     gaps = toxicity.trigram_counts(rows.limit(1) if rows.first().text == plain else rows)
     assert counts[0, :, 0].sum() - gaps[0, :, 0].sum() == 0
+
+
+def test_licence_bodies_and_spellings(spark, sf):
+    """Bodies without a name, glued versions, missing articles and wrapped lines."""
+    mit = license.BODIES["mit"][0].split()
+    odd = {1: ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit", 0),
+           2: ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "bsd", 0),
+           3: ("intro\n\nReleased under GPLv3.", "gpl-3.0", 2), 4: ("Licensed under LGPLv2.1.", "lgpl", 0), 5: ("This program is free software under AGPLv3.", "agpl-3.0", 0),
+           6: ("Released under GNU General Public License v3.0.", "gpl-3.0", 0), 7: ("One line.\nThis work is licensed under the Apache\nLicense, Version 2.0.", "apache-2.0", 1),
+           8: ("\n".join(" ".join(mit[i:i + 9]) for i in range(0, len(mit), 9)), "mit", 0)}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9000 + i, t) for i, (t, _, _) in odd.items()], "doc_id bigint, text string"))
+    got = sorted((r.doc_id, r.family, r.paragraph_index) for r in license.scan(docs).collect() if r.doc_id > 9000)
+    assert got == [(9000 + i, f, k) for i, (_, f, k) in odd.items()]

@@ -1,26 +1,30 @@
 """Operator 1: licence scans, in Spark functions and Spark ML only.
 
-A paragraph (line) classifier: sparse word uni- and bigram logistic regression
+A notice classifier over lines, runs of two and three lines, and whole
+paragraphs (parted by blank lines), so that wrapped notices and licence bodies
+are found too: sparse word uni- and bigram logistic regression
 (hashed features, L1 part) over licence families and an ``unknown`` class.  It
 is trained on notices that are put together from templates by rule, and on
 paragraphs of a bounded sample of documents as ``unknown``.  The probability
 from which a family is believed is calibrated on training paragraphs that the
 fit did not see: the smallest at which at least ``PRECISION`` of them are
-right.  A predicted family is confirmed by comparing the paragraph with that
+right.  A predicted family is confirmed by comparing the notice with that
 family's templates: some template must share ``OVERLAP`` of its word bigrams
-with it, one of the template's own words among them.
+with it; for a name, one of the names' own words must be among them.
 
-That confirmation needs one of the templates' own words, so paragraphs (and
-before that documents) without any such word are passed over; nothing that
-could be confirmed is lost.
+So what has no name's own word, and of each body none of so many bigrams that
+``OVERLAP`` can't be reached without them, is passed over (documents first);
+nothing that could be confirmed is lost.
 
-Defined results: one row per paragraph that names a licence, none for the
-others; null and empty texts have no paragraphs; rows that repeat a doc_id are
+Defined results: one row per notice (its first line's place in the text, its
+lines), none for the others, nor for a run of lines that holds a shorter one
+with a notice; null and empty texts have no paragraphs; rows that repeat a doc_id are
 scanned one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression
@@ -39,19 +43,43 @@ UNKNOWN = "unknown"
 
 # Licence families, each with the names it goes by in notices.
 FAMILIES = {
-    "apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "Apache-2.0"],
+    "apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "Apache-2.0", "Apache 2.0"],
     "mit": ["the MIT License", "the MIT licence", "MIT"],
-    "gpl-3.0": ["the GNU General Public License, version 3", "the GNU GPL v3", "GPL-3.0"],
-    "gpl-2.0": ["the GNU General Public License, version 2", "the GNU GPL v2", "GPL-2.0"],
-    "lgpl": ["the GNU Lesser General Public License", "the GNU LGPL v2.1", "LGPL-2.1"],
-    "agpl-3.0": ["the GNU Affero General Public License", "the GNU AGPL v3", "AGPL-3.0"],
-    "bsd": ["the BSD 3-Clause License", "the BSD 2-Clause License", "a BSD-style license"],
-    "mpl-2.0": ["the Mozilla Public License, v. 2.0", "the Mozilla Public License 2.0", "MPL-2.0"],
+    "gpl-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GNU GPL v3", "the GNU GPLv3", "GPL-3.0", "GPL 3.0", "GPLv3", "GPLv3+"],
+    "gpl-2.0": ["the GNU General Public License, version 2", "the GNU General Public License v2.0", "the GNU GPL v2", "the GNU GPLv2", "GPL-2.0", "GPL 2.0", "GPLv2", "GPLv2+"],
+    "lgpl": ["the GNU Lesser General Public License", "the GNU Lesser General Public License v3.0", "the GNU LGPL v2.1", "LGPL-2.1", "LGPL-3.0", "LGPLv2", "LGPLv2.1", "LGPLv3"],
+    "agpl-3.0": ["the GNU Affero General Public License", "the GNU Affero General Public License v3.0", "the GNU AGPL v3", "AGPL-3.0", "AGPLv3"],
+    "bsd": ["the BSD 3-Clause License", "the BSD 2-Clause License", "a BSD-style license", "BSD-3-Clause", "BSD-2-Clause"],
+    "mpl-2.0": ["the Mozilla Public License, v. 2.0", "the Mozilla Public License 2.0", "MPL-2.0", "MPLv2", "MPLv2.0"],
     "cc-by-nc": ["CC BY-NC 4.0", "the Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"],
     "cc-by-sa": ["CC BY-SA 4.0", "the Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"],
     "cc-by": ["CC BY 4.0", "the Creative Commons Attribution 4.0 International License", "CC-BY-4.0"],
     "cc0": ["CC0 1.0", "the Creative Commons CC0 1.0 Universal dedication", "CC0-1.0"],
 }
+_GNU = "{0} you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+# Paragraphs of the licences' texts and standard notices.
+BODIES = {
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+                   "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "gpl-3.0": [_GNU.format("This program is free software:", "General Public License", "3")],
+    "gpl-2.0": [_GNU.format("This program is free software;", "General Public License", "2")],
+    "lgpl": [_GNU.format("This library is free software;", "Lesser General Public License", "2.1"), _GNU.format("This library is free software:", "Lesser General Public License", "3")],
+    "agpl-3.0": [_GNU.format("This program is free software:", "Affero General Public License", "3")],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+            "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+            "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "cc-by-nc": ["You may not use the material for commercial purposes. You must give appropriate credit, provide a link to the license, and indicate if changes were made."],
+    "cc-by-sa": ["If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original."],
+    "cc-by": ["You must give appropriate credit, provide a link to the license, and indicate if changes were made. You may do so in any reasonable manner, but not in any way that suggests the licensor endorses you or your use."],
+    "cc0": ["The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."],
+}
+# What may stand before a body.
+_BEFORE = ["", "Copyright (c) 2024 The Authors. ", "Copyright 2019 by the contributors. All rights reserved. ", "The license of this file: ", "LICENSE ", "/* ", "1. ", "Notice. "]
 # How notices introduce a licence.
 OPENINGS = ["Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "This file is distributed under the terms of {}.",
             "SPDX-License-Identifier: {}", "This program is free software under {}.", "Available under {}.", "The code is covered by {}.",
@@ -71,8 +99,25 @@ def _bigrams(words: list[str]) -> list[str]:
 
 
 def templates() -> list[tuple[str, str]]:
-    """(family, notice) of every name and opening."""
-    return [(f, o.format(n)) for f, names in FAMILIES.items() for n in names for o in OPENINGS]
+    """(family, notice) of every name and opening, and of every body."""
+    named = [(f, o.format(n)) for f, names in FAMILIES.items() for n in names for o in OPENINGS]
+    return named + [(f, x + b) for f, bodies in BODIES.items() for b in bodies for x in _BEFORE]
+
+
+def _compared(text: str) -> list[str]:
+    """A template's distinct bigrams, without its article (single words where it is one)."""
+    words = _words(re.sub("^(?:the|a) ", "", text))
+    return sorted(set(_bigrams(words) or words))
+
+
+def body_marks() -> list[str]:
+    """Bigrams of the bodies, the longest ones, so many of each that a text
+    without any of them can't reach ``OVERLAP``."""
+    found = set()
+    for body in (b for bodies in BODIES.values() for b in bodies):
+        pairs = sorted(_compared(body), key=lambda x: (-len(x), x))
+        found.update(pairs[:len(pairs) - math.ceil(OVERLAP * len(pairs)) + 1])
+    return sorted(found)
 
 
 def own_words() -> list[str]:
@@ -92,24 +137,52 @@ def with_ngrams(df: DataFrame, text: str = "paragraph") -> DataFrame:
     return df.withColumn("ngrams", F.expr(f"array_distinct(concat(words, {pairs}))"))
 
 
-def paragraphs(docs: DataFrame, holding: str | None = None) -> DataFrame:
-    """(doc_id, paragraph_index, paragraph) of the non-empty lines; with
-    ``holding`` only those that match the pattern."""
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
-    if holding:
-        texts = texts.where(F.col("text").rlike(holding))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_index", "paragraph"))
-    return lines.where(F.col("paragraph").rlike(holding) if holding else F.trim("paragraph") != "")
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, paragraph_index, paragraph) of the non-empty lines."""
+    lines = docs.select("doc_id", "text").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_index", "paragraph"))
+    return lines.where(F.trim("paragraph") != "")
+
 
+def notices(docs: DataFrame, holding: str) -> DataFrame:
+    """(row, doc_id, paragraph_index, lines, paragraph) of what matches the
+    pattern: lines, runs of two and three lines, and whole paragraphs."""
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").where(F.col("text").rlike(holding))
+    texts = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split("text", "\n").alias("line"))
+    # Place of each blank line, and before and after the text; a paragraph lies between two of them.
+    blank = "array_append(array_prepend(filter(transform(line, (x, i) -> CASE WHEN trim(x) = '' THEN i END), i -> i IS NOT NULL), -1), size(line))"
+    texts = texts.withColumn("edge", F.expr(blank))
+    blocks = "filter(transform(slice(edge, 2, size(edge)), (e, k) -> struct(edge[k] + 1 AS lo, e - edge[k] - 1 AS n)), b -> b.n > 0)"
+    texts = texts.select("row", "doc_id", "line", F.explode(F.expr(blocks)).alias("b")).select("row", "doc_id", F.col("b.lo").alias("lo"), F.expr("slice(line, b.lo + 1, b.n)").alias("line"))
+    texts = texts.where(F.array_join("line", " ").rlike(holding))
+    runs = "flatten(transform(sequence(1, least(3, size(line))), n -> transform(sequence(0, size(line) - n), i -> struct(i AS i, n AS n))))"
+    runs = f"CASE WHEN size(line) > 3 THEN array_append({runs}, struct(0 AS i, size(line) AS n)) ELSE {runs} END"
+    found = texts.select("row", "doc_id", "lo", "line", F.explode(F.expr(runs)).alias("r"))
+    found = found.select("row", "doc_id", (F.col("lo") + F.col("r.i")).cast("int").alias("paragraph_index"), F.col("r.n").alias("lines"), F.expr("array_join(slice(line, r.i + 1, r.n), '\n')").alias("paragraph"))
+    return found.where(F.col("paragraph").rlike(holding))
 
-def _holding() -> str:
-    return r"(?i)(?<![a-z0-9])(?:" + "|".join(own_words()) + r")(?![a-z0-9])"
+
+def _holding(but: set[str] = frozenset()) -> str:
+    marks: dict[str, list[str]] = {}
+    for pair in body_marks():
+        first, second = pair.split(" ")
+        marks.setdefault(first, []).append(second)
+    parts = [*(w for w in own_words() if w not in but), *(f"{a}[^a-z0-9]+(?:{'|'.join(b)})" for a, b in sorted(marks.items()))]
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(parts) + r")(?![a-z0-9])"
 
 
 def _features(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="ngrams", outputCol="features").transform(with_ngrams(df))
 
 
+def _best(sets: str) -> str:
+    """Largest share of a bigram set (of an SQL array of them) that ``ngrams`` holds."""
+    return f"array_max(transform({sets}, b -> size(array_intersect(b, ngrams)) / cast(size(b) AS double)))"
+
+
+def _sets(texts: list[str]) -> str:
+    return "array(" + ", ".join(_literal(_compared(n)) for n in texts) + ")"
+
+
 def train(docs: DataFrame):
     """(model, class names, believed-from probability)."""
     spark = docs.sparkSession
@@ -118,7 +191,11 @@ def train(docs: DataFrame):
     notices = spark.sql(f"SELECT * FROM VALUES {rows} AS t(label, paragraph)")
     n = docs.count()
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 1))) < SAMPLE_DOCUMENTS) if n > SAMPLE_DOCUMENTS else docs
-    other = paragraphs(some).where(~F.col("paragraph").rlike(r"(?i)licen[sc]e|copyright|SPDX")).select(F.lit(float(len(names) - 1)).alias("label"), "paragraph").orderBy(F.xxhash64("paragraph"), "paragraph").limit(SAMPLE_PARAGRAPHS)
+    other = paragraphs(some).where(~F.col("paragraph").rlike(r"(?i)licen[sc]e|copyright|SPDX"))
+    # Nor do lines with a name's own word or a body's mark, but for names that are common words by themselves ("mit").
+    lone = {w for names in FAMILIES.values() for n in names for w in _compared(n) if " " not in w and w.isalpha()}
+    other = other.where(~F.col("paragraph").rlike(_holding(lone)))
+    other = other.select(F.lit(float(len(names) - 1)).alias("label"), "paragraph").orderBy(F.xxhash64("paragraph"), "paragraph").limit(SAMPLE_PARAGRAPHS)
     plain = spark.sql(f"SELECT {len(names) - 1}.0D AS label, explode({_literal(['A driver needs a license.', 'The general public asked for the terms.', 'Version 2 of the plan was released under pressure.', 'No rights are granted here.', 'all rights reserved'])}) AS paragraph")
     # A notice's copies differ in their opening; every fourth row calibrates. A few thousand rows at most: one
     # partition, so that a step of the fit is one small task.
@@ -141,14 +218,19 @@ def train(docs: DataFrame):
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph_index, paragraph, family, probability, similarity of every licence paragraph."""
     model, names, believed = train(docs)
-    held = _features(paragraphs(docs, _holding()))
+    held = _features(notices(docs, _holding()))
     scored = model.transform(held).withColumn("p", vector_to_array("probability"))
-    scored = scored.select("doc_id", "paragraph_index", "paragraph", "ngrams", F.col("prediction").cast("int").alias("class"), F.array_max("p").alias("probability"))
+    scored = scored.select("row", "doc_id", "paragraph_index", "lines", "paragraph", "ngrams", F.col("prediction").cast("int").alias("class"), F.array_max("p").alias("probability"))
     scored = scored.where((F.col("class") < len(names) - 1) & (F.col("probability") >= believed))
-    # Each family's names as bigram sets (single words where a name is one).
-    own = {f: [sorted(set(_bigrams(_words(n)) or _words(n))) for n in FAMILIES[f]] for f in names[:-1]}
-    table = "array(" + ", ".join("array(" + ", ".join(_literal(b) for b in own[f]) + ")" for f in names[:-1]) + ")"
-    scored = scored.withColumn("similarity", F.expr(f"array_max(transform(get({table}, class), b -> size(array_intersect(b, ngrams)) / cast(size(b) AS double)))"))
-    return (scored.where((F.col("similarity") >= OVERLAP) & F.expr(f"size(array_intersect(ngrams, {_literal(own_words())})) > 0"))
-            .select("doc_id", "paragraph_index", "paragraph", F.expr(f"get({_literal(names)}, class)").alias("family"), "probability", "similarity"))
-
+    # Each family's names and bodies as bigram sets.
+    def best(of: dict[str, list[str]]) -> str:
+        return _best("get(array(" + ", ".join(_sets(of[f]) for f in names[:-1]) + "), class)")
+
+    named = f"CASE WHEN size(array_intersect(ngrams, {_literal(own_words())})) > 0 THEN {best(FAMILIES)} ELSE 0.0D END"
+    scored = scored.withColumn("similarity", F.expr(f"greatest({named}, {best(BODIES)})")).where(F.col("similarity") >= OVERLAP)
+    scored = scored.select("row", "doc_id", F.struct("paragraph_index", "lines", "paragraph", F.expr(f"get({_literal(names)}, class)").alias("family"), "probability", "similarity").alias("x"))
+    # Of runs of lines that lie in one another, the shortest.
+    each = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list("x").alias("all"))
+    inside = "y.lines < x.lines AND y.paragraph_index >= x.paragraph_index AND y.paragraph_index + y.lines <= x.paragraph_index + x.lines"
+    return (each.select("doc_id", F.explode(F.expr(f"filter(all, x -> NOT exists(all, y -> {inside}))")).alias("x"))
+            .select("doc_id", "x.paragraph_index", "x.paragraph", "x.family", "x.probability", "x.similarity"))
