@@ -31,8 +31,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is in one of the learned languages."""
+    """Rows whose text is in one of the learned languages; if none was learned,
+    rows whose text has a letter."""
     learned = langid.prototypes(langid.training_rows(docs))
+    if not learned:
+        return docs.where(docs["text"].rlike(r"\p{L}"))
     return docs.where(langid.identify(docs["text"], learned)["lang_pred"] != langid.UNKNOWN)
 
 

@@ -87,3 +87,10 @@ def test_stages(spark, odd_docs, benchmark, labels, tmp_path):
     kept = corpus_pipeline.drop_near_duplicates(spark, odd_docs, str(tmp_path)).collect()
     # 2 repeats 1 (twice), 11 is near it; rows without words stay.
     assert sorted(str(r.doc_id) for r in kept) == ["1", "10", "12", "13", "3", "4", "5", "7", "8", "9", "None", "None"]
+
+
+def test_language_stage_without_languages(spark, odd_docs, tmp_path):
+    """With nothing to learn from only texts without a letter go."""
+    docs = odd_docs.withColumn("lang", odd_docs["lang"].substr(9, 9)).replace("", None, "lang")
+    kept = corpus_pipeline.keep_identified(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "10", "11", "13", "2", "2", "5", "8", "9", "None"]
