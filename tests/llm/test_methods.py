@@ -351,3 +351,10 @@ def test_licence_bodies_and_spellings(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9000 + i, t) for i, (t, _, _) in odd.items()], "doc_id bigint, text string"))
     got = sorted((r.doc_id, r.family, r.paragraph_index) for r in license.scan(docs).collect() if r.doc_id > 9000)
     assert got == [(9000 + i, f, k) for i, (_, f, k) in odd.items()]
+
+
+def test_mined_rules_of_four_tokens(spark):
+    """Only four tokens together come with the label."""
+    rows = [([f"{t}{x}" for t, x in zip("abcd", bits)], all(bits)) for bits in itertools.product((0, 1), repeat=4) for _ in range(30)]
+    got = urlfilter.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).collect()
+    assert [(r.antecedent, r.confidence) for r in got] == [(["a1", "b1", "c1", "d1"], 1.0)]

@@ -20,11 +20,14 @@ URL to learn from, nothing but the list blocks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorlint.llm.common import lower_ascii
+from vectorlint.session import materialize
 
 #: (verdict, host, path) rules of the registered query.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -32,10 +35,6 @@ MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.8
 #: URLs that a combination must be seen in, however small the table.
 MIN_URLS = 25
-#: Tokens of a mined combination, and combinations kept, at most (the most
-#: confident and best supported first): a bounded side table.
-MAX_TOKENS = 3
-MAX_RULES = 5_000
 _LABEL = "\0block"
 
 
@@ -85,17 +84,26 @@ def mine(labelled: DataFrame) -> DataFrame:
     """Pruned rules (rule_id, antecedent, first, confidence, support) from
     (tokens, blocked): ``first`` is the antecedent's rarest token."""
     baskets = labelled.select(F.expr(f"CASE WHEN blocked THEN array_append(tokens, '{_LABEL}') ELSE tokens END").alias("items")).where("size(items) > 0")
-    support = max(MIN_SUPPORT, min(1.0, MIN_URLS / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(baskets)
-    found = model.associationRules.where(f"consequent[0] = '{_LABEL}' AND size(antecedent) <= {MAX_TOKENS}").select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support")
-    found = found.orderBy(F.desc("confidence"), F.desc("support"), "antecedent").limit(MAX_RULES)
-    # Inverted index of the rules over themselves: drop a rule that contains a smaller one at least as confident.
-    rules = found.withColumn("rule_id", F.xxhash64("antecedent"))
-    posted = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token"))
-    inside = (posted.alias("a").join(posted.alias("b"), "token").where("a.rule_id <> b.rule_id AND b.confidence >= a.confidence")
-              .where("size(b.antecedent) < size(a.antecedent) AND size(array_except(b.antecedent, a.antecedent)) = 0").select(F.col("a.rule_id").alias("rule_id")).distinct())
-    rules = rules.join(inside, "rule_id", "left_anti")
-    sizes = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
+    n = baskets.count()
+    support = max(MIN_SUPPORT, min(1.0, MIN_URLS / max(1, n)))
+    model = FPGrowth(itemsCol="items", minSupport=support).fit(baskets)
+    items = materialize(model.freqItemsets, "itemsets")
+    label = F.array_contains("items", _LABEL)
+    hits = items.where(label & (F.size("items") > 1)).select(F.sort_array(F.array_remove("items", _LABEL)).alias("antecedent"), F.col("freq").alias("hits"))
+    every = hits.join(items.where(~label).select(F.sort_array("items").alias("antecedent"), "freq"), "antecedent")
+    every = materialize(every.select("antecedent", F.size("antecedent").alias("size"), (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / max(1, n)).alias("support")), "antecedents")
+    # By size: the best confidence inside a combination comes from the combinations with one token less, which are all there.
+    level = every.where("size = 1").withColumn("inside", F.lit(0.0))
+    levels = [level]
+    for k in range(2, (every.agg(F.max("size")).first()[0] or 1) + 1):
+        own = every.where(F.col("size") == k)
+        less = own.select("antecedent", F.explode(F.expr("transform(antecedent, t -> array_remove(antecedent, t))")).alias("less"))
+        below = level.select(F.col("antecedent").alias("less"), F.greatest("confidence", "inside").alias("c"))
+        level = materialize(own.join(less.join(below, "less").groupBy("antecedent").agg(F.max("c").alias("inside")), "antecedent").select(*level.columns), "antecedents-by-size")
+        levels.append(level)
+    # Only what is more confident than all combinations inside it; all of that.
+    rules = reduce(DataFrame.unionByName, levels).where(f"confidence >= {MIN_CONFIDENCE} AND confidence > inside").withColumn("rule_id", F.xxhash64("antecedent"))
+    sizes = items.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
     rarest = rules.select("rule_id", F.explode("antecedent").alias("token")).join(sizes, "token").groupBy("rule_id").agg(F.min(F.struct("freq", "token")).alias("m"))
     return rules.join(rarest, "rule_id").select("rule_id", "antecedent", F.col("m.token").alias("first"), "confidence", "support")
 
