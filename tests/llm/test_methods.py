@@ -358,3 +358,13 @@ def test_mined_rules_of_four_tokens(spark):
     rows = [([f"{t}{x}" for t, x in zip("abcd", bits)], all(bits)) for bits in itertools.product((0, 1), repeat=4) for _ in range(30)]
     got = urlfilter.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).collect()
     assert [(r.antecedent, r.confidence) for r in got] == [(["a1", "b1", "c1", "d1"], 1.0)]
+
+
+def test_sharding_hot_key_just_over(spark):
+    """A hot bucket a little over the limit is split bit by bit: no two sister shards would fit as one."""
+    docs = spark.range(101).selectExpr("7L AS doc_id", "repeat('x', 100) AS text")
+    got = {r.shard: r.shard_bytes for r in sharding.assign_shards(docs, 10000).collect()}
+    assert sum(got.values()) == 10100 and len(got) == 2
+    docs = spark.range(1000).selectExpr("id % 2 AS doc_id", "repeat('x', 100) AS text")
+    got = {r.shard: r.shard_bytes for r in sharding.assign_shards(docs, 10000).collect()}
+    assert all(got[s] + got[t] > 10000 for s in got for t in [s[:-1] + "10"[int(s[-1])]] if t in got)

@@ -39,33 +39,34 @@ QUERY_LIMIT = 1 << 20
 _HASH = "cast(conv(substr(md5({}), 1, 15), 16, 10) AS bigint)"
 
 
-def _split(rows: DataFrame, limit: int, first_bits: int) -> list[tuple[int, DataFrame]]:
+def _split(rows: DataFrame, limit: int, first_bits: int, by: tuple[str, ...] = (), final: bool = False) -> list[tuple[int, DataFrame]]:
     """Directories [(bits, DataFrame(cell, depth, shard_bytes, shard_rows))] of
-    rows (h, n_bytes); depth is null in cells that the next directory opens."""
+    rows (h, n_bytes), one for each value of the columns ``by``; depth is null
+    in cells that the next directory opens (if ``final``, not at all ``BITS``)."""
     found, bits, at_depth = [], 0, 0
-    left = rows.select("h", "n_bytes")
+    left = rows.select(*by, "h", "n_bytes")
     while True:
         bits = min(BITS, bits + (first_bits if not found else STEP_BITS))
-        cells = materialize(left.groupBy(F.shiftright("h", BITS - bits).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("r")), "directory-cells")
-        rolled = cells.select("cell", "b", "r", F.explode(F.sequence(F.lit(at_depth), F.lit(bits))).alias("d")).withColumn("prefix", F.expr(f"shiftright(cell, cast({bits} - d AS int))"))
-        fits = rolled.groupBy("d", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("r").alias("shard_rows")).where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1))
+        cells = materialize(left.groupBy(*by, F.shiftright("h", BITS - bits).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("r")), "directory-cells")
+        rolled = cells.select(*by, "cell", "b", "r", F.explode(F.sequence(F.lit(at_depth), F.lit(bits))).alias("d")).withColumn("prefix", F.expr(f"shiftright(cell, cast({bits} - d AS int))"))
+        fits = rolled.groupBy(*by, "d", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("r").alias("shard_rows")).where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | (F.lit(final) & (F.col("d") == BITS)))
         # Of the prefixes of a cell that fit, the shortest is its shard.
-        best = (rolled.select("cell", "d", "prefix").join(fits, ["d", "prefix"]).groupBy("cell").agg(F.min(F.struct("d", "shard_bytes", "shard_rows")).alias("s"))
-                .select("cell", F.col("s.d").alias("depth"), "s.shard_bytes", "s.shard_rows"))
-        directory = materialize(cells.select("cell").join(best, "cell", "left"), "directory")
+        best = (rolled.select(*by, "cell", "d", "prefix").join(fits, [*by, "d", "prefix"]).groupBy(*by, "cell").agg(F.min(F.struct("d", "shard_bytes", "shard_rows")).alias("s"))
+                .select(*by, "cell", F.col("s.d").alias("depth"), "s.shard_bytes", "s.shard_rows"))
+        directory = materialize(cells.select(*by, "cell").join(best, [*by, "cell"], "left"), "directory")
         found.append((bits, directory))
-        shut = directory.where("depth IS NULL").select(F.col("cell").alias("open_cell"))
+        shut = directory.where("depth IS NULL").select(*by, "cell")
         if bits == BITS or shut.isEmpty():
             return found
-        left = left.join(shut, F.shiftright("h", BITS - bits) == F.col("open_cell"), "left_semi")
+        left = left.withColumn("cell", F.shiftright("h", BITS - bits)).join(shut, [*by, "cell"], "left_semi").drop("cell")
         at_depth = bits + 1
 
 
-def _place(rows: DataFrame, found: list[tuple[int, DataFrame]]) -> DataFrame:
+def _place(rows: DataFrame, found: list[tuple[int, DataFrame]], by: tuple[str, ...] = ()) -> DataFrame:
     """Adds depth, shard_bytes, shard_rows; depth is null where no directory has a place."""
     for k, (bits, directory) in enumerate(found):
-        d = directory.select(F.col("cell").alias(f"c{k}"), F.col("depth").alias(f"d{k}"), F.col("shard_bytes").alias(f"b{k}"), F.col("shard_rows").alias(f"r{k}"))
-        rows = rows.join(d, F.shiftright("h", BITS - bits) == F.col(f"c{k}"), "left")
+        d = directory.select(*by, F.col("cell").alias(f"c{k}"), F.col("depth").alias(f"d{k}"), F.col("shard_bytes").alias(f"b{k}"), F.col("shard_rows").alias(f"r{k}"))
+        rows = rows.withColumn(f"c{k}", F.shiftright("h", BITS - bits)).join(d, [*by, f"c{k}"], "left")
     for out, x in (("depth", "d"), ("shard_bytes", "b"), ("shard_rows", "r")):
         rows = rows.withColumn(out, F.coalesce(*[F.col(f"{x}{k}") for k in range(len(found))]))
     return rows.drop(*[f"{x}{k}" for x in "cdbr" for k in range(len(found))])
@@ -91,26 +92,14 @@ def assign_shards(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFrame
     bits, last = found[-1]
     if bits < BITS or last.where("depth IS NULL").isEmpty():
         return placed.select(*columns)
-    # Buckets of one hot key: their rows go on with the second hash, salted by the key's own.
-    hot = placed.where("depth IS NULL").select(key, "n_bytes", F.col("h").alias("first_hash"), F.shiftrightunsigned("second", 64 - BITS).alias("salt"))
+    # Buckets of one hot key: their rows go on with the second hash, bit by bit as above.
+    hot = placed.where("depth IS NULL").select(F.col(key).alias("hot_key"), "n_bytes", F.col("h").alias("first_hash"), F.shiftrightunsigned("second", 64 - BITS).alias("h"))
     hot = materialize(hot, "hot-keys")
-    out = placed.where("depth IS NOT NULL").select(*columns)
-    parts = hot.groupBy("first_hash").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("r"))
-    # The deeper bits: as many as bring the bucket's mean part to half the limit, then checked and opened as above.
-    grown = hot.join(parts.withColumn("more", F.expr(f"cast(greatest(1, ceil(log2(2.0D * b / {limit}))) AS int)")), "first_hash").withColumn("part", F.expr(f"shiftright(salt, {BITS} - more)"))
-    done = []
-    while True:
-        size = grown.groupBy("first_hash", "more", "part").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-        sized = materialize(grown.join(size, ["first_hash", "more", "part"]), "hot-parts")
-        fit = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | (F.col("more") >= BITS)
-        done.append(sized.where(fit))
-        grown = sized.where(~fit).select(key, "n_bytes", "first_hash", "salt", (F.col("more") + 1).alias("more")).withColumn("part", F.expr(f"shiftright(salt, {BITS} - more)"))
-        if grown.isEmpty():
-            break
-    for d in done:
-        bits_of = F.concat(_bits("first_hash", str(BITS)), F.expr("lpad(bin(part), more, '0')"))
-        out = out.unionByName(d.select(key, "n_bytes", (F.col("more") + BITS).alias("depth"), bits_of.alias("shard"), "shard_bytes", "shard_rows"))
-    return out
+    largest = hot.groupBy("first_hash").agg(F.sum("n_bytes").alias("b")).agg(F.max("b")).first()[0]
+    spread = max(1, math.ceil(math.log2(max(1, largest / limit))) + SPARE_BITS)
+    parts = _place(hot, _split(hot, limit, min(BITS, spread), ("first_hash",), True), ("first_hash",))
+    parts = parts.select(F.col("hot_key").alias(key), "n_bytes", (F.col("depth") + BITS).alias("depth"), F.concat(_bits("first_hash", str(BITS)), _bits("h", "depth")).alias("shard"), "shard_bytes", "shard_rows")
+    return placed.where("depth IS NOT NULL").select(*columns).unionByName(parts)
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id") -> None:
