@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF = "/root/testdata/sf0.001"
+from helpers import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -28,24 +28,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def poly(*rings, typ="Polygon"):
-    """Geometry struct value from rings given as lists of (x, y)."""
-    def ring(r):
-        pts = [{"x": float(x), "y": float(y)} for x, y in r]
-        if pts and pts[0] != pts[-1]:
-            pts.append(pts[0])
-        return pts
-    return {"type": typ, "coords": [[ring(r) for r in rings]]}
-
-
-def multi(*polys):
-    return {"type": "MultiPolygon", "coords": [p["coords"][0] for p in polys]}
-
-
-def features(spark, rows, extra_schema=""):
-    """DataFrame(fid, geom[, ...]) from (fid, geom dict[, ...]) tuples."""
-    from vectorlint.model import GEOMETRY_DDL
-    schema = f"fid bigint, geom {GEOMETRY_DDL}" + (", " + extra_schema if extra_schema else "")
-    return spark.createDataFrame(rows, schema).withColumn("srid", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(7855))

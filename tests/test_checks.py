@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import features, poly
+from helpers import features, poly
 from vectorlint.operators import attribute as A
 from vectorlint.operators import feature as FE
 from vectorlint.operators import network as N

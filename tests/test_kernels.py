@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import features, multi, poly
+from helpers import features, multi, poly
 from vectorlint.functions import geometry as G
 from vectorlint.operators import spatial as S
 

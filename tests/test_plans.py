@@ -1,7 +1,7 @@
 """Plan shape checks: the pair join never becomes a cartesian product or a
 nested-loop join, and filters/columns reach the parquet scan."""
 
-from conftest import SF
+from helpers import SF
 from vectorlint.operators import spatial as S
 from vectorlint.sources import fixtures as FX
 

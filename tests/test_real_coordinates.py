@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import features, multi, poly
+from helpers import features, multi, poly
 
 from vectorlint.operators import pairs as P
 from vectorlint.operators import spatial as S
