@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorlint.llm import bpe, decontaminate, fingerprint, langid, license, lmscore, neardup, sharding, toxicity, urlfilter
+from vectorlint.llm import bpe, decontaminate, fingerprint, langid, license, lmscore, merkle, neardup, sharding, toxicity, urlfilter
 from vectorlint.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
+@query("op13_merkle", merkle.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(documents(spark, sf_dir))
