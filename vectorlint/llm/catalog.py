@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorlint.llm import bpe, decontaminate, fingerprint, langid, license, lmscore, merkle, neardup, sharding, toxicity, urlfilter
+from vectorlint.llm import bpe, decontaminate, fingerprint, hardneg, langid, license, lmscore, merkle, neardup, sharding, simhash, toxicity, urlfilter
 from vectorlint.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+@query("op11_hard_negatives", hardneg.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_simhash")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 @query("op13_merkle", merkle.oracle())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(documents(spark, sf_dir))

@@ -42,3 +42,12 @@ def bit_table(df: DataFrame, hashed: str, bits: int):
     for r in folded:
         words[r[0]] = r[1]
     return df.sparkSession.sparkContext.broadcast(np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool))
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Each of ``rows`` with the columns of its class (one row for each ``key`` that
+    ``rows`` holds, with ``copies``, their number).  Classes of at least a thousandth
+    of all rows, so at most a thousand, are broadcast; only the others are dealt by key."""
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).scalar()
+    large, small = (classes.where(c).drop("copies") for c in (F.col("copies") * 1000 >= total, F.col("copies") * 1000 < total))
+    return rows.join(F.broadcast(large), key).unionByName(rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key))
