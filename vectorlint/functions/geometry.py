@@ -33,6 +33,40 @@ def ring_signed_area(r: str) -> str:
             f"- ({r}[{i} + 1].x - {r}[0].x) * ({r}[{i}].y - {r}[0].y))) / 2 END)")
 
 
+def orientation(px1: str, py1: str, px2: str, py2: str, qx: str, qy: str) -> str:
+    """Twice the signed area of (p1, p2, q): > 0 if q lies to the left of p1 -> p2.
+
+    Plain arithmetic decides where its error bound allows; otherwise the
+    determinant is expanded in double-double: differences and products are kept
+    with their exact rounding errors, so that the sign is right down to about
+    1e-30 of the products."""
+    s, t, w, e = (_v(n) for n in "stwe")
+    left, right = f"(({px2}) - ({px1})) * (({qy}) - ({py1}))", f"(({py2}) - ({py1})) * (({qx}) - ({px1}))"
+
+    def rest(a: str, b: str) -> str:            # rounding error of a - b
+        d = f"(({a}) - ({b}))"
+        return f"((({a}) - ({d} + (({a}) - {d}))) + ((({a}) - {d}) - ({b})))"
+
+    def excess(a: int, b: int) -> str:          # rounding error of h_a * h_b, from their 26-bit halves g and l
+        return f"({w}.l{a} * {w}.l{b} - ((({w}.h{a} * {w}.h{b} - {w}.g{a} * {w}.g{b}) - {w}.l{a} * {w}.g{b}) - {w}.g{a} * {w}.l{b}))"
+
+    def keep(v: str, *names: str) -> str:
+        return ", ".join(f"'{n}{k}', {v}.{n}{k}" for n in names for k in range(4))
+
+    ends = [(px2, px1), (qy, py1), (py2, py1), (qx, px1)]
+    first = ", ".join(f"'h{k}', ({a}) - ({b}), 't{k}', {rest(a, b)}" for k, (a, b) in enumerate(ends))
+    high = ", ".join(f"'g{k}', 134217729D * {s}.h{k} - (134217729D * {s}.h{k} - {s}.h{k})" for k in range(4))
+    low = ", ".join(f"'l{k}', {t}.h{k} - {t}.g{k}" for k in range(4))
+    products = (f"'p', {w}.h0 * {w}.h1, 'pe', {excess(0, 1)} + ({w}.h0 * {w}.t1 + {w}.t0 * {w}.h1), "
+                f"'r', {w}.h2 * {w}.h3, 're', {excess(2, 3)} + ({w}.h2 * {w}.t3 + {w}.t2 * {w}.h3)")
+    exact = f"array(named_struct({first}))"
+    for v, fields in ((s, f"{keep(s, 'h', 't')}, {high}"), (t, f"{keep(t, 'h', 't', 'g')}, {low}"), (w, products)):
+        exact = f"transform({exact}, {v} -> named_struct({fields}))"
+    exact = f"transform({exact}, {e} -> ({e}.p - {e}.r) + ({rest(f'{e}.p', f'{e}.r')} + ({e}.pe - {e}.re)))[0]"
+    return (f"(CASE WHEN abs({left} - {right}) > 4e-16D * (abs({left}) + abs({right})) THEN {left} - {right} "
+            f"WHEN {left} = 0 AND {right} = 0 THEN 0D ELSE {exact} END)")
+
+
 def ring_length(r: str) -> str:
     a, i = _v("a"), _v("i")
     return (f"(CASE WHEN size({r}) < 2 THEN 0D ELSE aggregate(sequence(0, size({r}) - 2), 0D, "

@@ -2,8 +2,8 @@
 
 Each check is a projection + filter over the feature or part table: the
 geometry maths runs as higher-order column expressions, so these checks add
-no shuffle.  The only joins are the edge self-join of the validity checks
-(F2/F3, an equi-join on (fid, part, cell)) and the pair join of F21/F25.
+no shuffle.  The only joins are those of the validity checks (F2/F3, see
+``validity``) and the pair join of F21/F25.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from vectorlint.functions import geometry as G
 from vectorlint.model import SRID_GEOGRAPHIC
 from vectorlint.operators import spatial as S
+from vectorlint.operators.validity import geometry_valid, invalid_parts, not_simple, valid_parts  # noqa: F401
 from vectorlint.operators.violations import violations
 
 
@@ -39,97 +40,6 @@ def polygons_only(features: DataFrame, error_type: str = "BuildingPolygonsOnly")
     return violations(bad, error_type, message=F.lit("Geometry must be Polygon/MultiPolygon"))
 
 
-# ------------------------------------------------------------- validity ----
-
-_REASONS = ["Invalid Coordinate", "Too few points in geometry component", "Ring not closed",
-            "Self-intersection", "Ring Self-intersection", "Hole lies outside shell"]
-
-
-def _ring_issues(parts_df: DataFrame) -> DataFrame:
-    """Per-part structural problems found without any join: NaN coordinate,
-    ring with < 4 points, ring not closed, hole not inside the exterior."""
-    r, p = "r", "p"
-    nan = f"exists(flatten(rings), {p} -> isnan({p}.x) OR isnan({p}.y))"
-    few = f"exists(rings, {r} -> size({r}) < 4)"
-    unclosed = f"exists(rings, {r} -> NOT {G.ring_is_closed(r)})"
-    ext = "named_struct('type', 'Polygon', 'coords', array(array(rings[0])))"
-    hole_out = (f"(size(rings) > 1 AND exists(slice(rings, 2, size(rings) - 1), {r} -> "
-                f"NOT exists({r}, q -> {G.point_in_polygon(ext, 'q.x', 'q.y')}) ))")
-    return parts_df.select(
-        "fid", "part",
-        F.expr(f"CASE WHEN {nan} THEN 0 WHEN {few} THEN 1 WHEN {unclosed} THEN 2 "
-               f"WHEN gtype IN ('Polygon', 'MultiPolygon') AND {hole_out} THEN 5 END").alias("rank"),
-    ).where("rank IS NOT NULL")
-
-
-def edge_self_intersections(parts_df: DataFrame, same_ring_only: bool = False) -> DataFrame:
-    """``fid, part, rank`` where two non-adjacent edges of one part meet:
-    rank 3 = proper crossing, 4 = touching.  An equi-join on (fid, part,
-    cell) with cells sized per part (about sqrt(edges) cells per side), each
-    edge pair kept only in the cell of its boxes' overlap corner."""
-    e = S.edges(parts_df.where("nedges >= 3"), keep=["minx", "miny", "maxx", "maxy", "nedges"])
-    cs = f"greatest(greatest(maxx - minx, maxy - miny) / greatest(ceil(sqrt(nedges / {S.EDGES_PER_SLAB})), 1), 1e-12)"
-    e = e.withColumn("cs", F.expr(cs)).select(
-        "fid", "part", "ring", "seq", "x1", "y1", "x2", "y2", "ring_edges", "cs",
-        F.expr("least(x1, x2)").alias("ex0"), F.expr("least(y1, y2)").alias("ey0"),
-        F.expr("greatest(x1, x2)").alias("ex1"), F.expr("greatest(y1, y2)").alias("ey1"))
-    e = (e.withColumn("cx", F.explode(F.expr("sequence(CAST(floor(ex0 / cs) AS BIGINT), CAST(floor(ex1 / cs) AS BIGINT))")))
-          .withColumn("cy", F.explode(F.expr("sequence(CAST(floor(ey0 / cs) AS BIGINT), CAST(floor(ey1 / cs) AS BIGINT))"))))
-    a = e.select(*[F.col(c).alias(f"a_{c}") for c in e.columns])
-    b = e.select(*[F.col(c).alias(f"b_{c}") for c in e.columns])
-    cond = [a.a_fid == b.b_fid, a.a_part == b.b_part, a.a_cx == b.b_cx, a.a_cy == b.b_cy,
-            (a.a_ring < b.b_ring) | ((a.a_ring == b.b_ring) & (a.a_seq < b.b_seq))]
-    j = a.join(b, cond)
-    if same_ring_only:
-        j = j.where("a_ring = b_ring")
-    adjacent = ("a_ring = b_ring AND (b_seq = a_seq + 1 OR (a_seq = 0 AND b_seq = a_ring_edges - 1))")
-    refcell = ("a_cx = CAST(floor(greatest(a_ex0, b_ex0) / a_cs) AS BIGINT) AND "
-               "a_cy = CAST(floor(greatest(a_ey0, b_ey0) / a_cs) AS BIGINT)")
-    j = j.where(f"NOT ({adjacent}) AND {refcell}")
-    d1 = "sign((a_x2 - a_x1) * (b_y1 - a_y1) - (a_y2 - a_y1) * (b_x1 - a_x1))"
-    d2 = "sign((a_x2 - a_x1) * (b_y2 - a_y1) - (a_y2 - a_y1) * (b_x2 - a_x1))"
-    d3 = "sign((b_x2 - b_x1) * (a_y1 - b_y1) - (b_y2 - b_y1) * (a_x1 - b_x1))"
-    d4 = "sign((b_x2 - b_x1) * (a_y2 - b_y1) - (b_y2 - b_y1) * (a_x2 - b_x1))"
-    box = "a_ex0 <= b_ex1 AND b_ex0 <= a_ex1 AND a_ey0 <= b_ey1 AND b_ey0 <= a_ey1"
-    j = j.where(f"{box} AND {d1} * {d2} <= 0 AND {d3} * {d4} <= 0")
-    return j.select(F.col("a_fid").alias("fid"), F.col("a_part").alias("part"),
-                    F.expr(f"CASE WHEN {d1} * {d2} < 0 AND {d3} * {d4} < 0 THEN 3 ELSE 4 END").alias("rank"))
-
-
-def invalid_parts(parts_df: DataFrame) -> DataFrame:
-    """``fid, part, rank`` of invalid polygon parts (best reason = lowest rank)."""
-    polys = parts_df.where("gtype IN ('Polygon', 'MultiPolygon')")
-    issues = _ring_issues(polys).unionByName(edge_self_intersections(polys))
-    return issues.groupBy("fid", "part").agg(F.min("rank").alias("rank"))
-
-
-def geometry_valid(features: DataFrame, parts_df: DataFrame | None = None,
-                   error_type: str = "GeometryValid", fixed_message: str | None = None) -> DataFrame:
-    """one row per invalid feature with the reason of its first bad part.
-
-    Supported reasons: invalid coordinate, too few points, ring not closed,
-    self-intersection (proper crossing), ring self-touch, hole outside shell.
-    (Nested shells, disconnected interiors and the other GEOS reasons are
-    not detected.)"""
-    parts_df = parts_df if parts_df is not None else S.parts(features)
-    inv = invalid_parts(parts_df).groupBy("fid").agg(F.min("rank").alias("rank"))
-    reasons = F.array(*[F.lit(r) for r in _REASONS])
-    msg = F.lit(fixed_message) if fixed_message else F.element_at(reasons, F.col("rank") + 1)
-    return violations(inv, error_type, message=msg, metric=F.col("rank").cast("double"))
-
-
-def not_simple(features: DataFrame, parts_df: DataFrame | None = None) -> DataFrame:
-    """F3 NotSimple: linework of a ring crosses or touches itself."""
-    parts_df = parts_df if parts_df is not None else S.parts(features)
-    x = edge_self_intersections(parts_df, same_ring_only=True).select("fid").distinct()
-    return violations(x, "NotSimple", message=F.lit("Geometry is not simple."))
-
-
-def valid_parts(parts_df: DataFrame) -> DataFrame:
-    """Parts without validity problems (input to the area kernels)."""
-    return parts_df.join(invalid_parts(parts_df).select("fid", "part"), ["fid", "part"], "left_anti")
-
-
 # ---------------------------------------------------------------- areas ----
 
 def area_non_positive(features: DataFrame) -> DataFrame:

@@ -283,7 +283,12 @@ def intersection_area(pairs: DataFrame, parts_df: DataFrame) -> DataFrame:
         (F.least("a_maxx", "b_maxx") - F.least("a_minx", "b_minx")).alias("ix1"),
         F.greatest("a_miny", "b_miny").alias("iy0"), F.least("a_maxy", "b_maxy").alias("iy1"),
     ).where("ix1 > ix0 AND iy1 > iy0")
-    base = with_rings(base, parts_df)
+    return exact_area(with_rings(base, parts_df))
+
+
+def exact_area(base: DataFrame) -> DataFrame:
+    """Pair keys and ``area`` of pairs with their rings, edge counts, origin and
+    common x-range (see ``intersection_area``)."""
     small = _in_row_area(base.where(f"na * nb <= {SMALL_PAIR}"))
     big = base.where(f"na * nb > {SMALL_PAIR}").withColumn(
         "nslab", F.expr(f"CAST(least(greatest((na + nb) div {EDGES_PER_SLAB}, 1), {MAX_SLABS}) AS INT)"))

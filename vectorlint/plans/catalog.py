@@ -232,14 +232,25 @@ b1_invr AS (
 )"""
 
 
-@register("geometry_valid", with_(*B1_X, B1_INVR) +
-          f"\nSELECT {vsel(et='GeometryValid', m='min(rank)')} FROM b1_invr GROUP BY fid")
+def validity_query(v_cte: str, v: str, p: str) -> str:
+    return (with_(v_cte, O.validity_sql(v, p)).replace("WITH", "WITH RECURSIVE", 1) +
+            f"\nSELECT {vsel(et='GeometryValid', m='rank')} FROM {p}_rank")
+
+
+@register("geometry_valid", validity_query(B1, "b1_v", "b1_ok"))
 def q_geometry_valid(spark, sf):
     """invalid features with the rank of their reason (3 = crossing)."""
     from vectorlint.operators.feature import geometry_valid
     return _cmp(geometry_valid(_blocks(spark, sf), _block_parts(spark, sf)))
 
 
+@register("geometry_valid_rings", validity_query(FX.ring_shapes_sql(), "b7_v", "b7"))
+def q_geometry_valid_rings(spark, sf):
+    """F2 on shapes whose rings do or don't fit each other (nested holes and shells, disconnected interiors)."""
+    from vectorlint.operators.feature import geometry_valid
+    return _cmp(geometry_valid(FX.ring_shapes(spark, sf)))
+
+
 @register("not_simple", with_(*B1_X, B1_INVR.replace("a.ring < b.ring OR ", "")) +
           f"\nSELECT DISTINCT {vsel(et='NotSimple')} FROM b1_invr WHERE rank >= 3")
 def q_not_simple(spark, sf):

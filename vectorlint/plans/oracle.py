@@ -158,3 +158,63 @@ def seg_dist_sql(a: str, b: str) -> str:
             f"{pt_seg_sql(f'{a}.x2', f'{a}.y2', f'{b}.x1', f'{b}.y1', f'{b}.x2', f'{b}.y2')}, "
             f"{pt_seg_sql(f'{b}.x1', f'{b}.y1', f'{a}.x1', f'{a}.y1', f'{a}.x2', f'{a}.y2')}, "
             f"{pt_seg_sql(f'{b}.x2', f'{b}.y2', f'{a}.x1', f'{a}.y1', f'{a}.x2', f'{a}.y2')}) END")
+
+
+def validity_sql(v: str, p: str) -> str:
+    """CTEs up to ``{p}_rank(fid, rank)``: reasons of invalid features from vertices ``v``.
+
+    Plain all-pairs joins of edges and rings within a feature; needs WITH RECURSIVE."""
+    ring = "fid, part, ring"
+
+    def orient(a, x, y):
+        return f"(({a}.x2 - {a}.x1) * ({y} - {a}.y1) - ({a}.y2 - {a}.y1) * ({x} - {a}.x1))"
+
+    inside = """(SELECT count(*) % 2 FROM {p}_e s WHERE s.fid = q.fid AND s.part = o.part AND s.ring = o.ring AND (s.y1 > q.y) <> (s.y2 > q.y)
+                 AND q.x < s.x1 + (q.y - s.y1) * (s.x2 - s.x1) / (s.y2 - s.y1))""".format(p=p)
+    on = f"EXISTS (SELECT 1 FROM {p}_e s WHERE s.fid = q.fid AND s.part = o.part AND s.ring = o.ring AND {orient('s', 'q.x', 'q.y')} = 0 AND q.x BETWEEN least(s.x1, s.x2) AND greatest(s.x1, s.x2) AND q.y BETWEEN least(s.y1, s.y2) AND greatest(s.y1, s.y2))"
+    return f"""
+{p}_d AS (
+  SELECT {ring}, row_number() OVER (PARTITION BY {ring} ORDER BY seq) - 1 AS seq, x, y
+  FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM {v} WINDOW w AS (PARTITION BY {ring} ORDER BY seq)) WHERE px IS NULL OR px <> x OR py <> y
+),{edges_sql(f'{p}_d', f'{p}_e')},
+{p}_n AS (SELECT {ring}, count(*) AS n FROM {p}_e GROUP BY {ring}),
+{p}_m AS (
+  SELECT a.fid, a.part AS ap, a.ring AS ar, b.part AS bp, b.ring AS br, {orient('a', 'b.x1', 'b.y1')} AS d1, {orient('a', 'b.x2', 'b.y2')} AS d2, {orient('b', 'a.x1', 'a.y1')} AS d3, {orient('b', 'a.x2', 'a.y2')} AS d4,
+         greatest(least(a.x1, a.x2), least(b.x1, b.x2)) < least(greatest(a.x1, a.x2), greatest(b.x1, b.x2)) OR greatest(least(a.y1, a.y2), least(b.y1, b.y2)) < least(greatest(a.y1, a.y2), greatest(b.y1, b.y2)) AS wide,
+         CASE WHEN {orient('a', 'b.x1', 'b.y1')} = 0 AND b.x1 BETWEEN least(a.x1, a.x2) AND greatest(a.x1, a.x2) AND b.y1 BETWEEN least(a.y1, a.y2) AND greatest(a.y1, a.y2) THEN [b.x1, b.y1]
+              WHEN {orient('a', 'b.x2', 'b.y2')} = 0 AND b.x2 BETWEEN least(a.x1, a.x2) AND greatest(a.x1, a.x2) AND b.y2 BETWEEN least(a.y1, a.y2) AND greatest(a.y1, a.y2) THEN [b.x2, b.y2]
+              WHEN {orient('b', 'a.x1', 'a.y1')} = 0 AND a.x1 BETWEEN least(b.x1, b.x2) AND greatest(b.x1, b.x2) AND a.y1 BETWEEN least(b.y1, b.y2) AND greatest(b.y1, b.y2) THEN [a.x1, a.y1]
+              ELSE [a.x2, a.y2] END AS pt
+  FROM {p}_e a JOIN {p}_e b ON a.fid = b.fid AND (a.part, a.ring, a.seq) < (b.part, b.ring, b.seq) JOIN {p}_n n ON n.fid = a.fid AND n.part = a.part AND n.ring = a.ring
+  WHERE NOT (a.part = b.part AND a.ring = b.ring AND (b.seq = a.seq + 1 OR (a.seq = 0 AND b.seq = n.n - 1))) AND {seg_intersect_sql('a', 'b')}
+),
+{p}_k AS (SELECT *, CASE WHEN d1 * d2 < 0 AND d3 * d4 < 0 OR (d1 = 0 AND d2 = 0 AND wide) THEN 3 WHEN ap = bp AND ar = br THEN 4 END AS rank FROM {p}_m),
+{p}_inc AS (
+  SELECT DISTINCT fid, ap AS part, 'r' || ar AS r, 'p' || pt[1] || ' ' || pt[2] AS q FROM {p}_k WHERE rank IS NULL AND ap = bp
+  UNION SELECT DISTINCT fid, ap, 'r' || br, 'p' || pt[1] || ' ' || pt[2] FROM {p}_k WHERE rank IS NULL AND ap = bp
+),
+{p}_reach(fid, part, x, y) AS (
+  SELECT fid, part, r, r FROM {p}_inc UNION SELECT fid, part, q, q FROM {p}_inc
+  UNION SELECT c.fid, c.part, c.x, CASE WHEN c.y = i.r THEN i.q ELSE i.r END FROM {p}_reach c JOIN {p}_inc i ON i.fid = c.fid AND i.part = c.part AND (c.y = i.r OR c.y = i.q)
+),
+{p}_comp AS (SELECT fid, part, x, min(y) AS c FROM {p}_reach GROUP BY fid, part, x),
+{p}_loop AS (
+  SELECT n.fid, n.part FROM (SELECT fid, part, count(*) AS nodes, count(DISTINCT c) AS comps FROM {p}_comp GROUP BY fid, part) n
+  JOIN (SELECT fid, part, count(*) AS links FROM {p}_inc GROUP BY fid, part) l ON l.fid = n.fid AND l.part = n.part WHERE l.links > n.nodes - n.comps
+),
+{p}_in AS (
+  SELECT q.fid, q.part, q.ring, o.part AS in_part, o.ring AS in_ring, bool_and({inside} = 1 OR {on}) AS within, bool_or({inside} = 1 AND NOT {on}) AS any_in
+  FROM {p}_d q JOIN (SELECT DISTINCT {ring} FROM {p}_d) o ON o.fid = q.fid AND (o.part, o.ring) <> (q.part, q.ring) GROUP BY ALL
+),
+{p}_all AS (
+  SELECT fid, rank FROM {p}_k WHERE rank IS NOT NULL
+  UNION ALL SELECT fid, 1 FROM {p}_n WHERE n < 3
+  UNION ALL SELECT a.fid, 3 FROM {p}_e a JOIN {p}_n n USING ({ring}) JOIN {p}_e b ON b.fid = a.fid AND b.part = a.part AND b.ring = a.ring AND b.seq = (a.seq + 1) % n.n
+            WHERE {orient('a', 'b.x2', 'b.y2')} = 0 AND (a.x2 - a.x1) * (b.x2 - b.x1) + (a.y2 - a.y1) * (b.y2 - b.y1) < 0
+  UNION ALL SELECT fid, 5 FROM {p}_in WHERE ring > 0 AND in_part = part AND in_ring = 0 AND NOT any_in
+  UNION ALL SELECT fid, 6 FROM {p}_in WHERE ring > 0 AND in_part = part AND in_ring > 0 AND within AND any_in
+  UNION ALL SELECT i.fid, 7 FROM {p}_in i WHERE i.ring = 0 AND i.in_part <> i.part AND i.in_ring = 0 AND i.within AND i.any_in
+            AND NOT EXISTS (SELECT 1 FROM {p}_in h WHERE h.fid = i.fid AND h.part = i.part AND h.ring = 0 AND h.in_part = i.in_part AND h.in_ring > 0 AND h.within)
+  UNION ALL SELECT fid, 8 FROM {p}_loop
+),
+{p}_rank AS (SELECT fid, min(rank) AS rank FROM {p}_all GROUP BY fid)"""

@@ -317,3 +317,44 @@ b6 AS (
          value AS lat, CAST(event_id % 360 - 180 AS DOUBLE) AS lon
   FROM events
 )"""
+
+
+# ------------------------------------------------------------- B7 shapes ----
+
+# Shapes of rings that fit or don't fit each other, by p_partkey % 10, on a raster of 32.
+def _sq(x1, y1, x2, y2):
+    return [(x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1)]
+
+
+RING_SHAPES: dict[int, list[list[list[tuple]]]] = {
+    0: [[_sq(0, 0, 16, 16), [(0, 8), (4, 10), (4, 6), (0, 8)]]],                                        # hole touches the shell once: valid
+    1: [[_sq(0, 0, 16, 16), _sq(2, 2, 12, 12)[::-1], _sq(4, 4, 6, 6)[::-1]]],                           # hole in a hole
+    2: [[_sq(0, 0, 16, 16), [(0, 8), (8, 10), (16, 8), (8, 6), (0, 8)]]],                               # hole touches the shell twice
+    3: [[_sq(0, 0, 16, 16)], [_sq(4, 4, 8, 8)]],                                                        # shell in a shell
+    4: [[_sq(0, 0, 16, 16), _sq(2, 2, 14, 14)[::-1]], [_sq(4, 4, 8, 8)]],                               # island in a hole: valid
+    5: [[_sq(0, 0, 24, 24), [(4, 8), (8, 12), (12, 8), (8, 4), (4, 8)], [(12, 8), (16, 12), (20, 8), (16, 4), (12, 8)],
+         [(8, 12), (12, 20), (16, 12), (8, 12)]]],                                                      # three holes that touch in a circle
+    6: [[[(0, 0), (8, 0), (8, 8), (8, 4), (8, 12), (0, 12), (0, 0)]]],                                  # folds back on itself
+    7: [[_sq(0, 0, 8, 8)], [_sq(4, 4, 12, 12)]],                                                        # crossing parts
+    8: [[[(0, 0), (8, 0), (8, 0), (8, 8), (0, 8), (0, 0)]], [_sq(8, 8, 16, 16)]],                       # repeated point, parts touch: valid
+    9: [[_sq(0, 0, 16, 16), _sq(20, 20, 24, 24)[::-1]]],                                                # hole outside
+}
+
+
+def ring_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fid, srid, geom``, one polygon feature per part row, shapes of ``RING_SHAPES``."""
+    rows = [(k, "MultiPolygon" if len(parts) > 1 else "Polygon", [[[(float(x), float(y)) for x, y in ring] for ring in part] for part in parts]) for k, parts in RING_SHAPES.items()]
+    shapes = spark.createDataFrame(rows, "k bigint, gtype string, tpl array<array<array<struct<x:double,y:double>>>>")
+    f = _read(spark, sf_dir, "part").selectExpr("p_partkey AS fid", "p_partkey % 10 AS k", "CAST((p_partkey % 50) * 32 AS DOUBLE) AS x0", "CAST((p_partkey div 50) * 32 AS DOUBLE) AS y0")
+    coords = "transform(tpl, pp -> transform(pp, rr -> transform(rr, q -> named_struct('x', x0 + q.x, 'y', y0 + q.y))))"
+    return f.join(F.broadcast(shapes), "k").select("fid", F.lit(BLOCK_SRID).alias("srid"), F.expr(f"named_struct('type', gtype, 'coords', {coords})").alias("geom"))
+
+
+def ring_shapes_sql() -> str:
+    """CTE ``b7_v(fid, part, ring, seq, x, y)``."""
+    rows = ", ".join(f"({k}, {p}, {r}, {s}, {float(x)}, {float(y)})" for k, parts in RING_SHAPES.items() for p, part in enumerate(parts) for r, ring in enumerate(part) for s, (x, y) in enumerate(ring))
+    return f"""
+b7_v AS (
+  SELECT p.p_partkey AS fid, t.part, t.ring, t.seq, (p.p_partkey % 50) * 32 + t.x AS x, (p.p_partkey // 50) * 32 + t.y AS y
+  FROM part p JOIN (VALUES {rows}) t(k, part, ring, seq, x, y) ON t.k = p.p_partkey % 10
+)"""
