@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from vectorlint.functions import geometry as G
 from vectorlint.model import SRID_GEOGRAPHIC
 from vectorlint.operators import spatial as S
+from vectorlint.operators.coverage import covered_area
 from vectorlint.operators.validity import geometry_valid, invalid_parts, not_simple, valid_parts  # noqa: F401
 from vectorlint.operators.violations import violations
 
@@ -264,17 +265,14 @@ def within_bounding_polygon(features: DataFrame, boundary: DataFrame) -> DataFra
 
 
 def outside_extent(parts_df: DataFrame, extent_parts: DataFrame) -> DataFrame:
-    """F21 OutsideExtent: part not within the union of the extent polygons
-    (extent polygons assumed not to overlap each other): the part's area
-    inside the extent is below its own area."""
-    pairs = S.candidate_pairs(parts_df, extent_parts)
-    ar = S.intersection_area(pairs, parts_df.unionByName(extent_parts.select(*parts_df.columns)))
-    inside = ar.groupBy("a_fid", "a_part").agg(F.sum("area").alias("inside"))
-    a = _geom_expr(parts_df, G.part_area("rings"), "area").join(
-        inside, (F.col("fid") == F.col("a_fid")) & (F.col("part") == F.col("a_part")), "left")
-    bad = a.where("coalesce(inside, 0D) < area - 1e-9 * area")
+    """F21 OutsideExtent: part not within the union of the extent polygons,
+    which may overlap: the part's area that they cover (``coverage``) is below
+    its own area."""
+    inside = covered_area(parts_df, extent_parts)
+    a = _geom_expr(parts_df, G.part_area("rings"), "area").join(inside, ["fid", "part"], "left")
+    bad = a.where("coalesce(covered, 0D) < area - 1e-9 * area")
     return violations(bad, "OutsideExtent", part="part", message=F.lit("Feature outside provided extent"),
-                      metric="area - coalesce(inside, 0D)")
+                      metric="area - coalesce(covered, 0D)")
 
 
 def parts_self_overlap(parts_df: DataFrame, tol: float = 0.0) -> DataFrame:

@@ -450,3 +450,26 @@ def q_outside_extent(spark, sf):
     from vectorlint.operators import spatial as S
     keys = ["fid", "part", "gtype", "rings", "minx", "miny", "maxx", "maxy", "nedges"]
     return _cmp(outside_extent(sp.select(*keys), S.parts(extent).select(*keys)))
+
+
+_EXTENTS = """ext AS (SELECT fid, minx - 8 AS x0, miny - 4 AS y0, maxx + 8 + fid % 5 AS x1, maxy + 4 + fid % 3 AS y1 FROM b2_bx WHERE fid % 4 <> 3),
+hit AS (SELECT b.fid, b.part, e.fid AS efid, greatest(b.minx, x0) AS x0, greatest(b.miny, y0) AS y0, least(b.maxx, x1) AS x1, least(b.maxy, y1) AS y1
+        FROM b2_bx b JOIN ext e ON x0 < b.maxx AND x1 > b.minx AND y0 < b.maxy AND y1 > b.miny),
+xs AS (SELECT fid, part, x, lead(x) OVER (PARTITION BY fid, part ORDER BY x) AS nx FROM (SELECT fid, part, x0 AS x FROM hit UNION SELECT fid, part, x1 FROM hit)),
+ys AS (SELECT fid, part, y, lead(y) OVER (PARTITION BY fid, part ORDER BY y) AS ny FROM (SELECT fid, part, y0 AS y FROM hit UNION SELECT fid, part, y1 FROM hit)),
+cov AS (SELECT xs.fid, xs.part, sum((nx - x) * (ny - y)) AS covered FROM xs JOIN ys ON ys.fid = xs.fid AND ys.part = xs.part
+        WHERE nx IS NOT NULL AND ny IS NOT NULL AND EXISTS (SELECT 1 FROM hit h WHERE h.fid = xs.fid AND h.part = xs.part AND h.x0 <= x AND h.x1 >= nx AND h.y0 <= y AND h.y1 >= ny) GROUP BY ALL)"""
+
+
+@register("outside_extent_overlapping", with_(*b2_ctes(), _EXTENTS) + f"""
+SELECT {vsel(fid='p.fid', part='p.part', et='OutsideExtent', m='p.area - coalesce(c.covered, 0)')}
+FROM b2_pa p LEFT JOIN cov c ON c.fid = p.fid AND c.part = p.part WHERE coalesce(c.covered, 0) < p.area - 1e-9 * p.area""")
+def q_outside_extent_overlapping(spark, sf):
+    """F21 with an extent of many boxes around three of four suburbs, which overlap each other."""
+    from vectorlint.operators import spatial as S
+    from vectorlint.operators.feature import outside_extent
+    sp = _suburb_parts(spark, sf)
+    box = sp.where("fid % 4 <> 3").selectExpr("fid", "minx - 8 AS x0", "miny - 4 AS y0", "maxx + 8 + fid % 5 AS x1", "maxy + 4 + fid % 3 AS y1")
+    ring = ", ".join(f"named_struct('x', CAST({x} AS DOUBLE), 'y', CAST({y} AS DOUBLE))" for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0")))
+    extent = S.parts(box.select("fid", F.expr(f"named_struct('type', 'Polygon', 'coords', array(array(array({ring}))))").alias("geom")))
+    return _cmp(outside_extent(sp, extent))
