@@ -19,6 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectorlint.functions import geometry as G
 from vectorlint.operators import spatial as S
 from vectorlint.operators.violations import violations
 
@@ -27,6 +28,10 @@ K = S.PAIR_KEYS
 #: kernels' rounding noise grows with the boxes (about 1e-17 of them per edge
 #: pair), so the same test holds in metres and in degrees.
 REL_EPS = 1e-12
+#: Share of the largest coordinate within which a point lies on a line: a vertex
+#: put on a slanted edge is rounded to a double, which moves it by up to a few
+#: parts in 2^53.
+ROUNDING = 2.0 ** -50
 
 
 # -------------------------------------------------------- edge contacts ----
@@ -37,9 +42,9 @@ _SEGS = ("flatten(transform({r}, (r, j) -> CASE WHEN size(r) < 2 THEN array() EL
 
 
 def _side_edges(base: DataFrame, side: str, eps: float) -> DataFrame:
-    e = base.select(*K, "ix0", "iy0", "ix1", "iy1", "cs",
+    e = base.select(*K, "tol", "ix0", "iy0", "ix1", "iy1", "cs",
                     F.explode(F.expr(_SEGS.format(r=f"{side}_rings"))).alias("e")).select(
-        *K, "ix0", "iy0", "ix1", "iy1", "cs", "e.*")
+        *K, "tol", "ix0", "iy0", "ix1", "iy1", "cs", "e.*")
     e = e.select("*",
                  F.expr(f"greatest(least(x1, x2) - {eps!r}D, ix0)").alias("cx0"),
                  F.expr(f"greatest(least(y1, y2) - {eps!r}D, iy0)").alias("cy0"),
@@ -49,56 +54,57 @@ def _side_edges(base: DataFrame, side: str, eps: float) -> DataFrame:
              .withColumn("gy", F.explode(F.expr("sequence(CAST(floor((cy0 - iy0) / cs) AS BIGINT), CAST(floor((cy1 - iy0) / cs) AS BIGINT))"))))
 
 
-def edge_pairs(pairs: DataFrame, parts_df: DataFrame, eps: float = 0.0) -> DataFrame:
+_FARTHEST = "greatest(" + ", ".join(f"abs({s}_{c})" for s in "ab" for c in ("minx", "miny", "maxx", "maxy")) + ")"
+
+
+def edge_pairs(pairs: DataFrame, parts_df: DataFrame, eps: float = 0.0, snap: float = 0.0) -> DataFrame:
     """Edge pairs (one edge of each side of a candidate pair) whose boxes,
-    grown by ``eps``, meet inside the pair's common box.  Coordinates are
-    shifted to the pair origin.  Columns: pair keys, ``aring, aseq, ax1..
-    ay2, bring, bseq, bx1..by2`` and the orientation columns."""
+    grown by ``eps``, meet inside the pair's common box.  Columns: pair keys,
+    ``aring, aseq, ax1..ay2, bring, bseq, bx1..by2``, ``tol`` (the distance at
+    which a point counts as lying on a line: rounding of the coordinates, or
+    ``snap`` if larger) and the orientation columns."""
     base = pairs.select(
-        *K,
-        F.least("a_minx", "b_minx").alias("ox"), F.least("a_miny", "b_miny").alias("oy"),
-        (F.greatest("a_minx", "b_minx") - F.least("a_minx", "b_minx") - eps).alias("ix0"),
-        (F.greatest("a_miny", "b_miny") - F.least("a_miny", "b_miny") - eps).alias("iy0"),
-        (F.least("a_maxx", "b_maxx") - F.least("a_minx", "b_minx") + eps).alias("ix1"),
-        (F.least("a_maxy", "b_maxy") - F.least("a_miny", "b_miny") + eps).alias("iy1"))
+        *K, F.greatest(F.expr(_FARTHEST) * ROUNDING, F.lit(float(snap))).alias("tol"),
+        F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"),
+        (F.greatest("a_minx", "b_minx") - eps).alias("ix0"), (F.greatest("a_miny", "b_miny") - eps).alias("iy0"),
+        (F.least("a_maxx", "b_maxx") + eps).alias("ix1"), (F.least("a_maxy", "b_maxy") + eps).alias("iy1"))
     base = S.with_rings(base, parts_df).withColumn(
         "cs", F.expr(f"greatest(greatest(ix1 - ix0, iy1 - iy0) / least(greatest(ceil(sqrt((na + nb) / {S.EDGES_PER_SLAB})), 1), 64), 1e-9)")
     )
     cols = ["ring", "seq", "x1", "y1", "x2", "y2", "cx0", "cy0", "cx1", "cy1"]
-    a = _side_edges(base, "a", eps).select(*K, "gx", "gy", "ix0", "iy0", "cs",
+    a = _side_edges(base, "a", eps).select(*K, "gx", "gy", "ix0", "iy0", "cs", "tol",
                                            *[F.col(c).alias(f"a{c}") for c in cols])
     b = _side_edges(base, "b", eps).select(*K, "gx", "gy", *[F.col(c).alias(f"b{c}") for c in cols])
     j = a.join(b, [*K, "gx", "gy"]).where(
         "acx0 <= bcx1 AND bcx0 <= acx1 AND acy0 <= bcy1 AND bcy0 <= acy1 AND "
         "gx = CAST(floor((greatest(acx0, bcx0) - ix0) / cs) AS BIGINT) AND "
         "gy = CAST(floor((greatest(acy0, bcy0) - iy0) / cs) AS BIGINT)")
-    j = j.select(*K, "aring", "aseq", "ax1", "ay1", "ax2", "ay2", "bring", "bseq", "bx1", "by1", "bx2", "by2")
+    j = j.select(*K, "tol", "aring", "aseq", "ax1", "ay1", "ax2", "ay2", "bring", "bseq", "bx1", "by1", "bx2", "by2")
     return with_orientation(j)
 
 
-def _orient(px1, py1, px2, py2, qx, qy) -> str:
-    return f"(({px2} - {px1}) * ({qy} - {py1}) - ({py2} - {py1}) * ({qx} - {px1}))"
-
-
 def with_orientation(j: DataFrame) -> DataFrame:
-    """Adds d1..d4 (orientation of each end point against the other
-    segment) and the collinear-overlap length ``sh``, as staged columns."""
-    j = (j.withColumn("d1", F.expr(_orient("ax1", "ay1", "ax2", "ay2", "bx1", "by1")))
-          .withColumn("d2", F.expr(_orient("ax1", "ay1", "ax2", "ay2", "bx2", "by2")))
-          .withColumn("d3", F.expr(_orient("bx1", "by1", "bx2", "by2", "ax1", "ay1")))
-          .withColumn("d4", F.expr(_orient("bx1", "by1", "bx2", "by2", "ax2", "ay2")))
-          .withColumn("la", F.expr("hypot(ax2 - ax1, ay2 - ay1)")))
-    t = lambda x, y: f"((({x}) - ax1) * (ax2 - ax1) + (({y}) - ay1) * (ay2 - ay1)) / la"
-    j = (j.withColumn("t1", F.expr(f"CASE WHEN la > 0 THEN {t('bx1', 'by1')} END"))
-          .withColumn("t2", F.expr(f"CASE WHEN la > 0 THEN {t('bx2', 'by2')} END")))
+    """Adds ``d1..d4`` (side of each end point against the other segment's line:
+    -1, 1, or 0 within ``tol`` of it) and ``sh``, the length of the stretch that
+    the segments share."""
+    def side(p: str, q: str, end: int) -> str:
+        o = G.orientation(f"{p}x1", f"{p}y1", f"{p}x2", f"{p}y2", f"{q}x{end}", f"{q}y{end}")
+        return f"transform(array({o}), o -> CASE WHEN abs(o) <= tol * l{p} THEN 0D ELSE sign(o) END)[0]"
+
+    t = lambda x, y: f"CASE WHEN la > 0 THEN ((({x}) - ax1) * (ax2 - ax1) + (({y}) - ay1) * (ay2 - ay1)) / la END"
+    j = j.withColumn("la", F.expr("hypot(ax2 - ax1, ay2 - ay1)")).withColumn("lb", F.expr("hypot(bx2 - bx1, by2 - by1)"))
+    # inline() keeps the long orientations from being copied into every use of d1..d4
+    j = j.select("*", F.expr(f"inline(array(named_struct('d1', {side('a', 'b', 1)}, 'd2', {side('a', 'b', 2)}, 'd3', {side('b', 'a', 1)}, 'd4', {side('b', 'a', 2)}, "
+                             f"'t1', {t('bx1', 'by1')}, 't2', {t('bx2', 'by2')})))"))
+    # On one line: both ends of the one (the shorter, as a rule) lie on the other's line.
     return j.withColumn("sh", F.expr(
-        "CASE WHEN d1 = 0 AND d2 = 0 AND la > 0 THEN greatest(0D, least(greatest(t1, t2), la) - greatest(least(t1, t2), 0D)) ELSE 0D END"))
+        "CASE WHEN la > 0 AND lb > 0 AND (d1 = 0 AND d2 = 0 OR d3 = 0 AND d4 = 0) THEN greatest(0D, least(greatest(t1, t2), la) - greatest(least(t1, t2), 0D)) ELSE 0D END"))
 
 
-BOX = ("least(ax1, ax2) <= greatest(bx1, bx2) AND least(bx1, bx2) <= greatest(ax1, ax2) AND "
-       "least(ay1, ay2) <= greatest(by1, by2) AND least(by1, by2) <= greatest(ay1, ay2)")
-MEET = f"({BOX} AND sign(d1) * sign(d2) <= 0 AND sign(d3) * sign(d4) <= 0)"
-CROSS = "(sign(d1) * sign(d2) < 0 AND sign(d3) * sign(d4) < 0)"
+BOX = ("least(ax1, ax2) <= greatest(bx1, bx2) + tol AND least(bx1, bx2) <= greatest(ax1, ax2) + tol AND "
+       "least(ay1, ay2) <= greatest(by1, by2) + tol AND least(by1, by2) <= greatest(ay1, ay2) + tol")
+MEET = f"({BOX} AND d1 * d2 <= 0 AND d3 * d4 <= 0)"
+CROSS = "(d1 * d2 < 0 AND d3 * d4 < 0)"
 SHARED = "sh"
 
 
@@ -107,7 +113,7 @@ def _pt_seg(px, py, x1, y1, x2, y2) -> str:
     l2 = f"(({x2} - {x1}) * ({x2} - {x1}) + ({y2} - {y1}) * ({y2} - {y1}))"
     t = f"greatest(0D, least(1D, (({px} - {x1}) * ({x2} - {x1}) + ({py} - {y1}) * ({y2} - {y1})) / {l2}))"
     return (f"CASE WHEN {l2} = 0 THEN hypot({px} - {x1}, {py} - {y1}) ELSE "
-            f"hypot({px} - ({x1} + {t} * ({x2} - {x1})), {py} - ({y1} + {t} * ({y2} - {y1}))) END")
+            f"hypot(({px} - {x1}) - {t} * ({x2} - {x1}), ({py} - {y1}) - {t} * ({y2} - {y1})) END")
 
 
 SEG_DIST = (f"CASE WHEN {MEET} THEN 0D ELSE least({_pt_seg('ax1', 'ay1', 'bx1', 'by1', 'bx2', 'by2')}, "
@@ -115,11 +121,11 @@ SEG_DIST = (f"CASE WHEN {MEET} THEN 0D ELSE least({_pt_seg('ax1', 'ay1', 'bx1',
             f"{_pt_seg('bx2', 'by2', 'ax1', 'ay1', 'ax2', 'ay2')}) END")
 
 
-def pair_contacts(pairs: DataFrame, parts_df: DataFrame) -> DataFrame:
+def pair_contacts(pairs: DataFrame, parts_df: DataFrame, snap: float = 0.0) -> DataFrame:
     """Per candidate pair with touching boundaries: ``meets`` (true),
     ``crosses`` (some edges cross properly), ``shared_len`` (length of the
     common boundary).  Pairs whose boundaries never meet are absent."""
-    ep = edge_pairs(pairs, parts_df).where(MEET)
+    ep = edge_pairs(pairs, parts_df, eps=snap / 2, snap=snap).where(MEET)
     return ep.groupBy(*K).agg(
         F.lit(True).alias("meets"),
         F.max(F.expr(f"CAST({CROSS} AS INT)")).cast("boolean").alias("crosses"),
@@ -127,17 +133,21 @@ def pair_contacts(pairs: DataFrame, parts_df: DataFrame) -> DataFrame:
 
 
 def relate(parts_df: DataFrame, pairs: DataFrame | None = None, cell: float | None = None,
-           contacts: bool = True) -> DataFrame:
+           contacts: bool = True, snap: float = 0.0) -> DataFrame:
     """Candidate part pairs with ``area`` (shared area, 0 up to the rounding
-    noise of their boxes), ``meets`` (boundaries meet), ``shared_len``; the basis of every overlap / touch rule.  With
-    ``contacts=False`` only the area kernel runs (meets/shared_len False/0)."""
-    pairs = pairs if pairs is not None else S.candidate_pairs(parts_df, cell=cell).persist(StorageLevel.MEMORY_AND_DISK)
+    noise of their boxes and coordinates), ``meets`` (boundaries meet), ``shared_len``; the basis of every overlap / touch rule.  With
+    ``contacts=False`` only the area kernel runs (meets/shared_len False/0).
+    ``snap``: distance up to which vertices lie on a neighbour's edge, for layers
+    whose seams were bent by a projection; slivers as thin as that are no overlap."""
+    pairs = pairs if pairs is not None else S.candidate_pairs(parts_df, cell=cell, eps=snap / 2).persist(StorageLevel.MEMORY_AND_DISK)
     ar = S.intersection_area(pairs, parts_df)
-    box = F.expr(" * ".join(["least((a_maxx - a_minx) * (a_maxy - a_miny), (b_maxx - b_minx) * (b_maxy - b_miny))", repr(REL_EPS) + "D"]))
-    out = pairs.select(*K, box.alias("noise")).join(ar, K, "left")
+    box = F.least(*[F.expr(f"({s}_maxx - {s}_minx) * ({s}_maxy - {s}_miny)") for s in "ab"])
+    rim = F.least(*[F.expr(f"({s}_maxx - {s}_minx) + ({s}_maxy - {s}_miny)") for s in "ab"])
+    thin = F.greatest(F.expr(_FARTHEST) * ROUNDING, F.lit(float(snap)))
+    out = pairs.select(*K, F.greatest(box * REL_EPS, rim * thin).alias("noise")).join(ar, K, "left")
     out = out.withColumn("area", F.expr("CASE WHEN area > noise THEN area END")).drop("noise")
     if contacts:
-        out = out.join(pair_contacts(pairs, parts_df), K, "left")
+        out = out.join(pair_contacts(pairs, parts_df, snap), K, "left")
     else:
         out = out.select("*", F.lit(None).cast("boolean").alias("meets"), F.lit(None).cast("boolean").alias("crosses"),
                          F.lit(None).cast("double").alias("shared_len"))
@@ -148,7 +158,6 @@ def relate(parts_df: DataFrame, pairs: DataFrame | None = None, cell: float | No
 
 
 def _part_areas(parts_df: DataFrame) -> DataFrame:
-    from vectorlint.functions import geometry as G
     return parts_df.select("fid", "part", F.expr(G.part_area("rings")).alias("parea"))
 
 
@@ -343,8 +352,8 @@ def boundary_misalignment(parts_df: DataFrame, tolerance: float = 0.5, cell: flo
     # Every vertex starts one edge of its closed ring; its distance is the least over the partner's near edges.
     sides = F.expr(f"""array(named_struct('side', 'a', 'ring', aring, 'seq', aseq, 'd', {_pt_seg('ax1', 'ay1', 'bx1', 'by1', 'bx2', 'by2')}),
                              named_struct('side', 'b', 'ring', bring, 'seq', bseq, 'd', {_pt_seg('bx1', 'by1', 'ax1', 'ay1', 'ax2', 'ay2')}))""")
-    v = ep.select(*K, F.explode(sides).alias("v")).groupBy(*K, "v.side", "v.ring", "v.seq").agg(F.min("v.d").alias("d"))
-    bad = v.where(f"d > 0 AND d <= {tolerance!r}D").groupBy(*K).agg(F.min("d").alias("d"))
+    v = ep.select(*K, "tol", F.explode(sides).alias("v")).groupBy(*K, "v.side", "v.ring", "v.seq").agg(F.min("v.d").alias("d"), F.max("tol").alias("tol"))
+    bad = v.where(f"d > tol AND d <= {tolerance!r}D").groupBy(*K).agg(F.min("d").alias("d"))
     return violations(_mirror(bad), "BoundaryMisalignment", fid="a_fid", part="a_part", other_fid="b_fid",
                       other_part="b_part", message=F.lit("Suspicious shared boundary alignment"), metric="d")
 
@@ -499,5 +508,4 @@ def topological_gaps(parts_df: DataFrame) -> DataFrame:
 
 
 def _ring_area(pts: str) -> str:
-    from vectorlint.functions import geometry as G
     return G.ring_signed_area(pts)
