@@ -87,15 +87,13 @@ def with_orientation(j: DataFrame) -> DataFrame:
     """Adds ``d1..d4`` (side of each end point against the other segment's line:
     -1, 1, or 0 within ``tol`` of it) and ``sh``, the length of the stretch that
     the segments share."""
-    def side(p: str, q: str, end: int) -> str:
-        o = G.orientation(f"{p}x1", f"{p}y1", f"{p}x2", f"{p}y2", f"{q}x{end}", f"{q}y{end}")
-        return f"transform(array({o}), o -> CASE WHEN abs(o) <= tol * l{p} THEN 0D ELSE sign(o) END)[0]"
-
+    ends = [("a", "b", 1), ("a", "b", 2), ("b", "a", 1), ("b", "a", 2)]
+    o = [G.orientation(f"{p}x1", f"{p}y1", f"{p}x2", f"{p}y2", f"{q}x{end}", f"{q}y{end}") for p, q, end in ends]
     t = lambda x, y: f"CASE WHEN la > 0 THEN ((({x}) - ax1) * (ax2 - ax1) + (({y}) - ay1) * (ay2 - ay1)) / la END"
     j = j.withColumn("la", F.expr("hypot(ax2 - ax1, ay2 - ay1)")).withColumn("lb", F.expr("hypot(bx2 - bx1, by2 - by1)"))
-    # inline() keeps the long orientations from being copied into every use of d1..d4
-    j = j.select("*", F.expr(f"inline(array(named_struct('d1', {side('a', 'b', 1)}, 'd2', {side('a', 'b', 2)}, 'd3', {side('b', 'a', 1)}, 'd4', {side('b', 'a', 2)}, "
-                             f"'t1', {t('bx1', 'by1')}, 't2', {t('bx2', 'by2')})))"))
+    # inline() keeps the long orientations from being copied into every use of them
+    j = j.select("*", F.expr("inline(array(named_struct(" + ", ".join(f"'o{k}', {x}" for k, x in enumerate(o, 1)) + f", 't1', {t('bx1', 'by1')}, 't2', {t('bx2', 'by2')})))"))
+    j = j.withColumns({f"d{k}": F.expr(f"CASE WHEN abs(o{k}) <= tol * l{p} THEN 0D ELSE sign(o{k}) END") for k, (p, _, _) in enumerate(ends, 1)}).drop("o1", "o2", "o3", "o4")
     # On one line: both ends of the one (the shorter, as a rule) lie on the other's line.
     return j.withColumn("sh", F.expr(
         "CASE WHEN la > 0 AND lb > 0 AND (d1 = 0 AND d2 = 0 OR d3 = 0 AND d4 = 0) THEN greatest(0D, least(greatest(t1, t2), la) - greatest(least(t1, t2), 0D)) ELSE 0D END"))
@@ -174,17 +172,14 @@ def feature_relations(rel: DataFrame) -> DataFrame:
 
 
 def _mirror(df: DataFrame, a: str = "a_fid", b: str = "b_fid", extra: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Both directions of each pair row (a, b) and (b, a)."""
-    extra = extra or []
-    cols = [c for c in df.columns if c not in (a, b, "a_part", "b_part") and c not in [x for p in extra for x in p]]
-    fwd = df
-    sel = [F.col(b).alias(a), F.col(a).alias(b)]
+    """Both directions of each pair row (a, b) and (b, a), the columns of
+    ``extra`` swapped as well; each row is doubled where it is, so that what
+    made it runs once."""
+    swap = {a: b, b: a} | {x: y for p in extra or [] for x, y in (p, p[::-1])}
     if "a_part" in df.columns:
-        sel += [F.col("b_part").alias("a_part"), F.col("a_part").alias("b_part")]
-    for x, y in extra:
-        sel += [F.col(y).alias(x), F.col(x).alias(y)]
-    bwd = df.select(*sel, *cols)
-    return fwd.unionByName(bwd)
+        swap |= {"a_part": "b_part", "b_part": "a_part"}
+    ways = [F.struct(*[F.col(w.get(c, c)).alias(c) for c in df.columns]) for w in ({}, swap)]
+    return df.select(F.explode(F.array(*ways)).alias("m")).select("m.*")
 
 
 # ------------------------------------------------------------------ P0 ----
@@ -293,10 +288,7 @@ def short_shared_boundary(parts_df: DataFrame, rel: DataFrame | None = None, min
     names = parts_df.select("fid", "part", F.col(name_col).cast("string").alias("nm"))
     t = (t.join(names.select(F.col("fid").alias("a_fid"), F.col("part").alias("a_part"), F.col("nm").alias("an")), ["a_fid", "a_part"], "left")
           .join(names.select(F.col("fid").alias("b_fid"), F.col("part").alias("b_part"), F.col("nm").alias("bn")), ["b_fid", "b_part"], "left"))
-    bwd = t.select(F.col("b_fid").alias("a_fid"), F.col("b_part").alias("a_part"),
-                   F.col("a_fid").alias("b_fid"), F.col("a_part").alias("b_part"), "shared_len", "an", "bn")
-    both = t.unionByName(bwd)
-    return violations(both, "VeryShortSharedBoundary", fid="a_fid", part="a_part", other_fid="b_fid", other_part="b_part",
+    return violations(_mirror(t), "VeryShortSharedBoundary", fid="a_fid", part="a_part", other_fid="b_fid", other_part="b_part",
                       message=F.lit(f"Shared boundary < {min_len} m"), metric="shared_len",
                       attrs=F.map_from_arrays(F.array(F.lit("suburb"), F.lit("other_suburb")), F.array("an", "bn")))
 
@@ -318,10 +310,7 @@ def neighbour_attr_mismatch(parts_df: DataFrame, attrs: tuple[str, ...] = ("stat
     x = t.select(*K, "ma", "mb", F.explode(F.array(*[F.lit(a) for a in attrs])).alias("attr"))
     x = x.select(*K, "attr", F.col("ma")[F.col("attr")].alias("vi"), F.col("mb")[F.col("attr")].alias("vj"))
     x = x.where(~F.col("vi").eqNullSafe(F.col("vj")))
-    bwd = x.select(F.col("b_fid").alias("a_fid"), F.col("b_part").alias("a_part"), F.col("a_fid").alias("b_fid"),
-                   F.col("a_part").alias("b_part"), "attr", F.col("vj").alias("vi"), F.col("vi").alias("vj"))
-    both = x.unionByName(bwd)
-    return violations(both, "NeighbourAttributeMismatch", fid="a_fid", part="a_part", other_fid="b_fid",
+    return violations(_mirror(x, extra=[("vi", "vj")]), "NeighbourAttributeMismatch", fid="a_fid", part="a_part", other_fid="b_fid",
                       other_part="b_part", message=F.format_string("Attribute '%s' mismatch with neighbour", "attr"),
                       attrs=F.map_from_arrays(F.array(F.lit("attr"), F.lit("val_i"), F.lit("val_j")),
                                               F.array("attr", "vi", "vj")))
