@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from vectorlint.functions import geometry as G
 from vectorlint.operators import spatial as S
+from vectorlint.operators.graph import star_components
 from vectorlint.operators.violations import violations
 
 K = S.PAIR_KEYS
@@ -421,29 +422,11 @@ def adjacency_graph(features: DataFrame, edges_df: DataFrame) -> DataFrame:
 def connected_components(nodes: DataFrame, edges_df: DataFrame) -> DataFrame:
     """``fid, component`` (component = smallest fid in it).
 
-    Min-label propagation with pointer jumping: each round every node takes
-    the smallest label among itself and its neighbours, then jumps to its
-    label's label, so label chains halve and a path of length d settles in
-    about log2(d) rounds.  Every step is a join + group-by (hot labels are
-    split by AQE's skew join); each round's labels are cut off with
-    ``checkpoint()`` into ``spark.checkpoint.dir``; the loop ends only when
-    no label changes."""
-    from vectorlint.session import checkpoint_dir
-    spark = nodes.sparkSession
-    checkpoint_dir(spark)
-    und = edges_df.select("src", "dst").unionByName(edges_df.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    und = und.where("src <> dst").distinct().checkpoint()
-    labels = nodes.select("fid").distinct().select("fid", F.col("fid").alias("label")).checkpoint()
-    changed = True
-    while changed:
-        nb = und.join(labels.withColumnRenamed("fid", "dst"), "dst").groupBy("src").agg(F.min("label").alias("nl"))
-        l1 = labels.join(nb.withColumnRenamed("src", "fid"), "fid", "left").select(
-            "fid", F.least("label", F.coalesce("nl", "label")).alias("label"), F.col("label").alias("old"))
-        jump = l1.select(F.col("fid").alias("label"), F.col("label").alias("l2"))
-        l2 = l1.join(jump, "label", "left").select("fid", F.least("label", F.coalesce("l2", "label")).alias("label"), "old").checkpoint()
-        changed = not l2.where("label <> old").isEmpty()
-        labels = l2.select("fid", "label")
-    return labels.select("fid", F.col("label").alias("component"))
+    Alternating stars (``graph``): a component of any size, or a node with any
+    number of neighbours, never falls to one task; nodes without edges are
+    components of their own."""
+    found = star_components(edges_df.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "fid")
+    return nodes.select("fid").distinct().join(found, "fid", "left").select("fid", F.coalesce("label", "fid").alias("component"))
 
 
 def component_summary(components: DataFrame) -> DataFrame:
