@@ -87,3 +87,29 @@ def test_projection_origins(spark):
     # one degree of latitude along MGA 55's central meridian ~ 110.6 km * 0.9996
     y = df.select(F.expr(PR.forward_sql(7855, "147D", "-1D")[1])).first()[0]
     assert abs((10000000 - y) - 110574.4 * 0.9996) < 5
+
+
+def test_geometry_collections(spark):
+    from pyspark.sql import functions as F
+    from vectorlint.sources import ingest as IN
+    texts = ['{"type":"GeometryCollection","geometries":[]}', '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]}]}',
+             'GEOMETRYCOLLECTION (POINT (1 2), multipolygon (((0 0, 4 0, 4 4, 0 0)), ((9 9, 10 9, 10 10, 9 9), (9.5 9.2, 9.6 9.2, 9.6 9.3, 9.5 9.2))), POLYGON ((1 1, 2 1, 2 2, 1 1)))',
+             '{"geometry":{"type":"GeometryCollection","geometries":[{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}]}}', "GEOMETRYCOLLECTION EMPTY", None, "broken {"]
+    df = spark.createDataFrame(list(enumerate(texts)), "fid bigint, t string")
+    got = {r.fid: r.g for r in df.select("fid", F.coalesce(IN.geojson_geometry(F.col("t")), IN.wkt_geometry("t")).alias("g")).collect()}
+    assert [got[i] and (got[i].type, [len(p) for p in got[i].coords]) for i in range(7)] == [None, ("Point", [1]), ("MultiPolygon", [1, 2, 1]), ("Polygon", [1]), None, None, None]
+
+
+def test_latlon_fallback_on_lines(spark):
+    """A line layer has a centre of its own: by length; points by count; without geometry the preview centre."""
+    from pyspark.sql import functions as F
+    from helpers import features
+    from vectorlint.operators.violations import violations
+    from vectorlint.plans.runners import latlon_fallback
+    line = lambda *p: {"type": "LineString", "coords": [[[{"x": float(x), "y": float(y)} for x, y in p]]]}
+    point = lambda x, y: {"type": "Point", "coords": [[[{"x": float(x), "y": float(y)}]]]}
+    for geoms, want in (([line((0, 0), (30, 0)), line((100, 10), (110, 10))], (37.5, 2.5)), ([point(1, 2), point(3, 6)], (2.0, 4.0)), ([None], (144.9631, -37.8136))):
+        f = features(spark, list(enumerate(geoms)))
+        v = violations(spark.createDataFrame([(None,)], "fid bigint"), "X", fid="fid", message=F.lit("m"))
+        r = latlon_fallback(v, f).first()
+        assert (r.lon, r.lat) == want

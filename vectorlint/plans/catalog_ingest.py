@@ -215,3 +215,22 @@ def q_csv_roundtrip(spark, sf):
     b = _blocks(spark, sf).where("geom IS NOT NULL").select("fid", "school_name", IN.to_wkt("geom").alias("the_geom"))
     b.write.option("header", True).csv(path)
     return _area_out(IN.read_csv(spark, path, id_col="fid"))
+
+
+@register("geometry_collections", with_(*B1_X) + """
+SELECT f.fid, CASE WHEN f.fid % 3 = 2 THEN 'MultiLineString' ELSE 'MultiPolygon' END AS gtype,
+       CASE WHEN f.fid % 3 = 2 THEN 2 ELSE (SELECT count(DISTINCT part) FROM b1_v v WHERE v.fid = f.fid) + 1 END AS n_parts,
+       round(CASE WHEN f.fid % 3 = 2 THEN 0 ELSE a.area + 50 END, 6) AS area
+FROM b1_feat f JOIN b1_fa a ON a.fid = f.fid WHERE f.has_geom""")
+def q_geometry_collections(spark, sf):
+    """Blocks inside nested geometry collections, as GeoJSON (fid % 3 = 0) and WKT
+    (1) text; collections without polygons (2) keep their lines."""
+    b = _blocks(spark, sf).where("geom IS NOT NULL").select("fid", IN.to_geojson("geom").alias("js"), IN.to_wkt("geom").alias("wkt"))
+    tri = "[[[900,0],[910,0],[910,10],[900,0]]]"
+    inner = '{"type":"GeometryCollection","geometries":[{"type":"LineString","coordinates":[[0,0],[1,1]]},{"type":"Polygon","coordinates":' + tri + "}]}"
+    lines = '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]},{"type":"MultiLineString","coordinates":[[[0,0],[1,1]],[[2,2],[3,4]]]}]}'
+    js = F.concat(F.lit('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]},'), "js", F.lit("," + inner + "]}"))
+    wkt = F.concat(F.lit("GEOMETRYCOLLECTION (POINT (1 2), "), "wkt", F.lit(", GEOMETRYCOLLECTION (LINESTRING (0 0, 1 1), POLYGON ((900 0, 910 0, 910 10, 900 0))))"))
+    b = b.select("fid", F.when(F.expr("fid % 3 = 0"), js).when(F.expr("fid % 3 = 2"), F.lit(lines)).alias("js"), F.when(F.expr("fid % 3 = 1"), wkt).alias("wkt"))
+    c = IN.clean_geometry(b.select("fid", F.coalesce(IN.geojson_geometry(F.col("js")), IN.wkt_geometry("wkt")).alias("geom")))
+    return c.select("fid", F.col("geom.type").alias("gtype"), F.expr("CAST(size(geom.coords) AS BIGINT)").alias("n_parts"), F.expr(f"round({G.geom_area('geom')}, 6)").alias("area"))

@@ -331,13 +331,19 @@ def rule_filter(v: DataFrame, keys: list[str] | None) -> DataFrame:
 def latlon_fallback(v: DataFrame, features: DataFrame, preview=(-37.8136, 144.9631)) -> DataFrame:
     """Violation lat/lon = its own (metric/metric2 when a rule put a
     point there is not assumed; columns ``lat``/``lon`` if present), else the
-    feature centroid, else the dataset centroid (area-weighted mean of the
-    feature centroids, a scalar subquery), else the preview centre."""
+    feature centroid, else the dataset centroid (a scalar subquery), else the
+    preview centre.  The dataset centroid is the mean of the feature centroids
+    of the highest dimension that the layer has: polygons by area, lines by
+    length, points by count (overlaps count for each feature)."""
     cx, cy = G.centroid_xy("geom")
-    fa = G.geom_area("geom")
-    cent = features.select("fid", F.expr(cx).alias("fx"), F.expr(cy).alias("fy"), F.expr(fa).alias("fa"))
-    ds = cent.where("fx IS NOT NULL").agg(F.struct(
-        (F.sum(F.col("fx") * F.col("fa")) / F.sum("fa")).alias("dx"), (F.sum(F.col("fy") * F.col("fa")) / F.sum("fa")).alias("dy"))).scalar()
+    cent = features.select("fid", F.expr(cx).alias("fx"), F.expr(cy).alias("fy"), F.col("geom.type").alias("kind"), F.expr(G.geom_area("geom")).alias("area"), F.expr(G.geom_length("geom")).alias("length"))
+    found = cent.where("fx IS NOT NULL AND NOT isnan(fx) AND NOT isnan(fy)")
+
+    def mean(c: str) -> F.Column:
+        area, line = F.expr("if(kind IN ('Polygon', 'MultiPolygon'), area, 0D)"), F.expr("if(kind IN ('LineString', 'MultiLineString'), length, 0D)")
+        return F.coalesce(*[F.try_divide(F.sum(F.col(c) * w), F.sum(w)) for w in (area, line)], F.avg(c))
+
+    ds = found.agg(F.struct(mean("fx").alias("dx"), mean("fy").alias("dy"))).scalar()
     own_lat = F.col("lat") if "lat" in v.columns else F.lit(None).cast("double")
     own_lon = F.col("lon") if "lon" in v.columns else F.lit(None).cast("double")
     j = v.join(cent.select("fid", "fx", "fy"), "fid", "left").withColumn("dx", ds["dx"]).withColumn("dy", ds["dy"])

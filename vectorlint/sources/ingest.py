@@ -39,8 +39,32 @@ def _pt(a: str) -> str:
 
 def geojson_geometry(text: Column) -> Column:
     """GeoJSON geometry text (or a Feature wrapping one) -> geometry
-    struct; unparsable text -> NULL (never an error)."""
+    struct; unparsable text -> NULL (never an error).  A GeometryCollection
+    becomes the multi-geometry of its members (see ``_collected``)."""
     g = F.coalesce(F.get_json_object(text, "$.geometry"), text)
+    # A member is an object without objects in it, however deep the collections are nested.
+    members = F.transform(F.regexp_extract_all(g, F.lit(r"(\{[^{}]*\})"), F.lit(1)), _member_geometry)
+    return F.when(F.get_json_object(g, "$.type") == "GeometryCollection", _collected(members)).otherwise(_member_geometry(g))
+
+
+def _collected(members: Column) -> Column:
+    """One geometry from a collection's members: its polygons if it has any, else
+    its lines, else its points; none of these: NULL."""
+    out = None
+    for kind in ("Polygon", "LineString", "Point"):
+        some = F.filter(members, _of_kind(kind))
+        coords = F.flatten(F.transform(some, lambda m: m["coords"]))
+        one = F.struct(F.when(F.size(coords) == 1, F.lit(kind)).otherwise(F.lit("Multi" + kind)).alias("type"), coords.alias("coords"))
+        out = F.when(F.size(coords) > 0, one) if out is None else out.when(F.size(coords) > 0, one)
+    return out
+
+
+def _of_kind(kind: str):
+    return lambda m: m["type"].isin(kind, "Multi" + kind)
+
+
+def _member_geometry(g: Column) -> Column:
+    """Geometry struct of the text of a simple or multi-geometry."""
     typ = F.get_json_object(g, "$.type")
     coords = F.get_json_object(g, "$.coordinates")
     d1 = F.from_json(coords, _D1)
@@ -134,8 +158,13 @@ def wkt_geometry_sql(text: str) -> str:
 
 
 def wkt_geometry(col: str) -> Column:
-    """S7 over a column name."""
-    return F.expr(wkt_geometry_sql(f"`{col}`"))
+    """S7 over a column name; a GEOMETRYCOLLECTION becomes the multi-geometry of
+    its members (see ``_collected``)."""
+    # Polygons hold two levels of brackets, multi-polygons three; collections in collections fall away.
+    member = r"(?i)((?:MULTI)?(?:POLYGON|LINESTRING|POINT)\s*(?:ZM|Z|M)?\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))"
+    escaped = member.replace("\\", "\\\\")
+    members = F.expr(f"transform(regexp_extract_all(`{col}`, '{escaped}', 1), m -> {wkt_geometry_sql('m')})")
+    return F.when(F.col(f"`{col}`").rlike(r"(?i)^\s*GEOMETRYCOLLECTION"), _collected(members)).otherwise(F.expr(wkt_geometry_sql(f"`{col}`")))
 
 
 def parse_wkt(df: DataFrame, col: str, out: str = "geom") -> DataFrame:
