@@ -1,8 +1,9 @@
 """Operator 1: licence scans, in Spark functions and Spark ML only.
 
-A notice classifier over lines, runs of two and three lines, and whole
-paragraphs (parted by blank lines), so that wrapped notices and licence bodies
-are found too: sparse word uni- and bigram logistic regression
+A notice classifier over lines, runs of two and three lines, longer runs of
+lines each of which holds a word pair of some template, and whole paragraphs
+(parted by blank lines), so that wrapped notices and licence bodies are found
+too, over any number of lines: sparse word uni- and bigram logistic regression
 (hashed features, L1 part) over licence families and an ``unknown`` class.  It
 is trained on notices that are put together from templates by rule, and on
 paragraphs of a bounded sample of documents as ``unknown``.  The probability
@@ -32,6 +33,9 @@ from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from vectorlint.session import materialize
 
 #: Documents whose paragraphs teach the unknown class, about, and paragraphs taken.
 SAMPLE_DOCUMENTS = 400
@@ -130,11 +134,17 @@ def _literal(values: list[str]) -> str:
     return "array(" + ", ".join("'" + v.replace("'", "\\'") + "'" for v in values) + ")"
 
 
+def _with_words(text: str, use: str) -> str:
+    """SQL ``use`` over the words ``w`` of a text, which are split only once."""
+    return f"transform(array(filter(split(lower(`{text}`), '{_WORDS}'), x -> x <> '')), w -> {use})[0]"
+
+
+_PAIRS = "CASE WHEN size(w) > 1 THEN transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])) ELSE cast(array() AS array<string>) END"
+
+
 def with_ngrams(df: DataFrame, text: str = "paragraph") -> DataFrame:
-    """Adds ``words`` and ``ngrams`` (distinct words and word pairs)."""
-    df = df.withColumn("words", F.expr(f"filter(split(lower(`{text}`), '{_WORDS}'), w -> w <> '')"))
-    pairs = "CASE WHEN size(words) > 1 THEN transform(sequence(0, size(words) - 2), i -> concat(words[i], ' ', words[i + 1])) ELSE cast(array() AS array<string>) END"
-    return df.withColumn("ngrams", F.expr(f"array_distinct(concat(words, {pairs}))"))
+    """Adds ``ngrams`` (distinct words and word pairs)."""
+    return df.withColumn("ngrams", F.expr(_with_words(text, f"array_distinct(concat(w, {_PAIRS}))")))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -145,20 +155,29 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 def notices(docs: DataFrame, holding: str) -> DataFrame:
     """(row, doc_id, paragraph_index, lines, paragraph) of what matches the
-    pattern: lines, runs of two and three lines, and whole paragraphs."""
+    pattern: lines, runs of two and three lines, longer runs of lines that each
+    hold a template's word pair, and whole paragraphs.  Every line is a row of its
+    own, so that the cost grows with the text."""
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").where(F.col("text").rlike(holding))
-    texts = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split("text", "\n").alias("line"))
-    # Place of each blank line, and before and after the text; a paragraph lies between two of them.
-    blank = "array_append(array_prepend(filter(transform(line, (x, i) -> CASE WHEN trim(x) = '' THEN i END), i -> i IS NOT NULL), -1), size(line))"
-    texts = texts.withColumn("edge", F.expr(blank))
-    blocks = "filter(transform(slice(edge, 2, size(edge)), (e, k) -> struct(edge[k] + 1 AS lo, e - edge[k] - 1 AS n)), b -> b.n > 0)"
-    texts = texts.select("row", "doc_id", "line", F.explode(F.expr(blocks)).alias("b")).select("row", "doc_id", F.col("b.lo").alias("lo"), F.expr("slice(line, b.lo + 1, b.n)").alias("line"))
-    texts = texts.where(F.array_join("line", " ").rlike(holding))
-    runs = "flatten(transform(sequence(1, least(3, size(line))), n -> transform(sequence(0, size(line) - n), i -> struct(i AS i, n AS n))))"
-    runs = f"CASE WHEN size(line) > 3 THEN array_append({runs}, struct(0 AS i, size(line) AS n)) ELSE {runs} END"
-    found = texts.select("row", "doc_id", "lo", "line", F.explode(F.expr(runs)).alias("r"))
-    found = found.select("row", "doc_id", (F.col("lo") + F.col("r.i")).cast("int").alias("paragraph_index"), F.col("r.n").alias("lines"), F.expr("array_join(slice(line, r.i + 1, r.n), '\n')").alias("paragraph"))
-    return found.where(F.col("paragraph").rlike(holding))
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "licence-texts")
+    line = texts.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("solid", F.trim("line") != "")
+    known = {b for of in (FAMILIES, BODIES) for ts in of.values() for t in ts for b in _compared(t)}
+    known |= {w for b in known for w in b.split(" ")}
+    line = line.withColumn("told", F.expr(_with_words("line", f"arrays_overlap(if(size(w) > 1, {_PAIRS}, w), {_literal(sorted(known))})")))
+    order = Window.partitionBy("row").orderBy("i")
+    line = line.select("row", "doc_id", "i", "line", "solid", "told", *[F.lead(c, k).over(order).alias(f"{c}{k}") for c in ("line", "solid") for k in (1, 2)],
+                       F.sum((~F.col("solid")).cast("int")).over(order).alias("block"), F.sum((~F.col("told")).cast("int")).over(order).alias("stretch"))
+    runs = F.expr("""filter(array(named_struct('n', 1, 'paragraph', line), named_struct('n', if(solid1, 2, 0), 'paragraph', concat_ws('\n', line, line1)),
+                                  named_struct('n', if(solid1 AND solid2, 3, 0), 'paragraph', concat_ws('\n', line, line1, line2))), r -> r.n > 0)""")
+    short = line.where("solid").select("row", "doc_id", "i", F.explode(runs).alias("r")).select("row", "doc_id", F.col("i").alias("paragraph_index"), F.col("r.n").alias("lines"), "r.paragraph")
+
+    def long(which: str, of: str) -> DataFrame:            # at most the lines of one text
+        whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
+        g = line.where(which).groupBy("row", of).agg(F.first("doc_id").alias("doc_id"), F.min("i").alias("paragraph_index"), F.count("*").cast("int").alias("lines"), whole.alias("paragraph"))
+        return g.where("lines > 3").select(short.columns)
+
+    found = short.unionByName(long("solid", "block")).unionByName(long("told", "stretch"))
+    return found.where(F.col("paragraph").rlike(holding)).dropDuplicates(["row", "paragraph_index", "lines"])
 
 
 def _holding(but: set[str] = frozenset()) -> str:
@@ -167,20 +186,24 @@ def _holding(but: set[str] = frozenset()) -> str:
         first, second = pair.split(" ")
         marks.setdefault(first, []).append(second)
     parts = [*(w for w in own_words() if w not in but), *(f"{a}[^a-z0-9]+(?:{'|'.join(b)})" for a, b in sorted(marks.items()))]
-    return r"(?i)(?<![a-z0-9])(?:" + "|".join(parts) + r")(?![a-z0-9])"
+    # By first letter, so that most words fail after one comparison.
+    first: dict[str, list[str]] = {}
+    for x in parts:
+        first.setdefault(x[0], []).append(x[1:])
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(f"{a}(?:{'|'.join(b)})" for a, b in sorted(first.items())) + r")(?![a-z0-9])"
 
 
 def _features(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="ngrams", outputCol="features").transform(with_ngrams(df))
 
 
-def _best(sets: str) -> str:
-    """Largest share of a bigram set (of an SQL array of them) that ``ngrams`` holds."""
-    return f"array_max(transform({sets}, b -> size(array_intersect(b, ngrams)) / cast(size(b) AS double)))"
-
-
-def _sets(texts: list[str]) -> str:
-    return "array(" + ", ".join(_literal(_compared(n)) for n in texts) + ")"
+def _template_table(spark, names: list[str]) -> DataFrame:
+    """(class, template, body, n, ngram): the bigrams of each family's names and bodies, and their number."""
+    rows = []
+    for k, (body, family, text) in enumerate((b, f, t) for b, of in ((False, FAMILIES), (True, BODIES)) for f, ts in of.items() for t in ts):
+        grams = _compared(text)
+        rows += [f"({names.index(family)}, {k}, {str(body).lower()}, {len(grams)}, '{g}')" for g in grams]
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(class, template, body, n, ngram)")
 
 
 def train(docs: DataFrame):
@@ -222,12 +245,15 @@ def scan(docs: DataFrame) -> DataFrame:
     scored = model.transform(held).withColumn("p", vector_to_array("probability"))
     scored = scored.select("row", "doc_id", "paragraph_index", "lines", "paragraph", "ngrams", F.col("prediction").cast("int").alias("class"), F.array_max("p").alias("probability"))
     scored = scored.where((F.col("class") < len(names) - 1) & (F.col("probability") >= believed))
-    # Each family's names and bodies as bigram sets.
-    def best(of: dict[str, list[str]]) -> str:
-        return _best("get(array(" + ", ".join(_sets(of[f]) for f in names[:-1]) + "), class)")
-
-    named = f"CASE WHEN size(array_intersect(ngrams, {_literal(own_words())})) > 0 THEN {best(FAMILIES)} ELSE 0.0D END"
-    scored = scored.withColumn("similarity", F.expr(f"greatest({named}, {best(BODIES)})")).where(F.col("similarity") >= OVERLAP)
+    key = ["row", "paragraph_index", "lines"]
+    scored = materialize(scored, "licence-scored")
+    # The share of each template of the family that the notice holds; the table has some hundred rows.
+    shared = (scored.select(*key, "class", F.explode("ngrams").alias("ngram")).join(F.broadcast(_template_table(docs.sparkSession, names)), ["class", "ngram"])
+              .groupBy(*key, "template", "body", "n").agg((F.count("*") / F.col("n")).alias("share")).groupBy(*key)
+              .agg(F.max(F.when(F.col("body"), F.col("share"))).alias("as_body"), F.max(F.when(~F.col("body"), F.col("share"))).alias("as_name")))
+    named = F.arrays_overlap("ngrams", F.expr(_literal(own_words())))
+    scored = scored.join(shared, key).withColumn("similarity", F.greatest(F.coalesce("as_body", F.lit(0.0)), F.when(named, F.coalesce("as_name", F.lit(0.0))).otherwise(0.0)))
+    scored = scored.where(F.col("similarity") >= OVERLAP)
     scored = scored.select("row", "doc_id", F.struct("paragraph_index", "lines", "paragraph", F.expr(f"get({_literal(names)}, class)").alias("family"), "probability", "similarity").alias("x"))
     # Of runs of lines that lie in one another, the shortest.
     each = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list("x").alias("all"))
