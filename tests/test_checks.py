@@ -108,3 +108,18 @@ def test_topological_gap_found(spark):
     p = S.parts(features(spark, sq))
     g = P.topological_gaps(p).collect()
     assert len(g) == 1 and g[0].metric == 4.0 and g[0].metric2 == 4
+
+
+def test_gap_behind_t_junctions(spark):
+    """A gap whose corners lie inside the neighbours' slanted sides, far from the origin."""
+    x, y = 321000.1, 5812000.3
+    a, b = (x, y), (x + 83.7, y + 41.9)                      # one long seam
+    at = lambda t: (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
+    up = lambda p, k=1: (p[0] - 20.9 * k, p[1] + 41.8 * k)
+    long_low = poly([a, (x + 20, y - 60), (x + 100, y - 20), b])
+    rows = [poly([at(s), at(t), up(at(t)), up(at(s))]) for s, t in ((0.0, 0.3), (0.5, 1.0))]
+    cap = poly([up(a), up(b), up(b, 2), up(a, 2)])
+    p = S.parts(features(spark, list(enumerate([long_low, *rows, cap]))))
+    g = P.topological_gaps(p).collect()
+    area = abs((b[0] - a[0]) * 41.8 + 20.9 * (b[1] - a[1])) * 0.2
+    assert len(g) == 1 and abs(g[0].metric - area) < 1e-6 * area and g[0].metric2 == 4

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vectorlint.functions import geometry as G
 from vectorlint.operators import spatial as S
@@ -437,6 +438,31 @@ def component_summary(components: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- gaps ----
 
+def noded(edges: DataFrame) -> DataFrame:
+    """Directed edges (p, q: points; x1..y2: their ends in any order) cut at every
+    vertex of the layer that lies inside them, up to the rounding of coordinates.
+
+    Vertices meet edges by the grid pair join.  Only edges that are cut are put in
+    order along their length; the pieces take the vertices' own coordinates, so
+    that they equal the neighbour's edges."""
+    from vectorlint.session import materialize
+    e = materialize(edges.select("p", "q", F.least("x1", "x2").alias("minx"), F.least("y1", "y2").alias("miny"), F.greatest("x1", "x2").alias("maxx"), F.greatest("y1", "y2").alias("maxy"))
+                    .withColumn("fid", F.monotonically_increasing_id()).withColumn("part", F.lit(0)), "coverage-edges")
+    v = e.select(F.explode(F.array("p", "q")).alias("v")).distinct()
+    v = v.select(F.xxhash64("v.x", "v.y").alias("fid"), F.lit(0).alias("part"), F.col("v.x").alias("minx"), F.col("v.y").alias("miny"), F.col("v.x").alias("maxx"), F.col("v.y").alias("maxy"))
+    near = S.candidate_pairs(e.drop("p", "q"), v).select(F.col("a_fid").alias("fid"), F.struct(F.col("b_minx").alias("x"), F.col("b_miny").alias("y")).alias("v"))
+    near = near.join(e.select("fid", "p", "q"), "fid").where("NOT (v.x = p.x AND v.y = p.y) AND NOT (v.x = q.x AND v.y = q.y)")
+    near = near.select("*", F.expr(f"inline(array(named_struct('o', {G.orientation('p.x', 'p.y', 'q.x', 'q.y', 'v.x', 'v.y')})))"))
+    near = near.withColumn("length", F.expr("hypot(q.x - p.x, q.y - p.y)")).withColumn("t", F.expr("((v.x - p.x) * (q.x - p.x) + (v.y - p.y) * (q.y - p.y)) / (length * length)"))
+    tol = f"{ROUNDING!r}D * greatest(abs(p.x), abs(p.y), abs(q.x), abs(q.y))"
+    cuts = materialize(near.where(f"abs(o) <= length * {tol} AND t > 0 AND t < 1").select("fid", "p", "q", "v", "t"), "coverage-cuts")
+    whole = e.join(cuts.select("fid").distinct(), "fid", "left_anti").select("p", "q")
+    ends = cuts.select("fid", "p", "q").distinct()
+    stops = cuts.select("fid", "v", "t").unionByName(ends.select("fid", F.col("p").alias("v"), F.lit(0.0).alias("t"))).unionByName(ends.select("fid", F.col("q").alias("v"), F.lit(1.0).alias("t")))
+    pieces = stops.select(F.col("v").alias("p"), F.lead("v").over(Window.partitionBy("fid").orderBy("t")).alias("q")).where("q IS NOT NULL")
+    return whole.unionByName(pieces)
+
+
 def topological_gaps(parts_df: DataFrame) -> DataFrame:
     """P18 TopologicalGaps (re-aimed): holes in a coverage.  Edges used by
     exactly one part are free boundary, directed with the polygon on their
@@ -445,7 +471,8 @@ def topological_gaps(parts_df: DataFrame) -> DataFrame:
     the right and rings that only meet in a point stay apart: one ring, one
     face.  A ring of negative signed area bounds a gap.  One row per gap:
     metric = area, metric2 = number of edges, attrs.component = "x,y" of its
-    smallest vertex.  Assumes neighbours share vertices (no T-junctions)."""
+    smallest vertex.  Edges are first split at other parts' vertices that lie
+    on them (``noded``), so neighbours need not share vertices."""
     e = S.edges(parts_df.where("gtype IN ('Polygon', 'MultiPolygon')"))
     ring_sign = parts_df.select("fid", "part", F.posexplode("rings").alias("ring", "pts")).select(
         "fid", "part", F.col("ring").cast("int").alias("ring"),
@@ -454,7 +481,7 @@ def topological_gaps(parts_df: DataFrame) -> DataFrame:
     # orient every edge as it runs on a CCW exterior / CW hole
     p1 = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
     p2 = F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
-    e = e.select(F.when(F.col("o") > 0, p1).otherwise(p2).alias("p"), F.when(F.col("o") > 0, p2).otherwise(p1).alias("q"))
+    e = noded(e.select("x1", "y1", "x2", "y2", F.when(F.col("o") > 0, p1).otherwise(p2).alias("p"), F.when(F.col("o") > 0, p2).otherwise(p1).alias("q")))
     und = e.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v"), "p", "q")
     free = und.groupBy("u", "v").agg(F.count("*").alias("n"), F.first("p").alias("p"), F.first("q").alias("q")).where("n = 1")
     free = free.select(F.struct(F.col("p.x").alias("x"), F.col("p.y").alias("y")).alias("p"), F.struct(F.col("q.x").alias("x"), F.col("q.y").alias("y")).alias("q"))

@@ -407,31 +407,57 @@ def q_nonmanifold_edge(spark, sf):
     return _cmp(P.nonmanifold_edge(_suburb_parts(spark, sf, "copies")))
 
 
-_GAPS_SQL = with_(*b2_ctes(), """
+_GAPS_CTES = """
 sgn AS (SELECT fid, part, ring, CASE WHEN (ring = 0) = (sa > 0) THEN 1 ELSE -1 END AS o FROM b2_ra),
 oe AS (SELECT CASE WHEN s.o > 0 THEN e.x1 ELSE e.x2 END AS px, CASE WHEN s.o > 0 THEN e.y1 ELSE e.y2 END AS py,
               CASE WHEN s.o > 0 THEN e.x2 ELSE e.x1 END AS qx, CASE WHEN s.o > 0 THEN e.y2 ELSE e.y1 END AS qy
        FROM b2_e e JOIN sgn s ON s.fid = e.fid AND s.part = e.part AND s.ring = e.ring),
-ke AS (SELECT *, (px < qx OR (px = qx AND py < qy)) AS fwd FROM oe),
+vert AS (SELECT DISTINCT px AS x, py AS y FROM oe),
+ne AS (SELECT row_number() OVER () AS id, * FROM oe),
+stops AS (SELECT id, px AS x, py AS y, 0.0 AS t FROM ne UNION ALL SELECT id, qx, qy, 1.0 FROM ne
+          UNION ALL SELECT id, x, y, CASE WHEN qx <> px THEN (x - px) / (qx - px) ELSE (y - py) / (qy - py) END FROM ne JOIN vert
+            ON (qx - px) * (y - py) = (qy - py) * (x - px) AND x BETWEEN least(px, qx) AND greatest(px, qx) AND y BETWEEN least(py, qy) AND greatest(py, qy)
+            AND NOT (x = px AND y = py) AND NOT (x = qx AND y = qy)),
+pe AS (SELECT x AS px, y AS py, lead(x) OVER w AS qx, lead(y) OVER w AS qy FROM stops WINDOW w AS (PARTITION BY id ORDER BY t)),
+ke AS (SELECT *, (px < qx OR (px = qx AND py < qy)) AS fwd FROM pe WHERE qx IS NOT NULL),
 kk AS (SELECT CASE WHEN fwd THEN px ELSE qx END AS ux, CASE WHEN fwd THEN py ELSE qy END AS uy,
               CASE WHEN fwd THEN qx ELSE px END AS vx, CASE WHEN fwd THEN qy ELSE py END AS vy, px, py, qx, qy FROM ke),
 free AS (SELECT any_value(px) AS px, any_value(py) AS py, any_value(qx) AS qx, any_value(qy) AS qy
          FROM kk GROUP BY ux, uy, vx, vy HAVING count(*) = 1),
 fe AS (SELECT CAST(px AS VARCHAR) || ',' || CAST(py AS VARCHAR) AS a, CAST(qx AS VARCHAR) || ',' || CAST(qy AS VARCHAR) AS b,
               px, py, qx, qy FROM free),
-und AS (SELECT a AS s, b AS d FROM fe UNION SELECT b, a FROM fe)""").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+und AS (SELECT a AS s, b AS d FROM fe UNION SELECT b, a FROM fe)"""
+_GAPS_END = """,
 walk(node, comp) AS (SELECT s, s FROM und UNION SELECT u.d, w.comp FROM walk w JOIN und u ON u.s = w.node),
 lab AS (SELECT node, min(comp) AS comp FROM walk GROUP BY node),
 rings AS (SELECT l.comp, sum(fe.px * fe.qy - fe.qx * fe.py) / 2 AS sa, count(*) AS n FROM fe JOIN lab l ON l.node = fe.a GROUP BY l.comp)
 SELECT 'TopologicalGaps' AS error_type, round(-sa, 6) AS metric, round(CAST(n AS DOUBLE), 6) AS metric2 FROM rings WHERE sa < 0"""
 
 
-@register("topological_gaps", _GAPS_SQL)
+
+def _gaps_sql(*ctes: str) -> str:
+    return with_(*ctes, _GAPS_CTES).replace("WITH ", "WITH RECURSIVE ", 1) + _GAPS_END
+
+
+@register("topological_gaps", _gaps_sql(*b2_ctes()))
 def q_topological_gaps(spark, sf):
     """P18 (re-aimed): holes of the suburb coverage, one row per gap ring."""
     return _cmp(P.topological_gaps(_suburb_parts(spark, sf))).drop("fid", "part", "other_fid", "other_part")
 
 
+# Every second row of the coverage moved by half a square: its corners lie on the neighbours' sides.
+_BRICKS = [FX.suburbs_sql("base").replace("b2_v AS (", "b2_v0 AS (") + ",\nb2_v AS (SELECT fid, part, ring, seq, x + 8 * ((fid // 50) % 2) AS x, y FROM b2_v0)", *b2_ctes()[1:]]
+
+
+@register("topological_gaps_bricks", _gaps_sql(*_BRICKS))
+def q_topological_gaps_bricks(spark, sf):
+    """P18 behind T-junctions: the coverage laid like bricks."""
+    from vectorlint.operators import spatial as S
+    f = _suburbs(spark, sf).withColumn("geom", F.expr("named_struct('type', geom.type, 'coords', transform(geom.coords, p -> transform(p, r -> transform(r, q -> "
+                                                      "named_struct('x', q.x + 8 * ((fid div 50) % 2), 'y', q.y)))))"))
+    return _cmp(P.topological_gaps(S.parts(f))).drop("fid", "part", "other_fid", "other_part")
+
+
 _EXTENT = """ext AS (SELECT min(minx) AS x0, min(miny) AS y0, floor((min(minx) + 2 * max(maxx)) / 3) + 0.5 AS x1, floor((min(miny) + 2 * max(maxy)) / 3) + 0.25 AS y1 FROM b2_bx),
 inb AS (SELECT p.fid, p.part, p.area, b.minx, b.miny, b.maxx, b.maxy, x0, y0, x1, y1 FROM b2_pa p JOIN b2_bx b ON b.fid = p.fid AND b.part = p.part, ext)"""
 

@@ -353,12 +353,42 @@ def latlon_fallback(v: DataFrame, features: DataFrame, preview=(-37.8136, 144.96
         "lat_", "lat").withColumnRenamed("lon_", "lon")
 
 
+#: Buckets of a selection pass; each pass narrows the range that many times.
+_BUCKETS = 4096
+
+
+def _kth(values: DataFrame, k: int, low: float, high: float) -> float:
+    """The k-th smallest (from 0) of the column ``x``, between its bounds.  A pass
+    counts a bucket table of fixed size and goes on within the bucket that holds
+    the k-th value, until all values there are equal; no values are collected."""
+    while low < high:
+        width = (high - low) / _BUCKETS
+        bucket = F.least(F.floor((F.col("x") - low) / width), F.lit(_BUCKETS - 1)) if width > 0 else (F.col("x") > low).cast("bigint")
+        counts = values.where(F.col("x").between(low, high)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        for r in sorted(counts, key=lambda r: r["b"]):
+            if k < r["n"]:
+                low, high = r["lo"], r["hi"]
+                break
+            k -= r["n"]
+    return low
+
+
+def exact_median(df: DataFrame, col: str) -> float | None:
+    """Median (mean of the two middle values) of the numbers in a column, by selection."""
+    values = df.select(F.col(col).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+    a = values.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if not a["n"]:
+        return None
+    middle = {(a["n"] - 1) // 2, a["n"] // 2}
+    return sum(_kth(values, k, a["lo"], a["hi"]) for k in middle) / len(middle)
+
+
 def map_extent(points: DataFrame) -> DataFrame:
     """centre = median lat / lon (interpolated), zoom = log2(360 / max
     span) clamped to [2, 16]."""
-    return points.agg(F.median("lat").alias("centre_lat"), F.median("lon").alias("centre_lon"),
-                      (F.max("lat") - F.min("lat")).alias("lat_span"), (F.max("lon") - F.min("lon")).alias("lon_span")).select(
-        "centre_lat", "centre_lon",
+    lat, lon = (F.lit(exact_median(points, c)).cast("double").alias(f"centre_{c}") for c in ("lat", "lon"))
+    return points.agg((F.max("lat") - F.min("lat")).alias("lat_span"), (F.max("lon") - F.min("lon")).alias("lon_span")).select(
+        lat, lon,
         F.greatest(F.lit(2.0), F.least(F.lit(16.0), F.log2(F.lit(360.0) / F.greatest("lat_span", "lon_span", F.lit(0.001))))).alias("zoom"))
 
 
