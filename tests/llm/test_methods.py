@@ -368,3 +368,12 @@ def test_sharding_hot_key_just_over(spark):
     docs = spark.range(1000).selectExpr("id % 2 AS doc_id", "repeat('x', 100) AS text")
     got = {r.shard: r.shard_bytes for r in sharding.assign_shards(docs, 10000).collect()}
     assert all(got[s] + got[t] > 10000 for s in got for t in [s[:-1] + "10"[int(s[-1])]] if t in got)
+
+
+def test_licence_wrapped_over_many_lines(spark, sf):
+    """A notice of seven lines inside a longer paragraph of prose is found where it stands."""
+    mit = license.BODIES["mit"][1].split()
+    text = "\n".join(["we walked along the river", "and saw some boats", *(" ".join(mit[i:i + 3]) for i in range(0, len(mit), 3)), "after lunch we went home", "it was a long day"])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9001, text)], "doc_id bigint, text string"))
+    got = [(r.family, r.paragraph_index, r.paragraph.count("\n") + 1) for r in license.scan(docs).where("doc_id = 9001").collect()]
+    assert [g[0] for g in got] == ["mit"] and got[0][1] <= 2 and got[0][2] >= 7
