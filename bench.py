@@ -22,7 +22,7 @@ HEADLINE = [
     "isolated_road",           # node degrees + candidate-vs-all pair join
     "run_building",            # the 11-check building runner
     "connected_components",    # iterative label propagation
-    "near_duplicate_name",     # prefix-filtered fuzzy name join
+    "near_duplicate_name",     # segment-indexed fuzzy name join
     "latest_status",           # registry: latest status per violation
     "acute_angle",             # per-part column kernels
 ]
