@@ -38,7 +38,7 @@ def _directed_edges(parts_df: DataFrame, keep: list[str]) -> DataFrame:
 def covered_area(parts_df: DataFrame, cover: DataFrame) -> DataFrame:
     """``fid, part, covered``: the part's area within the union of ``cover``'s
     polygons (parts without any are missing).  Rings must be valid; both sides are parts."""
-    cell = S._stats(parts_df.select("minx", "miny", "maxx", "maxy"), None, 0.0).select("cell").scalar()
+    cell = S.cell_size(parts_df)
 
     def columns(lo: str, hi: str):
         return F.explode(F.expr(f"sequence(CAST(floor({lo} / cell) AS BIGINT), CAST(floor({hi} / cell) AS BIGINT))"))

@@ -10,11 +10,12 @@
 
 Design for scale
 ----------------
-* The grid join never falls back to a nested-loop or cartesian join.  Cell
-  size C comes from the data (twice the median box side).  Parts larger than
-  ~14 C go to a coarser level (C * 16^L); a pair (level i, level j) is joined
-  on the grid of the coarser level, so a state-sized polygon covers a few
-  coarse cells instead of flooding millions of fine ones.
+* The grid join never falls back to a nested-loop or cartesian join.  A part
+  lies on the grid level of its own size (cells of 4^L, at least as wide as
+  its box and less than 4 times that), a pair on the grid of the larger part.
+  So a state-sized polygon covers a few coarse cells, and a town of small
+  parts inside one coarse cell is spread over fine cells of its own: a cell
+  holds many parts of its level only where they lie on top of each other.
 * Each pair is emitted once without a ``distinct``: a pair is kept only in
   the cell holding the lower-left corner of the two boxes' overlap.
 * Edge-pair work inside a pair is also an equi-join: both parts' edges are
@@ -23,22 +24,21 @@ Design for scale
   kept only in the slab where their x-overlap starts.  Simple shapes use one
   slab; a polygon with thousands of edges never meets all edges of its
   partner, only those of its slab.
-* Hot cells (a third of all parts in one cell) are split by AQE's skew-join
-  handling (enabled in ``session.get_spark``).
+* A coarse cell that a third of all parts look into meets only the few large
+  parts that lie there; its rows stream past them, and AQE's skew-join
+  handling (enabled in ``session.get_spark``) cuts them into several tasks.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorlint.functions import geometry as G
 
-MAX_CELLS_PER_AXIS = 14
-LEVEL_FACTOR = 16
+LEVEL_FACTOR = 4        # cell sides of neighbouring grid levels
+FINEST_LEVEL = -15      # points, and boxes below 4^-15 units
 MAX_SLABS = 512
 EDGES_PER_SLAB = 16     # about this many edges of a pair share one slab / cell
 
@@ -88,32 +88,20 @@ def edges(parts_df: DataFrame, keep: list[str] | None = None, exterior_only: boo
 
 # ------------------------------------------------------------ pair join ----
 
-def grid_stats(parts_df: DataFrame) -> tuple[float, float]:
-    """(cell size, largest box side) on the driver - for callers that want
-    to fix the cell size; ``candidate_pairs`` itself computes it lazily."""
-    row = _stats(parts_df.select("minx", "miny", "maxx", "maxy"), None, 0.0).first()
-    return float(row["cell"]), float(row["mx"] or 0.0)
-
-
-def default_cell_size(parts_df: DataFrame) -> float:
-    return grid_stats(parts_df)[0]
+def _side() -> Column:
+    return F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
 
 
-def _stats(boxes: DataFrame, cell: float | None, eps: float) -> DataFrame:
-    """One-row frame: ``cell`` (given, or twice the median box side),
-    ``mx`` (largest side) and ``maxlvl`` (coarsest grid level needed)."""
-    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    a = boxes.agg(F.percentile_approx(side, 0.5, 1000).alias("m"), F.max(side).alias("mx"))
-    c = (F.lit(float(cell)) if cell else
-         F.when(F.col("m") > 0, 2 * F.col("m")).when(F.col("mx") > 0, F.col("mx")).otherwise(F.lit(1.0)))
-    a = a.select(c.cast("double").alias("cell"), F.coalesce(F.col("mx"), F.lit(0.0)).alias("mx"))
-    return a.withColumn("maxlvl", _level_expr("mx", eps))
+def cell_size(boxes: DataFrame) -> Column:
+    """Twice the median box side, as a scalar subquery."""
+    a = boxes.agg(F.percentile_approx(_side(), 0.5, 1000).alias("m"), F.max(_side()).alias("mx"))
+    return a.select(F.when(F.col("m") > 0, 2 * F.col("m")).when(F.col("mx") > 0, F.col("mx")).otherwise(F.lit(1.0)).cast("double").alias("cell")).scalar()
 
 
-def _level_expr(side_col: str, eps: float) -> Column:
-    side = f"({side_col} + {2 * eps!r}D)"
-    lim = f"({MAX_CELLS_PER_AXIS} * cell)"
-    return F.expr(f"CASE WHEN {side} <= {lim} THEN 0 ELSE CAST(ceil(log({LEVEL_FACTOR}, {side} / {lim}) - 1e-12) AS INT) END")
+def _level(cell: float, eps: float) -> Column:
+    """The grid level whose cells are just as wide as a box grown by ``eps``."""
+    side = (_side() + 2 * eps) / cell
+    return F.when(side > 0, F.greatest(F.lit(FINEST_LEVEL), F.ceil(F.log(float(LEVEL_FACTOR), side) - 1e-12))).otherwise(FINEST_LEVEL).cast("int")
 
 
 def _key_lt(a: str, b: str) -> Column:
@@ -121,14 +109,28 @@ def _key_lt(a: str, b: str) -> Column:
         (F.col(f"{a}_fid") == F.col(f"{b}_fid")) & (F.col(f"{a}_part") < F.col(f"{b}_part")))
 
 
-def _cells_at(df: DataFrame, lvl_col: str, eps: float) -> DataFrame:
+def _cells_at(df: DataFrame, lvl_col: str, cell: float, eps: float) -> DataFrame:
     """Explode each box over the cells of grid level ``lvl_col``."""
-    size = f"(cell * pow({LEVEL_FACTOR}, {lvl_col}))"
-    return (df.withColumn("gsize", F.expr(size))
+    return (df.withColumn("gsize", F.expr(f"{cell!r}D * pow({LEVEL_FACTOR}, {lvl_col})"))
               .withColumn("cx", F.explode(F.expr(f"sequence(CAST(floor((minx - {eps!r}D) / gsize) AS BIGINT), CAST(floor((maxx + {eps!r}D) / gsize) AS BIGINT))")))
               .withColumn("cy", F.explode(F.expr(f"sequence(CAST(floor((miny - {eps!r}D) / gsize) AS BIGINT), CAST(floor((maxy + {eps!r}D) / gsize) AS BIGINT))"))))
 
 
+def grid(boxes: DataFrame, cell: float | None = None, eps: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(probe, build) rows of boxes on the grid, keyed by ``glvl, cx, cy``: a
+    box is built in the cells of its own level ``lvl`` (at most 2 an axis, but
+    for rounding) and probes those of its own and of every coarser level that
+    some box has."""
+    cell = float(cell or 1.0)
+    x = boxes.withColumn("lvl", _level(cell, eps))
+    # the levels in use (an integer each, bounded by the range of doubles): a scalar subquery
+    levels = boxes.select(_level(cell, eps).alias("lvl")).agg(F.collect_set("lvl").alias("levels")).scalar()
+    build = _cells_at(x.withColumn("glvl", F.col("lvl")), "glvl", cell, eps)
+    probe = _cells_at(x.withColumn("levels", levels).withColumn("glvl", F.explode(F.expr("filter(levels, v -> v >= lvl)"))).drop("levels"),
+                      "glvl", cell, eps)
+    return probe, build
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame | None = None, cell: float | None = None,
                     eps: float = 0.0, carry: list[str] | None = None) -> DataFrame:
     """Pairs of parts whose boxes (grown by ``eps`` each side) intersect.
@@ -138,12 +140,10 @@ def candidate_pairs(left: DataFrame, right: DataFrame | None = None, cell: float
     ``left``.  Output columns ``a_fid, a_part, a_minx.. a_maxy, b_...`` plus
     ``a_``/``b_`` copies of ``carry`` columns.
 
-    One lazy plan: the cell size and the number of grid levels come from a
-    one-row aggregate used as a scalar subquery.  Each
-    part is a *build* row in the cells of its own level and a *probe* row in
-    the cells of its own and every coarser level; probe meets build on
-    (level, cx, cy), so a pair of a small and a huge part is found once, on
-    the huge part's grid, by a single equi-join."""
+    One lazy plan: the levels in use come from a one-row aggregate used as a
+    scalar subquery.  Probe meets build on (level, cx, cy), so a pair of a
+    small and a huge part is found once, on the huge part's grid, by a single
+    equi-join.  ``cell`` (default 1) is the cell side of level 0."""
     self_join = right is None
     carry = carry or []
     cols = ["fid", "part", "minx", "miny", "maxx", "maxy", *carry]
@@ -151,17 +151,10 @@ def candidate_pairs(left: DataFrame, right: DataFrame | None = None, cell: float
         tagged = left.select(*cols, F.lit(0).alias("side"))
     else:
         tagged = left.select(*cols, F.lit(0).alias("side")).unionByName(right.select(*cols, F.lit(1).alias("side")))
-    # one-row statistics as a scalar subquery (computed once, used as a literal)
-    st = _stats(tagged.select("minx", "miny", "maxx", "maxy"), cell, eps).select(F.struct("cell", "maxlvl")).scalar()
-    x = (tagged.withColumn("cell", st["cell"]).withColumn("maxlvl", st["maxlvl"])
-               .withColumn("side_len", F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))))
-    x = x.withColumn("lvl", _level_expr("side_len", eps))
-    keep = [*cols, "side", "lvl", "cell"]
-    build = _cells_at(x.select(*keep), "lvl", eps).withColumnRenamed("lvl", "glvl")
-    probe = _cells_at(x.select(*keep, F.explode(F.expr("sequence(lvl, maxlvl)")).alias("glvl")), "glvl", eps)
+    probe, build = grid(tagged, cell, eps)
     a = probe.select(*[F.col(c).alias(f"a_{c}") for c in cols], F.col("side").alias("a_side"), F.col("lvl").alias("a_lvl"),
                      "glvl", "gsize", "cx", "cy")
-    b = build.select(*[F.col(c).alias(f"b_{c}") for c in cols], F.col("side").alias("b_side"), F.col("glvl").alias("b_lvl"),
+    b = build.select(*[F.col(c).alias(f"b_{c}") for c in cols], F.col("side").alias("b_side"), F.col("lvl").alias("b_lvl"),
                      F.col("glvl").alias("bg"), F.col("cx").alias("bcx"), F.col("cy").alias("bcy"))
     cond = [a.glvl == b.bg, a.cx == b.bcx, a.cy == b.bcy,
             a.a_minx - eps <= b.b_maxx + eps, b.b_minx - eps <= a.a_maxx + eps,
@@ -322,24 +315,7 @@ def trapezoid_sum(j: DataFrame, ax1, ay1, ax2, ay2, bx1, by1, bx2, by2, sa, sb)
     return j.withColumn("c", F.col(sa) * F.col(sb) * F.expr(integral))
 
 
-def _trapezoid(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2, u, v) -> str:
-    """Integral over [u, v] of min(f_a, f_b) for two non-vertical segments."""
-    fa = lambda x: f"({ay1} + ({x} - {ax1}) * ({ay2} - {ay1}) / ({ax2} - {ax1}))"
-    fb = lambda x: f"({by1} + ({x} - {bx1}) * ({by2} - {by1}) / ({bx2} - {bx1}))"
-    du = f"({fa(u)} - {fb(u)})"
-    dv = f"({fa(v)} - {fb(v)})"
-    w = f"({u} + ({v} - {u}) * {du} / ({du} - {dv}))"
-    mu = f"least({fa(u)}, {fb(u)})"
-    mv = f"least({fa(v)}, {fb(v)})"
-    return (f"CASE WHEN {du} * {dv} < 0 THEN ({w} - {u}) * ({mu} + {fa(w)}) / 2 + ({v} - {w}) * ({fa(w)} + {mv}) / 2 "
-            f"ELSE ({v} - {u}) * ({mu} + {mv}) / 2 END")
-
-
 def with_area(pairs: DataFrame, parts_df: DataFrame) -> DataFrame:
     """Candidate pairs with their intersection area (0 when none)."""
     ar = intersection_area(pairs, parts_df)
     return pairs.join(ar, PAIR_KEYS, "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
-
-
-def cell_size_hint(n: int) -> float:
-    return max(1.0, math.sqrt(n))
