@@ -56,3 +56,13 @@ def test_query(spark, library):
     assert bpe.round_trip_digests(docs.limit(0)).count() == 0
     back = docs.select(bpe.decode_column(bpe.encode_column(docs.text)).alias("t")).collect()
     assert [r.t for r in back] == [t or "" for _, t, _ in rows]
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "aeiou", "e", "éü中", "a1 -"])
+def test_long_runs_match_the_library(library, letters):
+    """Pieces on both sides of the length from which a heap merges them, and very long ones."""
+    own, rng = bpe.ForcedBoundaryBPE(), random.Random(5)
+    for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 300, 20_000):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert own.decode(own.encode(text)) == text

@@ -12,7 +12,8 @@ Two levels of cuts are used:
    fragments (in practice a word with the blanks before it) can be handled
    one by one, and a fragment seen before is a dictionary hit;
 2. inside a fragment's pre-tokens: every forced pair cuts again, and the
-   remaining pieces go through the merge loop in rank order.
+   remaining pieces go through the merge loop in rank order: pieces of one
+   length together, pieces over ``LONG`` bytes one by one with a heap.
 
 Defined results: a null text counts as empty; an empty text has 0 tokens and
 the digests of the empty string; equal texts have equal ids; the special
@@ -22,6 +23,7 @@ token's own string is its single id, as in the tokenizers library.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import sys
 from array import array
@@ -39,6 +41,9 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: are cut into fragments at a time (a longer text is taken whole).
 CACHE_ENTRIES = 500_000
 RUN_CHARS = 1_500_000
+#: Pieces up to this many bytes are merged side by side in rounds; a round looks
+#: at whole pieces, so longer ones take a heap (n log n).
+LONG = 64
 
 # Unicode white space, and the pre-tokenizer's pattern over it.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -82,78 +87,120 @@ class ForcedBoundaryBPE:
         pair = np.arange(65536)
         blank = np.isin(np.arange(256), list(_ASCII_WS))
         self._outer = self.forced & blank[pair & 255] & ~blank[pair >> 8]
-        self._forced = {(p >> 8, p & 255) for p in np.flatnonzero(self.forced).tolist()}
-        self._byte_id = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
+        self._byte_id = np.array([vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int32)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
         self._rank = np.argsort(keys)           # rank of each merge, by sorted key
         self._keys = keys[self._rank]
-        self._made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self._made = np.array([vocab[a + b] for a, b in merges], np.int32)
+        left, right = self._byte_id[pair >> 8], self._byte_id[pair & 255]
+        self._byte_ranks = self._ranks(left, right).astype(np.int32)   # of each pair of single bytes
+        self._merge_of: dict[int, int] = {}     # key -> rank, filled for the first long piece
         self._split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._pretokens = regex.compile(_PRETOKEN).findall
         self._known: dict[bytes, bytes] = {}    # fragment -> packed ids
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair of ids (len(merges) where there is none)."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
         return np.where(self._keys[at] == key, self._rank[at], len(self._keys))
 
-    def _merge_equally_long(self, pieces: list[bytes]) -> list[list[int]]:
-        """The merge loop for many pieces of one length at once: in every
-        round each piece takes its lowest-ranked merge, leftmost among equals."""
-        n, never = len(pieces[0]), len(self._keys)
-        ids = np.array(self._byte_id, np.int64)[np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, n)]
-        ranks = np.concatenate([self._ranks(ids[:, :-1], ids[:, 1:]), np.full((len(ids), 2), never)], 1)
-        out: list[list[int]] = [[]] * len(ids)
+    def _merge_rows(self, pieces: np.ndarray) -> np.ndarray:
+        """The merge loop for pieces of one length, a row of bytes each: in every
+        round each piece takes its lowest-ranked merge, leftmost among equals.
+        A row of ids each, filled up with -1."""
+        n, never = pieces.shape[1], len(self._keys)
+        out = np.full(pieces.shape, -1, np.int32)
+        ids = self._byte_id[pieces]
+        ranks = np.full((len(ids), n + 1), never, np.int32)    # two more columns: no merge
+        ranks[:, :n - 1] = self._byte_ranks[pieces[:, :-1].astype(np.uint16) << 8 | pieces[:, 1:]]
         rows = np.arange(len(ids))              # pieces still in work
         for size in range(n, 0, -1):
             best = ranks.argmin(1)
             rank = ranks[np.arange(len(ids)), best]
-            for i in np.flatnonzero(rank == never).tolist():
-                out[rows[i]] = ids[i].tolist()
-            go = np.flatnonzero(rank < never)
-            if not len(go):
+            go = rank < never
+            if not go.all():
+                out[rows[~go], :size] = ids[~go]
+                ids, ranks, rows, best, rank = ids[go], ranks[go], rows[go], best[go], rank[go]
+            if not len(rows):
                 break
-            ids, ranks, rows, best, rank = ids[go], ranks[go], rows[go], best[go], rank[go]
-            line = np.arange(len(ids))
-            shift = np.arange(size - 1) + (np.arange(size - 1) > best[:, None])
-            ids = np.take_along_axis(ids, shift, 1)
+            line, place = np.arange(len(ids)), np.arange(size + 1)
             new = ids[line, best] = self._made[rank]
-            ranks = np.concatenate([np.take_along_axis(ranks, np.arange(size - 1) + (np.arange(size - 1) >= best[:, None]), 1), np.full((len(ids), 1), never)], 1)
+            ids = ids[place[:size] != best[:, None] + 1].reshape(-1, size - 1)
+            ranks = ranks[place != best[:, None]].reshape(-1, size)
             left = np.maximum(best - 1, 0)
             ranks[line, left] = np.where(best > 0, self._ranks(ids[line, left], new), ranks[line, left])
             right = np.minimum(best + 1, size - 2)
             ranks[line, best] = np.where(best < size - 2, self._ranks(new, ids[line, right]), never)
         return out
 
+    def _merge_long(self, piece: np.ndarray) -> list[int]:
+        """The same merges for one long piece: neighbours as a linked list, pairs
+        in a heap by rank and place; pairs that are no longer there are passed over."""
+        if not self._merge_of:
+            self._merge_of = dict(zip(self._keys.tolist(), self._rank.tolist(), strict=True))
+        rank_of, made, n = self._merge_of, self._made.tolist(), len(piece)
+        ids = self._byte_id[piece].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = self._byte_ranks[piece[:-1].astype(np.uint16) << 8 | piece[1:]]
+        at = np.flatnonzero(ranks < len(self._keys))
+        heap = list(zip(ranks[at].tolist(), at.tolist(), [ids[i] << 32 | ids[i + 1] for i in at.tolist()], strict=True))
+        heapq.heapify(heap)
+        while heap:
+            rank, i, key = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or ids[i] << 32 | ids[j] != key:
+                continue
+            ids[i], ids[j] = made[rank], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                key = ids[i] << 32 | ids[k]
+                if key in rank_of:
+                    heapq.heappush(heap, (rank_of[key], i, key))
+            h = before[i]
+            if h >= 0:
+                key = ids[h] << 32 | ids[i]
+                if key in rank_of:
+                    heapq.heappush(heap, (rank_of[key], h, key))
+        return [x for x in ids if x >= 0]
+
     def _learn(self, fragments: list[bytes]) -> None:
         """Encodes fragments that are not known yet."""
-        forced, cut, pieces = self._forced, [], set()
-        for fragment in fragments:
-            own = []
-            for token in self._pretokens(fragment.decode()):
-                b, start = token.encode(), 0
-                for i, pair in enumerate(zip(b, b[1:], strict=False), 1):
-                    if pair in forced:
-                        own.append(b[start:i])
-                        start = i
-                own.append(b[start:])
-            cut.append(own)
-            pieces.update(own)
-        by_length: dict[int, list[bytes]] = {}
-        for piece in pieces:
-            by_length.setdefault(len(piece), []).append(piece)
-        ids = {}
-        for n, same in by_length.items():
-            step = max(1, 400_000 // n)
-            for i in range(0, len(same), step):
-                part = same[i:i + step]
-                ids.update(zip(part, self._merge_equally_long(part), strict=True))
-        if len(self._known) + len(fragments) > CACHE_ENTRIES:
-            self._known.clear()
-        for fragment, own in zip(fragments, cut, strict=True):
-            self._known[fragment] = array("I", ids[own[0]] if len(own) == 1 else sum([ids[x] for x in own], [])).tobytes()
+        sizes = []                              # of their pre-tokens, in bytes
+        for f in fragments:
+            if f[:1] == b" " and f[1:].isalpha():
+                sizes.append(len(f))            # a blank and ASCII letters are one pre-token
+            elif f.isascii():
+                sizes.extend(map(len, self._pretokens(f.decode())))
+            else:
+                sizes.extend(len(t.encode()) for t in self._pretokens(f.decode()))
+        a = np.frombuffer(b"".join(fragments), np.uint8)
+        begins = np.zeros(len(a), bool)
+        begins[1:] = self.forced[a[:-1].astype(np.uint16) << 8 | a[1:]]
+        begins[np.cumsum([0, *sizes[:-1]])] = True
+        starts = np.flatnonzero(begins)
+        lengths = np.diff(starts, append=len(a))
+        ids = np.full(len(a), -1, np.int32)     # a piece's ids stand from its start on
+        single = starts[lengths == 1]
+        ids[single] = self._byte_id[a[single]]
+        order = np.argsort(lengths, kind="stable")
+        kinds, first = np.unique(lengths[order], return_index=True)
+        for n, same in zip(kinds.tolist(), np.split(starts[order], first[1:]), strict=True):
+            if n > LONG:
+                for i in same.tolist():
+                    got = self._merge_long(a[i:i + n])
+                    ids[i:i + len(got)] = got
+            elif n > 1:
+                step = 400_000 // n
+                for i in range(0, len(same), step):
+                    at = same[i:i + step, None] + np.arange(n)
+                    ids[at] = self._merge_rows(a[at])
+        used = ids >= 0
+        packed = ids[used].tobytes()
+        ends = (4 * np.cumsum(used)[np.cumsum(list(map(len, fragments))) - 1]).tolist()
+        self._known.update(zip(fragments, map(packed.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def _cuts(self, b: bytes) -> list[int]:
         """Outer cuts of a text: forced pairs whose right byte is a blank and
@@ -179,12 +226,13 @@ class ForcedBoundaryBPE:
     def _encode_some(self, texts: list[str]) -> list[bytes]:
         parts = [[t] if self._split_special is None or not any(s in t for s in self.special) else self._split_special.split(t) for t in texts]
         cut = [[None if x in self.special else self._fragments(x) for x in own] for own in parts]
-        need = {f for own in cut for x in own if x for f in x}
-        missing = [f for f in need if f not in self._known]
-        if len(self._known) + len(missing) > CACHE_ENTRIES:
-            missing = list(need)                # the dictionary starts afresh
+        known = self._known
+        missing = {f for own in cut for x in own if x for f in x if f not in known}
+        if len(known) + len(missing) > CACHE_ENTRIES:           # the dictionary starts afresh
+            known.clear()
+            missing = {f for own in cut for x in own if x for f in x}
         if missing:
-            self._learn(missing)
+            self._learn(list(missing))
         get = self._known.__getitem__
         return [b"".join(array("I", [self.special[p]]).tobytes() if x is None else b"".join(map(get, x))
                          for p, x in zip(own, frags, strict=True)) for own, frags in zip(parts, cut, strict=True)]
