@@ -295,3 +295,33 @@ def point_on_surface(g: str) -> tuple[str, str]:
 
 def col(fragment: str) -> Column:
     return F.expr(fragment)
+
+
+_POINT = "struct<x:double,y:double>"
+
+
+def _hull_chain(points: str) -> str:
+    """One side of the convex hull of sorted points (left turns only): a fold that
+    keeps the chain so far.  Turns of a convex chain as seen from a point beyond
+    its end change sign once, so where to cut it is found by bisection: the
+    longest beginning whose last edge has the point on its left."""
+    h, p, s, i, m = _v("h"), _v("p"), _v("s"), _v("i"), _v("m")
+    left = (f"(({h}[{m} - 1].x - {h}[{m} - 2].x) * ({p}.y - {h}[{m} - 2].y) "
+            f"- ({h}[{m} - 1].y - {h}[{m} - 2].y) * ({p}.x - {h}[{m} - 2].x)) > 0")
+    step = (f"transform(array(cast(({s}.lo + {s}.hi + 1) div 2 AS INT)), {m} -> CASE WHEN {s}.lo = {s}.hi THEN {s} "
+            f"WHEN {left} THEN named_struct('lo', {m}, 'hi', {s}.hi) ELSE named_struct('lo', {s}.lo, 'hi', {m} - 1) END)[0]")
+    keep = (f"CASE WHEN size({h}) < 2 THEN size({h}) ELSE aggregate(sequence(1, CAST(ceil(log2(size({h}))) AS INT)), "
+            f"named_struct('lo', 1, 'hi', size({h})), ({s}, {i}) -> {step}, {s} -> {s}.lo) END")
+    return f"aggregate({points}, CAST(array() AS ARRAY<{_POINT}>), ({h}, {p}) -> concat(slice({h}, 1, {keep}), array({p})))"
+
+
+def hull_area(rings: str) -> str:
+    """Area of the convex hull of all vertices (monotone chain over the
+    sorted distinct points, moved to the first one).  0 below three points."""
+    q, a, i, c, s = _v("q"), _v("a"), _v("i"), _v("c"), _v("s")
+    points = f"array_sort(array_distinct(flatten({rings})))"
+    moved = f"transform(array({points}), {s} -> transform({s}, {q} -> named_struct('x', {q}.x - {s}[0].x, 'y', {q}.y - {s}[0].y)))[0]"
+    twice = (f"CASE WHEN size({c}) < 2 THEN 0D ELSE aggregate(sequence(0, size({c}) - 2), 0D, "
+             f"({a}, {i}) -> {a} + ({c}[{i}].x * {c}[{i} + 1].y - {c}[{i} + 1].x * {c}[{i}].y)) END")
+    chains = f"transform(array({moved}), {s} -> array({_hull_chain(s)}, {_hull_chain(f'reverse({s})')}))[0]"
+    return f"abs(aggregate(transform({chains}, {c} -> {twice}), 0D, ({a}, {q}) -> {a} + {q})) / 2"

@@ -8,12 +8,9 @@ no shuffle.  The only joins are those of the validity checks (F2/F3, see
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vectorlint.functions import geometry as G
 from vectorlint.model import SRID_GEOGRAPHIC
@@ -288,50 +285,16 @@ def parts_self_overlap(parts_df: DataFrame, tol: float = 0.0) -> DataFrame:
 
 # -------------------------------------------------------- triangulation ----
 
-def _hull_area_udf():
-    @F.pandas_udf(T.DoubleType())
-    def hull_area(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = np.full(len(xs), np.nan)
-        for n, (x, y) in enumerate(zip(xs, ys)):
-            if x is None or len(x) < 3:
-                out[n] = 0.0 if x is not None else np.nan
-                continue
-            pts = np.unique(np.column_stack([np.asarray(x, float), np.asarray(y, float)]), axis=0)
-            if len(pts) < 3:
-                out[n] = 0.0
-                continue
-            pts = pts - pts[0]
-
-            def half(seq):
-                h = []
-                for p in seq:
-                    while len(h) >= 2 and ((h[-1][0] - h[-2][0]) * (p[1] - h[-2][1])
-                                           - (h[-1][1] - h[-2][1]) * (p[0] - h[-2][0])) <= 0:
-                        h.pop()
-                    h.append(p)
-                return h
-            lower, upper = half(pts), half(pts[::-1])
-            hull = np.array(lower[:-1] + upper[:-1])
-            hx, hy = hull[:, 0], hull[:, 1]
-            out[n] = 0.5 * abs(np.dot(hx, np.roll(hy, -1)) - np.dot(hy, np.roll(hx, -1)))
-        return pd.Series(out)
-    return hull_area
-
-
 def convex_hull_area(parts_df: DataFrame) -> DataFrame:
     """Area of the convex hull of a part's vertices (what a Delaunay
-    triangulation of those vertices covers).  Arrow-batched pandas UDF."""
-    udf = _hull_area_udf()
-    return parts_df.select("fid", "part", udf(F.expr("transform(flatten(rings), q -> q.x)"),
-                                              F.expr("transform(flatten(rings), q -> q.y)")).alias("hull_area"))
+    triangulation of those vertices covers)."""
+    return parts_df.select("fid", "part", F.expr(G.hull_area("rings")).alias("hull_area"))
 
 
 def triangulation_not_closed(parts_df: DataFrame, tol: float = 0.1) -> DataFrame:
     """F19 TriangulationNotClosed: |hull area - area| >= tol (or NaN)."""
-    udf = _hull_area_udf()
     a = parts_df.where("gtype IN ('Polygon', 'MultiPolygon')").select(
-        "fid", "part", F.expr(G.part_area("rings")).alias("area"),
-        udf(F.expr("transform(flatten(rings), q -> q.x)"), F.expr("transform(flatten(rings), q -> q.y)")).alias("hull"))
+        "fid", "part", F.expr(G.part_area("rings")).alias("area"), F.expr(G.hull_area("rings")).alias("hull"))
     a = a.withColumn("diff", F.abs(F.col("hull") - F.col("area")))
     return violations(a.where(f"NOT (diff < {tol})"), "TriangulationNotClosed", part="part",
                       message=F.format_string(f"Triangulated area differs by %.6f (tol {tol}).", "diff"),

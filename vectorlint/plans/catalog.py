@@ -471,14 +471,20 @@ def q_parts_self_overlap(spark, sf):
     return _cmp(parts_self_overlap(_valid_block_parts(spark, sf)))
 
 
-@register("triangulation_not_closed")
+B1_HULL = O.hull_sql("b1_oke", "b1_hull") + """,
+b1_open AS (SELECT h.fid, h.part, abs(h.area - p.area) AS diff FROM b1_hull h JOIN b1_okpa p ON p.fid = h.fid AND p.part = h.part
+            WHERE NOT abs(h.area - p.area) < 0.1)"""
+
+
+@register("triangulation_not_closed", with_(*B1_X, B1_HULL) + f"\nSELECT {vsel(part='part', et='TriangulationNotClosed', m='diff')} FROM b1_open")
 def q_triangulation_not_closed(spark, sf):
-    """Convex-hull (Delaunay cover) area minus area >= 0.1 (rows-only)."""
+    """Convex-hull (Delaunay cover) area minus area >= 0.1."""
     from vectorlint.operators.feature import triangulation_not_closed
     return _cmp(triangulation_not_closed(_valid_block_parts(spark, sf), 0.1))
 
 
-@register("triangulation_worst5")
+@register("triangulation_worst5", with_(*B1_X, B1_HULL) + f"\nSELECT {vsel(part='part', et='TriangulationNotClosed', m='diff')} FROM b1_open"
+          "\nORDER BY metric DESC, fid, part LIMIT 5")
 def q_triangulation_worst5(spark, sf):
     """F19 report: the five largest triangulation errors (top-k is the feature)."""
     from vectorlint.operators.feature import triangulation_not_closed
@@ -532,11 +538,11 @@ def q_max_decimals(spark, sf):
     return max_decimals(_blocks(spark, sf).where("geom IS NOT NULL"))
 
 
-@register("convex_hull_area")
+@register("convex_hull_area", with_(*B1_X, B1_HULL) + "\nSELECT fid, part, round(area, 6) AS hull_area FROM b1_hull")
 def q_convex_hull_area(spark, sf):
-    """G13 (pandas UDF, rows-only)."""
+    """G13 on valid parts."""
     from vectorlint.operators.feature import convex_hull_area
-    return convex_hull_area(_valid_block_parts(spark, sf))
+    return convex_hull_area(_valid_block_parts(spark, sf)).select("fid", "part", F.round("hull_area", R6).alias("hull_area"))
 
 
 @register("compactness", with_(*B1_X) +

@@ -218,3 +218,26 @@ def validity_sql(v: str, p: str) -> str:
   UNION ALL SELECT fid, 8 FROM {p}_loop
 ),
 {p}_rank AS (SELECT fid, min(rank) AS rank FROM {p}_all GROUP BY fid)"""
+
+
+def hull_sql(e: str, out: str = "hull") -> str:
+    """``{out}(fid, part, area)``: convex hull area by supporting edges.  An ordered
+    pair of a part's points is a side of its hull if no point lies to the right
+    of it and none on its line beyond its ends."""
+    cross = "((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x))"
+    eps = "1e-9 * ((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))"
+    return f"""
+{out}_p AS (
+  SELECT DISTINCT e.fid, e.part, e.x1 - o.ox AS x, e.y1 - o.oy AS y
+  FROM {e} e JOIN (SELECT fid, part, min(x1) AS ox, min(y1) AS oy FROM {e} GROUP BY fid, part) o ON o.fid = e.fid AND o.part = e.part
+),
+{out}_s AS (
+  SELECT a.fid, a.part, a.x * b.y - b.x * a.y AS twice
+  FROM {out}_p a JOIN {out}_p b ON a.fid = b.fid AND a.part = b.part AND (a.x <> b.x OR a.y <> b.y)
+  JOIN {out}_p c ON a.fid = c.fid AND a.part = c.part
+  GROUP BY a.fid, a.part, a.x, a.y, b.x, b.y
+  HAVING bool_and({cross} > {eps} OR (abs({cross}) <= {eps}
+         AND c.x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x) AND c.y BETWEEN least(a.y, b.y) AND greatest(a.y, b.y)))
+),
+{out} AS (SELECT p.fid, p.part, coalesce(any_value(s.t), 0) / 2 AS area FROM {out}_p p
+  LEFT JOIN (SELECT fid, part, sum(twice) AS t FROM {out}_s GROUP BY fid, part) s ON s.fid = p.fid AND s.part = p.part GROUP BY p.fid, p.part)"""
