@@ -50,6 +50,9 @@ MATCHES = 14
 SHORT = 32
 #: Nodes of a long list that are compared at a time.
 BLOCK = 256
+#: Families whose sizes are broadcast (some 40 bytes each); more of them are joined by salted keys.
+FAMILIES = 100_000
+SALTS = 16
 SEED = 20260303
 
 _random = np.random.default_rng(SEED)
@@ -160,7 +163,13 @@ def _finish(long_lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
     major = counts.groupBy("family").agg(F.max("n").alias("top"), F.sum("n").alias("n")).join(counts.select("family", "label", F.col("n").alias("top")), ["family", "top"])
     major = major.groupBy("family").agg(F.min("label").alias("major"), F.max("n").alias("n"), F.max("top").alias("top"))
     # Blocks of the asking nodes (outside the family's largest component) and of all nodes.
-    m = (member.join(major, "family").withColumn("asking", F.expr(f"cast(ceil((n - top) / {BLOCK}) as int)")).withColumn("all", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
+    major = materialize(major, "major")
+    if major.count() <= FAMILIES:
+        sized = member.join(F.broadcast(major), "family")
+    else:       # one family may hold most nodes
+        salted = major.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+        sized = member.withColumn("salt", F.expr(f"cast(pmod(xxhash64(node), {SALTS}) as int)")).join(salted, ["family", "salt"]).drop("salt")
+    m = (sized.withColumn("asking", F.expr(f"cast(ceil((n - top) / {BLOCK}) as int)")).withColumn("all", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
          .withColumn("own", F.xxhash64("node")))
     asks = m.where("label <> major").select("family", "node", "label", F.expr("cast(pmod(own, asking) as int)").alias("i"), F.explode(F.expr("sequence(0, `all` - 1)")).alias("j"), F.lit(True).alias("asks"))
     others = m.select("family", "node", "label", F.explode(F.expr("sequence(0, asking - 1)")).alias("i"), F.expr("cast(pmod(own, `all`) as int)").alias("j"), F.lit(False).alias("asks"))
@@ -172,20 +181,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_key (hash of its text) of every row."""
     signed = materialize(_signatures(docs, shingle), "signatures")
     doc_type = dict(docs.dtypes)["doc_id"]
-    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    nodes = (signed.where("set_key IS NOT NULL").join(classes, (signed.set_key == classes.set_key) & signed.doc_id.eqNullSafe(classes.first_id))
-             .select("node", "first_id", classes.set_key, "n_shingles", "signature"))
+    # size and signature are the same in all rows of a class
+    nodes = (signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+             .withColumn("node", F.monotonically_increasing_id()))
     nodes = materialize(nodes, "nodes")
-    if not nodes.groupBy("node").count().where("count > 1").isEmpty():     # rows that repeat id and text
-        nodes = nodes.dropDuplicates(["node"])
+    classes = nodes.select("node", "set_key", "first_id")
     posted = materialize(_postings(nodes), "postings")
     lists = posted.groupBy("coordinate", "value").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     listed = materialize(posted.join(lists, ["coordinate", "value"]), "lists")
     left = listed.where(f"n <= {SHORT}").select("coordinate", "value", F.col("node").alias("a"))
     short = left.join(left.withColumnRenamed("a", "b"), ["coordinate", "value"]).where("a < b").select("a", "b")
     star = listed.where(f"n > {SHORT} AND node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    pairs = materialize(short.unionByName(star).distinct(), "pairs")
+    pairs = short.unionByName(star).distinct()
 
     # Full sets of the listed nodes only; a bit table keeps the others from being sent.
     wanted = nodes.join(listed.select("node").distinct(), "node", "left_semi").select("node", "set_key")
