@@ -8,13 +8,13 @@ rebuild, no order dependence between the phases.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorlint.operators import pairs as P
 from vectorlint.operators import spatial as S
 from vectorlint.operators.violations import violations
+from vectorlint.session import materialize
 
 
 def endpoint_candidates(roads: DataFrame, start_col: str = "start_node_name",
@@ -25,13 +25,14 @@ def endpoint_candidates(roads: DataFrame, start_col: str = "start_node_name",
     once = nodes.groupBy("n").agg(F.count("*").alias("c")).where("c = 1").select("n")
     s = once.select(F.col("n").alias("_s"))
     e = once.select(F.col("n").alias("_e"))
-    r = roads.join(s, roads[start_col].eqNullSafe(s["_s"]), "left_semi")
-    return r.join(e, r[end_col].eqNullSafe(e["_e"]), "left_semi")
+    r = roads.join(S.large(s), roads[start_col].eqNullSafe(s["_s"]), "left_semi")
+    return r.join(S.large(e), r[end_col].eqNullSafe(e["_e"]), "left_semi")
 
 
-def endpoint_isolated(roads: DataFrame, start_col: str = "start_node_name", end_col: str = "end_node_name") -> DataFrame:
-    """N1 EndpointIsolated."""
-    c = endpoint_candidates(roads, start_col, end_col)
+def endpoint_isolated(roads: DataFrame, start_col: str = "start_node_name", end_col: str = "end_node_name",
+                      candidates: DataFrame | None = None) -> DataFrame:
+    """N1 EndpointIsolated (``candidates``: the rows of ``endpoint_candidates``, if there)."""
+    c = candidates if candidates is not None else endpoint_candidates(roads, start_col, end_col)
     return violations(c, "EndpointIsolated", message=F.lit("Segment has endpoints that appear only once in the network"),
                       attrs=F.create_map(F.lit("start"), F.col(start_col), F.lit("end"), F.col(end_col)))
 
@@ -40,8 +41,8 @@ def connected_candidates(roads: DataFrame, candidates: DataFrame, strict: bool =
                          buffer_eps: float = 0.0, parts_all: DataFrame | None = None) -> DataFrame:
     """Candidate fids that meet some *other* road: intersects (default),
     crosses-or-overlaps (``strict``), or within ``buffer_eps``."""
-    pa = parts_all if parts_all is not None else S.parts(roads).persist(StorageLevel.MEMORY_AND_DISK)
-    pc = pa.join(candidates.select("fid"), "fid", "left_semi")
+    pa = parts_all if parts_all is not None else S.parts(roads)
+    pc = pa.join(S.large(candidates.select("fid")), "fid", "left_semi")
     half = buffer_eps / 2 if buffer_eps else 0.0
     pairs = S.candidate_pairs(pc, pa, eps=half).where("a_fid <> b_fid")
     ep = P.edge_pairs(pairs, pa, eps=half)
@@ -55,15 +56,16 @@ def connected_candidates(roads: DataFrame, candidates: DataFrame, strict: bool =
 
 
 def isolation(roads: DataFrame, strict: bool = False, buffer_eps: float = 0.0,
-              start_col: str = "start_node_name", end_col: str = "end_node_name") -> DataFrame:
+              start_col: str = "start_node_name", end_col: str = "end_node_name", candidates: DataFrame | None = None) -> DataFrame:
     """N2 IsolatedRoad + N3 EndpointButConnected (N4 ``strict``, N5
-    ``buffer_eps``): N1 candidates split by whether they meet another road."""
-    cand = endpoint_candidates(roads, start_col, end_col).persist(StorageLevel.MEMORY_AND_DISK)   # read three times
-    conn = connected_candidates(roads, cand, strict=strict, buffer_eps=buffer_eps)
+    ``buffer_eps``): N1 candidates split by whether they meet another road.
+    What they meet is found once and written as a table, for both."""
+    cand = candidates if candidates is not None else materialize(endpoint_candidates(roads, start_col, end_col), "road-candidates")
+    conn = materialize(connected_candidates(roads, cand, strict=strict, buffer_eps=buffer_eps), "connected-roads")
     attrs = F.create_map(F.lit("start"), F.col(start_col), F.lit("end"), F.col(end_col))
-    iso = violations(cand.join(conn, "fid", "left_anti"), "IsolatedRoad",
+    iso = violations(cand.join(S.large(conn), "fid", "left_anti"), "IsolatedRoad",
                      message=F.lit("Road segment is isolated (no geometric connection to others)"), attrs=attrs)
-    ebc = violations(cand.join(conn, "fid", "left_semi"), "EndpointButConnected",
+    ebc = violations(cand.join(S.large(conn), "fid", "left_semi"), "EndpointButConnected",
                      message=F.lit("Endpoint test flagged it, but it intersects other roads"), attrs=attrs)
     return iso.unionByName(ebc)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vectorlint.operators import network as N
 from vectorlint.plans import oracle as O
 from vectorlint.plans.catalog import _cmp, register, vsel, with_
+from vectorlint.session import materialize
 from vectorlint.sources import fixtures as FX
 
 _N1 = [FX.roads_sql(), """
@@ -93,7 +94,8 @@ UNION ALL SELECT 'EndpointButConnected', CAST(count(*) AS BIGINT) FROM cand WHER
 def q_isolation_summary(spark, sf):
     """The three counts (R2 run_road is N1 then N2 + N3)."""
     r = _roads(spark, sf)
-    v = N.endpoint_isolated(r).unionByName(N.isolation(r))
+    c = materialize(N.endpoint_candidates(r), "road-candidates")
+    v = N.endpoint_isolated(r, candidates=c).unionByName(N.isolation(r, candidates=c))
     return N.isolation_summary(v)
 
 
