@@ -56,3 +56,18 @@ def test_centroid_is_computed_once_a_row(spark):
     assert _plan(bad).split("Subquery")[0].count("hypot(") <= 8
     x, y = G.centroid_xy("geom")
     assert [tuple(r) for r in f.orderBy("fid").select(F.expr(x), F.expr(y)).collect()] == [(2.0, 1.0), (91.5, 1.0), (None, None), (4.0, 4.0)]
+
+
+def test_roads_are_compared_once(spark, sf, monkeypatch):
+    """A road run finds its candidates and what they meet once; the shaped report does not run it again."""
+    from vectorlint.operators import network as N
+    from vectorlint.plans import runners as RN
+    made = []
+    for module in (N, RN):
+        monkeypatch.setattr(module, "materialize", lambda df, name, real=module.materialize: made.append(name) or real(df, name))
+    v = RN.run_road(FX.roads(spark, sf))
+    assert made == ["road-candidates", "connected-roads"]
+    assert "BroadcastExchange" not in _plan(v)
+    r = RN.report_columns(v.withColumn("nothing", F.lit(None)))
+    assert made[2:] == ["report"] and "SortMergeJoin" not in _plan(r)
+    assert r.columns[-1] == "nothing" and r.count() == v.count()
