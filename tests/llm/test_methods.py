@@ -377,3 +377,18 @@ def test_licence_wrapped_over_many_lines(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9001, text)], "doc_id bigint, text string"))
     got = [(r.family, r.paragraph_index, r.paragraph.count("\n") + 1) for r in license.scan(docs).where("doc_id = 9001").collect()]
     assert [g[0] for g in got] == ["mit"] and got[0][1] <= 2 and got[0][2] >= 7
+
+
+def test_full_sets_are_written_where_they_are_made(spark, monkeypatch):
+    plans, write = {}, neardup.materialize
+
+    def kept(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(neardup, "materialize", kept)
+    base = "a long enough text of some words that differ from all the others in this little corpus of rows".split()
+    rows = [(k, " ".join([*base, f"end{k // 2}"])) for k in range(6)] + [(6, "quite another text"), (0, " ".join([*base, "end0"])), (7, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(0, 0), (0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 6), (7, 7)]
+    assert "MapInArrow" in plans["sets"] and "Exchange" not in plans["sets"] and "Join" not in plans["sets"]

@@ -32,6 +32,7 @@ their own text; without rows no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ BLOCK = 256
 #: Families whose sizes are broadcast (some 40 bytes each); more of them are joined by salted keys.
 FAMILIES = 100_000
 SALTS = 16
+#: Bits of the table that lets the sets of open families through.
+MEMBER_BITS = 22
 SEED = 20260303
 
 _random = np.random.default_rng(SEED)
@@ -81,11 +84,11 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
             for i in range(b.num_rows):
                 s = shingle_set(column[i].as_py(), shingle)
                 sizes.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
+                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s).view(np.int32) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "text_key", "n_shingles", "set_key", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "text_key", "n_shingles", "set_key", "signature"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key bigint, n_shingles bigint, set_key string, signature array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key bigint, n_shingles bigint, set_key binary, signature array<int>")
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
@@ -100,12 +103,12 @@ def _postings(nodes: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that agree in enough coordinates and whose sets are similar enough."""
-    sig = nodes.select("node", "signature", "n_shingles")
-    p = (pairs.join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b")
+    sig = nodes.select("node", "signature", "n_shingles", "set_key")
+    p = (pairs.join(sig.toDF("a", "sa", "na", "ka"), "a").join(sig.toDF("b", "sb", "nb", "kb"), "b")
          .where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
          .where(f"aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) >= {MATCHES}"))
-    full = sets.select("node", "items")
-    both = p.select("a", "b", "na", "nb").join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b").withColumn("common", F.size(F.array_intersect("xa", "xb")).cast("bigint"))
+    full = sets.select("set_key", "items")
+    both = p.select("a", "b", "na", "nb", "ka", "kb").join(full.toDF("ka", "xa"), "ka").join(full.toDF("kb", "xb"), "kb").withColumn("common", F.size(F.array_intersect("xa", "xb")).cast("bigint"))
     return both.where(f"100 * common >= {PERCENT} * (na + nb - common)").select("a", "b")
 
 
@@ -150,7 +153,7 @@ def _block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
-def _finish(long_lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _finish(long_lists: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, once: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Links between components that long lists still have to compare (None: nothing to compare)."""
     listed = long_lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = listed.groupBy("coordinate", "value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("first")).where("x <> y")
@@ -173,7 +176,20 @@ def _finish(long_lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
          .withColumn("own", F.xxhash64("node")))
     asks = m.where("label <> major").select("family", "node", "label", F.expr("cast(pmod(own, asking) as int)").alias("i"), F.explode(F.expr("sequence(0, `all` - 1)")).alias("j"), F.lit(True).alias("asks"))
     others = m.select("family", "node", "label", F.explode(F.expr("sequence(0, asking - 1)")).alias("i"), F.expr("cast(pmod(own, `all`) as int)").alias("j"), F.lit(False).alias("asks"))
-    blocks = asks.unionByName(others).join(sets.select("node", "items"), "node")
+    # A bit table keeps the sets of all other nodes from being sent.
+    keys = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "set_key")
+    keys = materialize(keys, "member-keys")
+    table = bit_table(keys.select(F.xxhash64("set_key").alias("h")), "h", MEMBER_BITS)
+
+    def passing(batches):
+        pass_ = table.value
+        for b in batches:
+            at = pass_[b.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - MEMBER_BITS)]
+            yield b.select(["set_key", "items"]).filter(pa.array(at))
+
+    own = sets.select("set_key", "items", F.xxhash64("set_key").alias("h")).mapInArrow(passing, "set_key binary, items array<bigint>")
+    own = once(own).join(keys, "set_key").select("node", "items")
+    blocks = asks.unionByName(others).join(own, "node")
     return blocks.groupBy("family", "i", "j").applyInArrow(_block_links, "a bigint, b bigint")
 
 
@@ -195,10 +211,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     pairs = short.unionByName(star).distinct()
 
     # Full sets of the listed nodes only; a bit table keeps the others from being sent.
-    wanted = nodes.join(listed.select("node").distinct(), "node", "left_semi").select("node", "set_key")
-    wanted = materialize(wanted, "wanted")
-    first = classes.join(wanted.select("set_key"), "set_key", "left_semi")
-    table = bit_table(first.select(F.xxhash64("first_id").alias("h")), "h", 24)
+    wanted = materialize(nodes.join(listed.select("node").distinct(), "node", "left_semi"), "wanted")
+    table = bit_table(wanted.select(F.xxhash64("first_id").alias("h")), "h", 24)
 
     def full(batches):
         pass_ = table.value
@@ -206,17 +220,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             at = np.flatnonzero(pass_[b.column("h").to_numpy().view(np.uint64) >> np.uint64(40)])
             texts = b.column("text")
             got = [shingle_set(texts[i].as_py(), shingle) for i in at.tolist()]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in got]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], names=["set_key", "items"])
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in got]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], names=["set_key", "items"])
+
+    # What the bit table lets through besides is met by no pair.
+    sets = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(full, "set_key binary, items array<bigint>")
+    sets = materialize(sets, "sets")
+    # An id may come in several rows, a set in several let through: one row per set is enough.
+    repeated = not sets.groupBy("set_key").count().where("count > 1").isEmpty()
 
-    sets = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(full, "set_key string, items array<bigint>").join(wanted.select("set_key", "node"), "set_key")
-    sets = materialize(sets.select("node", "items"), "sets")
-    # An id may come in several rows: one row per node is enough.
-    if not sets.groupBy("node").count().where("count > 1").isEmpty():
-        sets = sets.dropDuplicates(["node"])
+    def once(some: DataFrame) -> DataFrame:
+        return some.dropDuplicates(["set_key"]) if repeated else some
 
-    labels = components(_confirmed(pairs, nodes, sets))
-    more = _finish(listed.where(f"n > {SHORT}").select("coordinate", "value", "node"), labels, sets)
+    labels = components(_confirmed(pairs, wanted, once(sets)))
+    more = _finish(listed.where(f"n > {SHORT}").select("coordinate", "value", "node"), labels, wanted, sets, once)
     if more is not None:
         joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("final"))
         labels = labels.join(joined, "label", "left").select("node", F.coalesce("final", "label").alias("label")).unionByName(
