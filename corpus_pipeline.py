@@ -47,7 +47,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = materialize(found.where("kept").groupBy("doc_id", "text_key").count().where("count > 1"), "repeated")
     if repeated.isEmpty():
         return kept
-    r = repeated.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    # distinct as it is: behind a shuffle Spark knows its size in memory before it may broadcast it
+    r = repeated.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     once = docs.join(r, docs["doc_id"].eqNullSafe(r["__id"]) & (F.xxhash64(docs["text"]) == r["__key"]), "left_semi")
     return _without(kept, repeated).unionByName(once.dropDuplicates(["doc_id", "text"]))
 

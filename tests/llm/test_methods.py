@@ -392,3 +392,37 @@ def test_full_sets_are_written_where_they_are_made(spark, monkeypatch):
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(0, 0), (0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 6), (7, 7)]
     assert "MapInArrow" in plans["sets"] and "Exchange" not in plans["sets"] and "Join" not in plans["sets"]
+
+
+def test_near_duplicates_send_no_postings_to_the_driver(spark, monkeypatch):
+    """What an exploded signature gives, or ids from a small file, is not broadcast, however small Spark takes it."""
+    plans, write = {}, neardup.materialize
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(neardup, "materialize", kept)
+    monkeypatch.setattr(neardup, "SHORT", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "FAMILIES", 0)
+    texts = families(2)
+    got = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts)
+    joins = {name: [line for line in plans[name].splitlines() if "BroadcastHashJoin" in line] for name in ("postings", "lists")}
+    assert joins == {"postings": [], "lists": []}
+
+
+def test_components_broadcast_no_edges(spark, monkeypatch):
+    """The minima may be broadcast, not the edges beside them, though their file is the smaller one."""
+    plans, write = [], components.materialize
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(components, "materialize", kept)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (7, 7)], "a bigint, b bigint")
+    assert {tuple(r) for r in components.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (200, 100)}
+    joins = [line for p in plans for line in p.splitlines() if "Join " in line and "[u" in line]
+    assert joins and all("LeftOuter, BuildRight" in line or "SortMergeJoin" in line and "LeftOuter" in line for line in joins)

@@ -17,16 +17,18 @@ def components(edges: DataFrame) -> DataFrame:
     only stars are left (the number of rounds grows with the logarithm of the
     longest path), whatever their number; each round's edges are written to
     the shared checkpoint folder.  Minima are pre-aggregated, joins on a hot
-    centre are left to AQE's skew splitting.
+    centre are left to AQE's skew splitting.  Every node has its minimum; the outer
+    joins keep Spark from broadcasting the edges, whose files are small for their
+    number: only the minima may be, by their size in memory.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while not _only_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u", "left").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low, "u", "left").where("NOT (v <=> m)").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 

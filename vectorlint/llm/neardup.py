@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorlint.llm.common import bit_table
+from vectorlint.llm.common import bit_table, merged
 from vectorlint.llm.components import components
 from vectorlint.llm.words import shingles, word_hashes
 from vectorlint.session import materialize
@@ -95,7 +95,7 @@ def _postings(nodes: DataFrame) -> DataFrame:
     """(coordinate, value, node) of every node's prefix of shared pairs."""
     pairs = nodes.select("node", F.posexplode("signature").alias("coordinate", "value"))
     shared = pairs.groupBy("coordinate", "value").agg(F.count("*").alias("n")).where("n > 1")
-    own = (pairs.join(shared, ["coordinate", "value"])
+    own = (pairs.join(merged(shared), ["coordinate", "value"])
            .groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "coordinate", "value"))).alias("own"))   # at most COORDINATES
            .where(F.size("own") >= MATCHES))
     return own.select("node", F.explode(F.slice("own", 1, F.size("own") - (MATCHES - 1))).alias("p")).select("p.coordinate", "p.value", "node")
@@ -155,13 +155,13 @@ def _block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _finish(long_lists: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, once: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Links between components that long lists still have to compare (None: nothing to compare)."""
-    listed = long_lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    listed = long_lists.join(merged(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = listed.groupBy("coordinate", "value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("first")).where("x <> y")
     open_lists = materialize(listed.join(mixed.select("coordinate", "value", "first"), ["coordinate", "value"]), "open-lists")
     if open_lists.isEmpty():
         return None
     family = components(open_lists.select(F.col("first").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "family")
-    member = materialize(open_lists.select("node", "label").distinct().join(family, "node"), "families")
+    member = materialize(open_lists.select("node", "label").distinct().join(merged(family), "node"), "families")
     counts = member.groupBy("family", "label").agg(F.count("*").alias("n"))
     major = counts.groupBy("family").agg(F.max("n").alias("top"), F.sum("n").alias("n")).join(counts.select("family", "label", F.col("n").alias("top")), ["family", "top"])
     major = major.groupBy("family").agg(F.min("label").alias("major"), F.max("n").alias("n"), F.max("top").alias("top"))
@@ -171,7 +171,7 @@ def _finish(long_lists: DataFrame, labels: DataFrame, nodes: DataFrame, sets: Da
         sized = member.join(F.broadcast(major), "family")
     else:       # one family may hold most nodes
         salted = major.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
-        sized = member.withColumn("salt", F.expr(f"cast(pmod(xxhash64(node), {SALTS}) as int)")).join(salted, ["family", "salt"]).drop("salt")
+        sized = member.withColumn("salt", F.expr(f"cast(pmod(xxhash64(node), {SALTS}) as int)")).join(merged(salted), ["family", "salt"]).drop("salt")
     m = (sized.withColumn("asking", F.expr(f"cast(ceil((n - top) / {BLOCK}) as int)")).withColumn("all", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
          .withColumn("own", F.xxhash64("node")))
     asks = m.where("label <> major").select("family", "node", "label", F.expr("cast(pmod(own, asking) as int)").alias("i"), F.explode(F.expr("sequence(0, `all` - 1)")).alias("j"), F.lit(True).alias("asks"))
@@ -204,9 +204,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     classes = nodes.select("node", "set_key", "first_id")
     posted = materialize(_postings(nodes), "postings")
     lists = posted.groupBy("coordinate", "value").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    listed = materialize(posted.join(lists, ["coordinate", "value"]), "lists")
+    listed = materialize(posted.join(merged(lists), ["coordinate", "value"]), "lists")
     left = listed.where(f"n <= {SHORT}").select("coordinate", "value", F.col("node").alias("a"))
-    short = left.join(left.withColumnRenamed("a", "b"), ["coordinate", "value"]).where("a < b").select("a", "b")
+    short = left.join(merged(left.withColumnRenamed("a", "b")), ["coordinate", "value"]).where("a < b").select("a", "b")
     star = listed.where(f"n > {SHORT} AND node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     pairs = short.unionByName(star).distinct()
 
@@ -236,9 +236,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     more = _finish(listed.where(f"n > {SHORT}").select("coordinate", "value", "node"), labels, wanted, sets, once)
     if more is not None:
         joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("final"))
-        labels = labels.join(joined, "label", "left").select("node", F.coalesce("final", "label").alias("label")).unionByName(
+        labels = labels.join(merged(joined), "label", "left").select("node", F.coalesce("final", "label").alias("label")).unionByName(
             joined.select(F.col("label").alias("node"), F.col("final").alias("label"))).distinct()
-    grouped = classes.join(labels, "node", "left").select("set_key", "first_id", F.coalesce("label", "node").alias("label"))
+    grouped = classes.join(merged(labels), "node", "left").select("set_key", "first_id", F.coalesce("label", "node").alias("label"))
     component = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of = grouped.join(component, "label").select(F.col("set_key").alias("of_key"), F.col("component_id").cast(doc_type).alias("found"))
     out = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(of, F.col("set_key") == F.col("of_key"), "left")
