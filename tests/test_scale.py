@@ -1,5 +1,7 @@
 """Plans and shared steps that must grow with the input, not on the driver or in one group."""
 
+import math
+
 from helpers import features, multi, poly
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from vectorlint.operators import feature as FE
 from vectorlint.operators import pairs as P
 from vectorlint.operators import spatial as S
 from vectorlint.operators import validity as V
+from vectorlint.plans import runners as RN
 from vectorlint.sources import fixtures as FX
 
 
@@ -71,3 +74,25 @@ def test_roads_are_compared_once(spark, sf, monkeypatch):
     r = RN.report_columns(v.withColumn("nothing", F.lit(None)))
     assert made[2:] == ["report"] and "SortMergeJoin" not in _plan(r)
     assert r.columns[-1] == "nothing" and r.count() == v.count()
+
+
+def test_pairs_are_parted_before_they_meet_rings(spark):
+    """Pairs that carry edge counts: those of one kernel don't run through the other's ring joins; areas stay."""
+    wheel = [[(cx + 3 * math.cos(math.pi * k / 20), 3 * math.sin(math.pi * k / 20)) for k in range(40)] for cx in (0, 2)]
+    p = S.parts(features(spark, [(1, _square(0, 0, 1)), (2, _square(90, 0, 1)), (3, poly(wheel[0])), (4, poly(wheel[1]))]))
+    plain, carried = S.candidate_pairs(p), S.candidate_pairs(p, carry=["nedges"])
+    areas = [sorted(map(tuple, S.intersection_area(pairs, p).collect())) for pairs in (plain, carried)]
+    assert areas[0] == areas[1] and [a[:3:2] for a in areas[0]] == [(1, 3), (1, 4), (3, 4)]
+    pairs = P.relate(p, contacts=False)._jdf.queryExecution().analyzed().toString()
+    assert "a_nedges" in pairs      # 40 x 40 edge pairs go to the slab join, 4 x 40 don't
+    many = S.by_size(carried.select(*S.PAIR_KEYS, *S.edge_counts(carried)), p)[1]
+    assert [tuple(r) for r in many.select(*S.PAIR_KEYS).collect()] == [(3, 0, 4, 0)]
+
+
+def test_a_run_with_whole_relations_takes_areas_from_them(spark, sf):
+    """The suburb run relates its parts once; what the area-only relations would give is in there."""
+    ctx = RN.Context(FX.suburbs(spark, sf, "enclave").where("fid % 1000000000 < 150"), keep=["suburb", "postcode", "state"], work_srid=3107)
+    rel = ctx.rel
+    assert ctx.rel_area is rel and ctx.source_rel_area is rel
+    cols = [*S.PAIR_KEYS, "area"]
+    assert sorted(rel.select(cols).collect()) == sorted(P.relate(ctx.valid_parts, contacts=False).select(cols).collect())
